@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -42,24 +45,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_total(df: DataFrame, order: list[Column], amount: Column, into: str, partitions: int | None = None) -> DataFrame:
-    """Add the sum of ``amount`` over all rows before the row in the total order ``order``.
+def running_totals(df: DataFrame, order: list[Column], amounts: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Add, for each name in ``amounts``, the sum of its column over all rows before the row in the order ``order``.
 
-    Rows are range-partitioned and written to a checkpoint; one number per partition then gives each
-    partition its start, so no task holds more than its own range. ``order`` must be total (no ties),
-    or tied rows may be ordered either way. The driver sees one row per partition only.
+    Rows are range-partitioned, sorted and cut by a checkpoint; one row of sums per partition then
+    gives each partition its start, and a running sum over batches adds the rest without another
+    shuffle. No task holds more than a batch of its own range. ``order`` must be total, or tied rows
+    come in any order. The driver sees one row per partition.
     """
-    part, inner = free_name(df, "_part"), free_name(df, "_inner")
-    spread = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    ranged = checkpointed(spread.withColumn(part, F.spark_partition_id()))
-    totals = {r[0]: r[1] for r in ranged.groupBy(part).agg(F.sum(amount)).collect()}
-    starts, seen = {}, 0
-    for key in sorted(totals):
-        starts[key] = seen
-        seen += totals[key] or 0
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(starts.items()) or [(0, 0)], f"{part} int, {inner} long")
-    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(amount).over(before), F.lit(0))
-    out = ranged.withColumn(into, local).join(F.broadcast(table), part, "left")
-    return out.withColumn(into, (F.col(into) + F.col(inner)).cast("long")).drop(part, inner)
+    names = list(amounts)
+    part, *sums = (free_name(df, f"_{x}") for x in ("part", *names))
+    plus = df.withColumns({c: F.coalesce(amounts[n], F.lit(0)).cast("long") for n, c in zip(names, sums, strict=True)})
+    spread = plus.repartitionByRange(partitions, *order) if partitions else plus.repartitionByRange(*order)
+    ranged = checkpointed(spread.sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()))
+    seen, starts = np.zeros(len(names), np.int64), {}
+    for row in sorted(ranged.groupBy(part).agg(*[F.sum(c) for c in sums]).collect(), key=lambda r: r[0]):
+        starts[row[0]] = seen.copy()
+        seen += np.array(row[1:], np.int64)
+    keep = [c for c in df.columns if c not in names]
+
+    def add(batches):
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None:
+                at = starts[batch.column(part)[0].as_py()].copy()
+            columns = [batch.column(c) for c in keep]
+            for i, c in enumerate(sums):
+                each = batch.column(c).to_numpy(zero_copy_only=False)
+                columns.append(pa.array(at[i] + np.cumsum(each) - each))
+                at[i] += each.sum()
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+
+    schema = T.StructType([*(ranged.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in names)])
+    return ranged.mapInArrow(add, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from pyspark.sql import functions as F
+
+from . import chat, lines, mixing, quality
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +19,140 @@ def op1_quality_rules(spark, sf_dir):
     return entries.selectExpr(*columns, "NOT _base_ok AS base_failed", "_base_ok AND kept AS kept", "failed_bits")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op3_line_dedup(spark, sf_dir):
+    """What boilerplate removal does to each document."""
+    clean = lines.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return clean.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+def op7_source_mix(spark, sf_dir):
+    """Words that the mix takes from each document, and where its first pass stands in training."""
+    units = mixing.mix(_table(spark, sf_dir, "documents"))
+    rows = mixing.taken_per_row(units)
+    first = mixing.training_order(units).filter("pass = 0").select("key", F.col("position").alias("first_position"))
+    return rows.join(first, "key", "left").drop("key")
+
+
+def op9_chat_format(spark, sf_dir):
+    """Digests of all conversations, and of one that quotes control strings, as read back from the formatted text."""
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string"
+    )
+    laid = chat.format_conversations(table.unionByName(added))
+    read = laid.withColumn("_turns", chat.read_turns(F.col("formatted")))
+    read = read.withColumn("_loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    joined = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op7_source_mix": op7_source_mix,
+    "op9_chat_format": op9_chat_format,
+}
+
+WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+TRIM_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op7_source_mix": f"""WITH rows AS (
+  SELECT doc_id, source, len({WORDS_SQL}) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(md5(source), '-') || '|' || md5(coalesce(text, ''))) AS key
+  FROM documents
+), each AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM rows GROUP BY source
+), weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+         CASE rank % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS slope
+  FROM each
+), level AS (
+  SELECT max((total - most_before)::DOUBLE / (weights - weight_before)::DOUBLE) AS level FROM (
+    SELECT sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+           coalesce(sum(3 * source_size) OVER w, 0) AS most_before, coalesce(sum(weight) OVER w, 0) AS weight_before
+    FROM weighed
+    WINDOW w AS (ORDER BY 3 * source_size / weight::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), target AS (
+  SELECT source, source_size, slope, least((3 * source_size)::DOUBLE, level * weight) AS target FROM weighed, level
+), unit AS (
+  SELECT key, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(size) AS size, count(*) AS copies
+  FROM rows GROUP BY key
+), placed AS (
+  SELECT u.*, source_size, slope, target,
+         CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes,
+         CAST(coalesce(sum(size * copies) OVER (
+           PARTITION BY u.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM unit u JOIN target t ON u.source IS NOT DISTINCT FROM t.source
+), parted AS (
+  SELECT *, greatest(0, least(CAST(round(target) AS BIGINT) - passes * source_size - "offset", size * copies)) AS part
+  FROM placed
+), pass AS (
+  SELECT key, p, CASE WHEN p < passes THEN size * copies ELSE part END AS words,
+         least(1.0::DOUBLE, (p * source_size + "offset") / target) AS share, slope
+  FROM (SELECT *, unnest(range(0, passes + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS p FROM parted)
+), timed AS (
+  SELECT key, p, words, CASE WHEN slope = 0 THEN share
+         ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS time FROM pass
+), ranked AS (
+  SELECT key, p, CAST(coalesce(sum(words) OVER (
+    ORDER BY time, key, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM timed
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(passes * size + floor(part / copies) AS BIGINT) AS taken, position AS first_position
+FROM (SELECT *, unnest(range(1, copies + 1)) AS n FROM parted) d LEFT JOIN ranked ON d.key = ranked.key AND ranked.p = 0""",
+    "op3_line_dedup": f"""WITH split AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
+), line AS (
+  SELECT doc_id, source, i AS pos, trim(ls[i], {TRIM_SQL}) AS core
+  FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM split WHERE text IS NOT NULL)
+), spread AS (
+  SELECT core FROM line WHERE core <> '' GROUP BY core HAVING count(DISTINCT source) >= 5
+), spots AS (
+  SELECT doc_id, list(pos ORDER BY pos) AS gone FROM line SEMI JOIN spread USING (core) GROUP BY doc_id
+), cut AS (
+  SELECT s.doc_id, text, ls, gone,
+         array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)) AS kept
+  FROM split s LEFT JOIN spots g ON s.doc_id = g.doc_id
+), decided AS (
+  SELECT *, gone IS NOT NULL AND length(kept) >= 0.5 * length(text) AS cleaned FROM cut
+)
+SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
+       CAST(CASE WHEN cleaned THEN len(gone) ELSE 0 END AS BIGINT) AS n_removed,
+       CAST(length(CASE WHEN cleaned THEN kept ELSE text END) AS BIGINT) AS kept_chars,
+       sha256(CASE WHEN cleaned THEN kept ELSE text END) AS text_sha256
+FROM decided""",
+    "op9_chat_format": r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), ordered AS (
+  SELECT *, lag(role) OVER w AS before FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sized AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS body,
+         CASE WHEN before = role THEN 3
+              ELSE 14 + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) END AS frame
+  FROM ordered
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(body + frame) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id""",
+}
