@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality
+from . import chat, lines, mixing, quality, simhash
 
 
 def _table(spark, sf_dir, name):
@@ -60,7 +60,14 @@ def op9_chat_format(spark, sf_dir):
     )
 
 
+def op10_simhash_dedup(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op10_simhash_dedup": op10_simhash_dedup,
     "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op7_source_mix": op7_source_mix,
