@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality, simhash
+from . import chat, langid, lines, mixing, quality, simhash, toxicity
+from .common import held_out
 
 
 def _table(spark, sf_dir, name):
@@ -66,7 +67,28 @@ def op10_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from labels outside the hold-out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4)
+    machine = toxicity.fit(docs, labels.filter(~out), label="toxic")
+    found = toxicity.score(docs.select("doc_id", "text"), machine)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return found.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op8_language_id(spark, sf_dir):
+    """Language of every document, learned from documents outside the hold-out."""
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4)
+    prototypes = langid.fit(docs.filter(~out))
+    found = langid.predict(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op8_language_id": op8_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op1_quality_rules": op1_quality_rules,
     "op3_line_dedup": op3_line_dedup,
