@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, mixing, quality, simhash, toxicity
+from . import chat, langid, lines, lm, mixing, pieces, quality, simhash, toxicity
 from .common import held_out
 
 
@@ -86,7 +86,30 @@ def op8_language_id(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_lm_score(spark, sf_dir):
+    """Log10 probability of every document, learned from documents outside the hold-out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 7)
+    found = lm.score(docs, lm.count(docs.filter(~out)))
+    return found.select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op6_piece_codes(spark, sf_dir):
+    """Digests of every document's piece ids and of the text decoded from them."""
+    coded = pieces.encode_documents(_table(spark, sf_dir, "documents"), pieces.model_bytes())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op5_lm_score": op5_lm_score,
+    "op6_piece_codes": op6_piece_codes,
     "op4_toxicity": op4_toxicity,
     "op8_language_id": op8_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
