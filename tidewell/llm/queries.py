@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, lm, mixing, pieces, quality, simhash, toxicity
+from . import chat, langid, lines, lm, mixing, neighbours, pieces, quality, simhash, toxicity
 from .common import held_out
 
 
@@ -20,6 +20,11 @@ def op1_quality_rules(spark, sf_dir):
     return entries.selectExpr(*columns, "NOT _base_ok AS base_failed", "_base_ok AND kept AS kept", "failed_bits")
 
 
+def op2_nearest_vectors(spark, sf_dir):
+    """The five nearest found for every fiftieth vector."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_line_dedup(spark, sf_dir):
     """What boilerplate removal does to each document."""
     clean = lines.drop_boilerplate(_table(spark, sf_dir, "documents"))
@@ -108,6 +113,7 @@ def op6_piece_codes(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_nearest_vectors": op2_nearest_vectors,
     "op5_lm_score": op5_lm_score,
     "op6_piece_codes": op6_piece_codes,
     "op4_toxicity": op4_toxicity,
