@@ -1,10 +1,85 @@
-"""Corpus pipeline: five stages, each a table of documents to the next."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, mixing to target weights, piece encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
+``documents``. ``ORACLE_SQL`` is None: hyperdimensional cosines, XXH64 fingerprints and piece merges are not SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import langid, lines, mixing, pieces, simhash
+from tidewell.llm.common import free_name, held_out
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; a missing ``lang`` is filled with the prediction.
+
+    Rejected are texts without a letter and texts whose trigrams resemble no learned language.
+    """
+    prototypes = langid.fit(docs.filter(~held_out(F.col("doc_id"), 4)))
+    found = langid.predict(docs.select(*COLUMNS), prototypes, keep=COLUMNS)
+    kept = found.filter(langid.accepted(F.col("lang_pred"), F.col("score"), F.col("text")))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that spread over many sources; ``n_chars`` follows the text."""
+    clean = lines.drop_boilerplate(docs.select(*COLUMNS))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of least id."""
+    return simhash.one_per_component(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per pass of the mix over a document, range-sorted by training position.
+
+    Documents of full sources come up to three times, those of sources above their share come in
+    part: a pass over less than half of a document is left out, another counts as whole.
+    """
+    docs = docs.select(*COLUMNS)
+    key, place = free_name(docs, "_key"), free_name(docs, "_place")
+    order = mixing.training_order(mixing.mix(docs), whole_parts=True)
+    order = order.select(F.col("key").alias(key), F.col("position").alias(place))
+    keyed = docs.withColumn(key, mixing.unit_key(F.col("doc_id"), F.col("source"), F.col("text")))
+    rows = keyed.join(order, key)
+    return rows.repartitionByRange(place, key).sortWithinPartitions(place, key).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every row, and whether they decode to its text."""
+    coded = pieces.encode_documents(docs, pieces.model_bytes(), keep=("doc_id", "lang", "source", "text"))
+    ids = F.octet_length("ids")
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        (ids / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_boilerplate_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("source_mix", mix_sources),
+    ("piece_codes", encode_pieces),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

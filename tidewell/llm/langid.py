@@ -145,6 +145,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return rows.mapInArrow(scored, f"{fields}, lang_pred string, score double")
 
 
-def accepted(lang_pred: Column, score: Column, least: float = 0.2) -> Column:
-    """Whether a prediction stands: some language, with a cosine that letters in random order do not reach."""
-    return (lang_pred != UNKNOWN) & (score >= least)
+def accepted(lang_pred: Column, score: Column, text: Column, least: float = 0.15, short: int = 200) -> Column:
+    """Whether a document stays: it has letters, and resembles a language more than letters in random order do.
+
+    The cosine of a few words is low in any language, so texts under ``short`` characters need letters only.
+    """
+    return (lang_pred != UNKNOWN) & ((score >= least) | (F.length(text) < short))
