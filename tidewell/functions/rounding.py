@@ -14,3 +14,8 @@ def exact_sum(amount: Column, scale: int = 8) -> Column:
 def usd(total: Column) -> Column:
     """A double with 6 decimals; null becomes 0."""
     return F.coalesce(F.round(total, 6).cast("double"), F.lit(0.0))
+
+
+def round6(x: Column) -> Column:
+    """A double rounded half up to 6 decimals by binary arithmetic, the same in every engine."""
+    return F.floor(x * 1e6 + 0.5) / 1e6

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import usage
+from . import documents, records, search, usage
 
-MODULES = (usage,)
+MODULES = (usage, search, records, documents)
 
 QUERIES = {name: plan for module in MODULES for name, plan in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
