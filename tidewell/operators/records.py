@@ -97,7 +97,10 @@ def observation_log(records: DataFrame, since: Column) -> DataFrame:
 
 
 def retained(snapshots: DataFrame, keep: int, oldest: Column) -> DataFrame:
-    """Snapshots with the reason they go (``count``, ``age``) or null; the newest and pinned ones stay."""
+    """Snapshots with the reason they go (``count``, ``age``) or null; the newest and pinned ones stay.
+
+    One host keeps few snapshots, so one task ranks them.
+    """
     rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("snapshot_id")))
     ranked = snapshots.withColumn("rank", rank)
     free = (F.col("rank") > 1) & ~F.col("pinned")

@@ -70,7 +70,7 @@ def _priorities(spark, sf_dir):
 
 
 def _profile(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.substring(F.get(F.split("content", "\n"), 0), 1, 80).alias("line"), F.col("doc_id").alias("line_no"))
+    d = docs(spark, sf_dir).select(F.get(F.split("content", "\n"), 0).alias("line"), F.col("doc_id").alias("line_no"))
     return startup.profile_lines(d, ["the ", "ing", "und"])
 
 
@@ -136,7 +136,7 @@ fold AS (
   SELECT i.payload, i.n, CAST(CASE WHEN f.used + i.size <= 20000 THEN f.used + i.size ELSE f.used END AS BIGINT), i.handle, f.used + i.size <= 20000
   FROM fold f JOIN item i ON i.payload = f.payload AND i.n = f.n + 1)
 SELECT payload, handle FROM fold WHERE taken""",
-    "profile_lines": """WITH once AS (SELECT substr(string_split(text, chr(10))[1], 1, 80) AS line, min(doc_id) AS line_no FROM documents GROUP BY 1)
+    "profile_lines": """WITH once AS (SELECT string_split(text, chr(10))[1] AS line, min(doc_id) AS line_no FROM documents GROUP BY 1)
 SELECT line, line_no, CAST(4 * (contains(lower(line), 'the ')::INT + contains(lower(line), 'ing')::INT + contains(lower(line), 'und')::INT) AS INTEGER) AS score
 FROM once ORDER BY score DESC, line_no LIMIT 16""",
 }

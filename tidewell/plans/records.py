@@ -61,7 +61,7 @@ def _versions(spark, sf_dir):
 def _snapshots(spark, sf_dir):
     r = records(spark, sf_dir).filter("kind = 'purchase'")
     shots = r.select(F.col("record_id").alias("snapshot_id"), F.col("ts").alias("created_at"), (F.col("node_seq") % 20 == 0).alias("pinned"))
-    return log.retained(shots.filter("created_at >= '2024-01-25'"), 100, F.lit("2024-01-27 00:00:00").cast("timestamp")).select("snapshot_id", "rank", "dropped_for")
+    return log.retained(shots, 100, F.lit("2024-01-27 00:00:00").cast("timestamp")).select("snapshot_id", "rank", "dropped_for")
 
 
 def _sides(spark, sf_dir):
@@ -145,7 +145,7 @@ WHERE NOT (node_id = 1 AND hlc > '2024-01-10T00:00:00') GROUP BY node_id""",
 SELECT record_id AS event_id, kind AS source, CASE kind WHEN 'click' THEN 'web' WHEN 'purchase' THEN 'money' ELSE 'personal' END AS namespace FROM records""",
     "snapshot_retention": f"""WITH {RECORDS_SQL}, shots AS (
   SELECT record_id AS snapshot_id, ts, node_seq % 20 = 0 AS pinned, CAST(row_number() OVER (ORDER BY ts DESC, record_id DESC) AS INTEGER) AS rank
-  FROM records WHERE kind = 'purchase' AND ts >= TIMESTAMP '2024-01-25')
+  FROM records WHERE kind = 'purchase')
 SELECT snapshot_id, rank, CASE WHEN rank > 1 AND NOT pinned THEN
   CASE WHEN rank > 100 THEN 'count' WHEN ts < TIMESTAMP '2024-01-27' THEN 'age' END END AS dropped_for FROM shots""",
     "file_changes": f"""WITH {VERSIONS}

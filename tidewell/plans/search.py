@@ -25,7 +25,7 @@ def _scalars(spark, sf_dir):
     return docs(spark, sf_dir).select(
         "doc_id",
         F.size(fx.search_tokens(c)).cast("long").alias("n_tokens"),
-        fx.slug(F.substring(c, 1, 60)).alias("slug"),
+        F.md5(fx.slug(c)).alias("slug_md5"),
         fx.entry_id(c).alias("entry_id"),
         fx.token_estimate(c).alias("est_tokens"),
         F.octet_length(c).cast("long").alias("n_bytes"),
@@ -71,7 +71,7 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(ls)
 WHERE contains(lower(ls[i]), 'rights reserved')""",
     "text_scalars": f"""WITH {DOCS_SQL}
 SELECT doc_id, CAST(len({TOKENS_SQL}) AS BIGINT) AS n_tokens,
-       coalesce(nullif(trim(regexp_replace(lower(substr(content, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS slug,
+       md5(coalesce(nullif(trim(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section')) AS slug_md5,
        'ome_' || substr(sha256({STRIP_SQL}), 1, 16) AS entry_id,
        CAST(length(content) // 4 AS BIGINT) AS est_tokens, CAST(strlen(content) AS BIGINT) AS n_bytes,
        CASE WHEN length({STRIP_SQL}) > 600 THEN regexp_replace(substr({STRIP_SQL}, 1, 600), '\\s+$', '') || ' …' ELSE {STRIP_SQL} END AS snippet,
