@@ -38,11 +38,11 @@ def op3_line_dedup(spark, sf_dir):
 
 
 def op7_source_mix(spark, sf_dir):
-    """Words that the mix takes from each document, and where its first pass stands in training."""
+    """Words that the mix takes from each document, and where its first pass stands in training (-1: nowhere)."""
     units = mixing.mix(_table(spark, sf_dir, "documents"))
     rows = mixing.taken_per_row(units)
     first = mixing.training_order(units).filter("pass = 0").select("key", F.col("position").alias("first_position"))
-    return rows.join(first, "key", "left").drop("key")
+    return rows.join(first, "key", "left").drop("key").na.fill({"first_position": -1})
 
 
 def op9_chat_format(spark, sf_dir):
@@ -172,7 +172,7 @@ ORACLE_SQL = {
     ORDER BY time, key, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM timed
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(passes * size + floor(part / copies) AS BIGINT) AS taken, position AS first_position
+       CAST(passes * size + floor(part / copies) AS BIGINT) AS taken, coalesce(position, -1) AS first_position
 FROM (SELECT *, unnest(range(1, copies + 1)) AS n FROM parted) d LEFT JOIN ranked ON d.key = ranked.key AND ranked.p = 0""",
     "op3_line_dedup": f"""WITH split AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents
