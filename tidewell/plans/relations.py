@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import KIND_WORDS, actionability, entry_id, entry_kind, reviewable, strip
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,8 +104,6 @@ ENTRY_LEADS = ("Policy: ", "name: ", "todo ", "", "decided ", "PR #3 ", "prefers
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``documents`` as memory entries of one section per source."""
-    from tidewell.functions.text import actionability, entry_id, entry_kind, reviewable, strip
-
     rows = docs(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode(F.split("content", "\n")).alias("at", "line"))
     lead = F.get(F.array(*[F.lit(x) for x in ENTRY_LEADS]), (F.col("doc_id") % len(ENTRY_LEADS)).cast("int"))
     rows = rows.withColumn("text", strip(F.col("line"))).filter("text <> ''").withColumn("text", F.concat(lead, "text"))
@@ -121,18 +121,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_KIND_SQL = "CASE " + " ".join(
-    "WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{kind}'"
-    for kind, words in (
-        ("mode", ("working mode", "execution mode", "launch mode", "mode:")),
-        ("identity", ("identity", "name:", "role:")),
-        ("policy", ("policy", "must not", "never ", "requires explicit approval")),
-        ("preference", ("preference", "prefers", "communication")),
-        ("snapshot", ("pr #", "issue #", "branch", "commit", "sha", "pending", "approved", "merged", "current", "today", "yesterday")),
-        ("task", ("task", "todo", "open question")),
-        ("decision", ("decision", "decided")),
-    )
-) + " ELSE 'evergreen' END"
+_KIND_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in KIND_WORDS) + " ELSE 'evergreen' END"
 
 ENTRIES_SQL = f"""entry_line AS (
   SELECT doc_id, lang, source, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS text FROM documents
