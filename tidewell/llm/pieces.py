@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from .lookup import Table
 
 SPACE = "▁"
 LONG = 256
-CACHE_WORDS = 300_000
-BATCH_CHARS = 1 << 22
+CACHE_WORDS = 200_000
+BATCH_BYTES = 1 << 19
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _NONE = np.int64(1) << 62
 
@@ -229,14 +230,15 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tu
     def coded(batches):
         own = coder(model)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            column = batch.column(len(keep))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars + len(texts[end] or "") <= BATCH_CHARS):
-                    chars += len(texts[end] or "")
+            while start < len(sizes):
+                end, size = start, 0
+                while end < len(sizes) and (end == start or size + sizes[end] <= BATCH_BYTES):
+                    size += sizes[end]
                     end += 1
-                ids = own.encode(texts[start:end])
+                ids = own.encode(column.slice(start, end - start).to_pylist())
                 columns = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 columns += [pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"])
