@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, checkpointed, free_name
 
 LG_K = 12
+SALTS = 32
 
 
 def _core(line: Column) -> Column:
@@ -34,6 +35,16 @@ def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     return cores.select("_key", "_pos", F.xxhash64("_line").alias("_h"), "_site")
 
 
+def _among(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose hash is in ``chosen``.
+
+    A line may stand in a third of all texts, so its rows are dealt over ``SALTS`` keys, and each chosen hash with them.
+    """
+    dealt = lines.withColumn("_salt", F.pmod(F.hash("_key"), F.lit(SALTS)))
+    every = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, ["_h", "_salt"], "left_semi").drop("_salt")
+
+
 def widespread_lines(lines: DataFrame, min_sites: int, slack: float = 0.1) -> DataFrame:
     """Hashes of lines on ``min_sites`` sites or more: by the sketch where it is clear, else by an exact count.
 
@@ -44,7 +55,7 @@ def widespread_lines(lines: DataFrame, min_sites: int, slack: float = 0.1) -> Da
     spread = checkpointed(sketched.filter(F.col("_est") >= min_sites - margin))
     clear = spread.filter(F.col("_est") > min_sites + margin).select("_h")
     near = spread.filter(F.col("_est") <= min_sites + margin).select("_h")
-    pairs = lines.filter(F.col("_site").isNotNull()).select("_h", "_site").join(near, "_h", "left_semi").distinct()
+    pairs = _among(lines.filter(F.col("_site").isNotNull()), near).select("_h", "_site").distinct()
     exact = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_sites).select("_h")
     return checkpointed(clear.unionAll(exact))
 
@@ -56,7 +67,7 @@ def drop_boilerplate(
     lines = _lines(docs, text, site)
     spread = widespread_lines(lines, min_sites)
     key, spots, kept = (free_name(docs, x) for x in ("_text_key", "_spots", "_kept"))
-    marked = lines.select("_key", "_pos", "_h").join(spread, "_h", "left_semi")
+    marked = _among(lines.select("_key", "_pos", "_h"), spread)
     marked = marked.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_set("_pos")).alias(spots))
     joined = docs.withColumn(key, F.xxhash64(text)).join(marked, key, "left")
     split = F.split(F.col(text), "\n")
