@@ -165,6 +165,19 @@ def test_lm_matches_brute_force(spark, monkeypatch, hot):
     assert len(blank) == len(rows) and all(r.train_tokens == 0 for r in blank)
 
 
+@pytest.mark.parametrize("most, group", [(40, 60_000), (40, 20), (0, 1)])
+def test_lm_scores_with_all_grams_past_the_bound(spark, monkeypatch, most, group):
+    monkeypatch.setattr(lm, "MAX_GRAMS", most)
+    monkeypatch.setattr(lm, "GROUP_GRAMS", group)
+    train = ["The cat sat on the mat", "the dog ate the cat", None, "", "héllo  wörld\tagain", "the the the"] * 2
+    texts = [*train, "the cow sat on zebra", "THE DOG", None, "q" * 300, "日本 the", "z\0\0z"]
+    docs = table(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    log10 = brute_ppm(train)
+    for r in lm.score(docs, lm.count(docs.filter(F.col("doc_id") < len(train)))).collect():
+        want = log10(texts[r.doc_id])
+        assert abs(r.score - want) < 1e-5 * abs(want) + 1e-6, texts[r.doc_id]
+
+
 def test_lm_stays_a_distribution_when_pruned(spark, monkeypatch):
     monkeypatch.setattr(lm, "MAX_GRAMS", 40)
     docs = table(spark, [(i, f"abra cadabra {'xy' * i}", "en") for i in range(9)])

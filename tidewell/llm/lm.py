@@ -9,9 +9,10 @@ symbols of the longer context are excluded: as a context's symbols all follow it
 too, what remains of T and d is a constant of the longer context, so all is precomputed and
 scoring is table lookup. Below order 0 the bytes never seen are alike.
 
-Counts cover all training rows. The model that travels to the executors is bounded: grams seen less than a
-threshold are left out, the least power of two that leaves ``MAX_GRAMS``; likewise the ``HOT_WORDS``
-commonest words. What is left out still counts in the totals, so it adds to the escapes. Rarer words are counted by a join, with no bound.
+Counts cover all training rows and every gram has its part in the scores. What travels to the executors is bounded: grams
+seen less than a threshold stay behind, the least power of two that leaves ``MAX_GRAMS``; likewise words beyond the
+``HOT_WORDS`` commonest. If grams stay behind, only whole grams that travel are scored in place, as their counts and totals are exact;
+all others are scored once each against the table of all grams, dealt by the two bytes before the symbol, and joined. So are rarer words.
 
 Defined results: null and blank texts have the end token only; repeated rows are trained on and scored
 row by row; without training rows every count is 0 and all bytes are alike; words are told apart
@@ -40,6 +41,7 @@ END = b"\n"
 BATCH_BYTES = 1 << 19
 FLUSH_WORDS = 200_000
 FLUSH_GRAMS = 500_000
+GROUP_GRAMS = 60_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -123,9 +125,12 @@ def count(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Trie:
-    """Log10 probabilities by context, from arrays of gram keys and counts per order, and the number of all grams."""
+    """Log10 probabilities by context, from arrays of gram keys and counts per order, and the number of all grams.
 
-    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]], all_grams: int):
+    Without that number the grams are all that follow their contexts, whose totals are then their sums.
+    """
+
+    def __init__(self, by_order: list[tuple[np.ndarray, np.ndarray]], all_grams: int | None = None):
         self.grams, self.contexts = [], []
         shorter = None
         for k, (keys, n) in enumerate(by_order):
@@ -137,14 +142,17 @@ class Trie:
             rest = again = np.zeros(len(context))
             with np.errstate(divide="ignore", invalid="ignore"):
                 if not shorter:
-                    total = np.full(len(context), float(all_grams))
+                    total = kept if all_grams is None else np.full(len(context), float(all_grams))
                     texts = n[keys == np.uint64(END[0])].sum()
                 else:
                     below, below_n, below_context, below_total, below_kept, below_distinct = shorter
-                    # A context is the gram before its symbol, but for the padding before a text.
-                    at = np.minimum(np.searchsorted(below, context), len(below) - 1)
-                    total = np.where(below[at] == context, below_n[at], 0.0) if len(below) else np.zeros(len(context))
-                    total = np.where(context & np.uint64(255) == np.uint64(END[0]), texts, total)
+                    if all_grams is None:
+                        total = kept
+                    else:
+                        # A context is the gram before its symbol, but for the padding before a text.
+                        at = np.minimum(np.searchsorted(below, context), len(below) - 1)
+                        total = np.where(below[at] == context, below_n[at], 0.0) if len(below) else np.zeros(len(context))
+                        total = np.where(context & np.uint64(255) == np.uint64(END[0]), texts, total)
                     mask = np.uint64((1 << 8 * k) - 1)
                     same = below_n[np.searchsorted(below, keys & mask)]
                     used = np.add.reduceat(same, first) if len(n) else same
@@ -159,6 +167,15 @@ class Trie:
             shorter = keys, n, context, total, kept, distinct
         self.floor = -np.log10(max(1, 256 - len(by_order[0][0])))
 
+    def whole(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams are here at full length, and their log10 probability (0 for others)."""
+        table, start, _ = self.grams[ORDER]
+        row = table.find(keys)
+        hit = row >= 0
+        out = np.zeros(len(keys))
+        out[hit] = start[row[hit]]
+        return hit, out
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each gram after the bytes before it."""
         out = np.zeros(len(keys))
@@ -203,8 +220,10 @@ def fit(counts: DataFrame) -> dict:
     full = counts.filter("kind = 0").select("key", "n")
     suffixes = F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")) for k in range(ORDER + 1)])
     every = full.select("n", F.explode(suffixes).alias("g")).groupBy("g.k", "g.key").agg(F.sum("n").alias("n"))
-    kept = _bounded(checkpointed(every), MAX_GRAMS)
+    every = checkpointed(every)
+    kept = _bounded(every, MAX_GRAMS)
     model = {"grams": [_arrays(kept.filter(F.col("k") == k)) for k in range(ORDER + 1)]}
+    model["all_here"] = every.count() == sum(len(keys) for keys, _ in model["grams"])
     model["all_grams"] = full.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     words = counts.filter("kind = 1").select("key", "n")
     model["tokens"], model["distinct"] = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).collect()[0]
@@ -219,15 +238,61 @@ def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.uint64), n
 
 
+def _far_logs(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, log) of every gram in ``wanted``, from all grams of ``counts``.
+
+    All that decides a gram from order 2 up shares the two bytes before its symbol, so grams are dealt by these and each group
+    is scored by its own trie; orders 0 and 1, with 65,792 grams at most, go to every task.
+    """
+    full = counts.filter("kind = 0").select("key", "n")
+    short = [full.groupBy(F.col("key").bitwiseAND(F.lit(m)).alias("key")).agg(F.sum("n").alias("n")) for m in (0xFF, 0xFFFF)]
+    shared = counts.sparkSession.sparkContext.broadcast([_arrays(x) for x in short])
+    rows = full.unionAll(wanted.select("key", F.lit(0).cast("long").alias("n")))
+    rows = rows.withColumn("pair", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+
+    def scored(keys, n):
+        asked = keys[n == 0]
+        by_order = [(keys[n > 0], n[n > 0])]
+        for k in range(ORDER - 1, 1, -1):
+            longer, times = by_order[0]
+            shorter, back = np.unique(longer & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            by_order.insert(0, (shorter, np.bincount(back, times, len(shorter))))
+        logs = Trie([*shared.value, *by_order]).log10(asked) if len(asked) else np.empty(0)
+        return pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(logs)], names=["key", "log"])
+
+    def found(batches):
+        _BUILT.clear()
+        held, waiting = [], 0
+        for batch in batches:
+            key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            held.append((key.view(np.uint64), n))
+            waiting += len(key)
+            if waiting > GROUP_GRAMS:
+                keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                pairs = keys >> np.uint64(8) & np.uint64(0xFFFF)
+                cut = int(np.argmax(pairs == pairs[-1]))  # the last group may go on; groups are in one run each
+                if cut:
+                    yield scored(keys[:cut], n[:cut])
+                held, waiting = [(keys[cut:], n[cut:])], 0
+        if held:
+            yield scored(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    dealt = rows.repartition("pair").sortWithinPartitions("pair").select("key", "n")
+    return dealt.mapInArrow(found, "key long, log double")
+
+
 _BUILT: dict = {}
 
 
 def _tables(shared) -> tuple[Trie, Table, np.ndarray]:
-    """The trie and the hot words, built once per worker process."""
+    """The trie and the hot words, built once per worker process. If not all grams are here, only those of full length serve."""
     if shared.value["name"] not in _BUILT:
         _BUILT.clear()
         model = shared.value
-        _BUILT[model["name"]] = Trie(model["grams"], model["all_grams"]), Table(model["hot"][0]), model["hot"][1]
+        trie = Trie(model["grams"], model["all_grams"])
+        if not model["all_here"]:
+            trie.grams[:ORDER], trie.contexts = [None] * ORDER, []
+        _BUILT[model["name"]] = trie, Table(model["hot"][0]), model["hot"][1]
     return _BUILT[shared.value["name"]]
 
 
@@ -236,9 +301,9 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
     model = fit(counts)
     model["name"] = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS and HOT_WORDS rows at most
-    tokens_seen, distinct = model["tokens"], model["distinct"]
+    tokens_seen, distinct, all_here = model["tokens"], model["distinct"], model["all_here"]
     del model
-    names = ["n_tokens", "n_hot", "hot_logs", "score", "rare"]
+    names = ["n_tokens", "n_hot", "hot_logs", "score", "rare", "far"]
 
     def scored(batches):
         trie, known, times = _tables(shared)
@@ -246,7 +311,10 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
             for start, end, texts in _parts(batch.column(len(keep))):
                 split = [tokens(t) for t in texts]
                 keys, first = grams(split)
-                total = np.add.reduceat(trie.log10(keys), first)
+                here, each = (np.ones(len(keys), bool), trie.log10(keys)) if all_here else trie.whole(keys)
+                total = np.add.reduceat(each, first)
+                far_ends = np.concatenate(([0], np.cumsum(np.add.reduceat((~here).astype(np.int64), first)))).astype(np.int32)
+                far = pa.ListArray.from_arrays(pa.array(far_ends), pa.array(keys[~here].view(np.int64)))
                 sizes = np.array([len(ws) + 1 for ws in split], np.int64)
                 hashed = word_keys([w for ws in split for w in (*ws, END)])
                 row = known.find(hashed)
@@ -256,12 +324,12 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(split))))).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed[~hot].view(np.int64)))
                 columns = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
-                columns += [pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), at)), pa.array(np.add.reduceat(logs, at)), pa.array(total), rare]
+                columns += [pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), at)), pa.array(np.add.reduceat(logs, at)), pa.array(total), rare, far]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     rows = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
-    kinds = "n_tokens long, n_hot long, hot_logs double, score double, rare array<long>"
+    kinds = "n_tokens long, n_hot long, hot_logs double, score double, rare array<long>, far array<long>"
     found = rows.mapInArrow(scored, f"{fields}, {kinds}").withColumn("_row", F.monotonically_increasing_id())
     found = checkpointed(found)
     rare = found.select("_row", F.explode("rare").alias("key"))
@@ -269,11 +337,17 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
     seen = rare.join(all_words, "key").groupBy("_row").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_logs"))
     norm = float(np.log10(tokens_seen + distinct + 1))
     joined = found.join(seen, "_row", "left").na.fill({"n_rare": 0, "rare_logs": 0.0})
+    log10 = F.col("score")
+    if not all_here:
+        far = found.select("_row", F.explode("far").alias("key"))
+        logs = _far_logs(counts, far.select("key").distinct())
+        joined = joined.join(far.join(logs, "key").groupBy("_row").agg(F.sum("log").alias("far_logs")), "_row", "left")
+        log10 = F.col("score") + F.coalesce("far_logs", F.lit(0.0))
     return joined.select(
         *keep,
         "n_tokens",
         (F.col("n_hot") + F.col("n_rare")).alias("n_known"),
         F.lit(tokens_seen).cast("long").alias("train_tokens"),
         (F.col("hot_logs") + F.col("rare_logs") - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
+        log10.alias("score"),
     )
