@@ -27,8 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that spread over many sources; ``n_chars`` follows the text."""
-    clean = lines.drop_boilerplate(docs.select(*COLUMNS))
+    """Documents without the lines that spread over many sources; ``n_chars`` follows the text.
+
+    Of documents made up of such lines, only copies stay whole, for the next stage to decide on.
+    """
+    clean = lines.drop_boilerplate(docs.select(*COLUMNS), only_copies=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*COLUMNS)
 

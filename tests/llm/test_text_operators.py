@@ -63,6 +63,23 @@ def test_line_spread(spark):
     assert lines.drop_boilerplate(table(spark, *rows).limit(0)).count() == 0
 
 
+def test_only_copies_keep_their_widespread_lines(spark):
+    import corpus_pipeline
+
+    mark = "All rights reserved here. " * 8
+    rows = [(i, f"own text number {i} " * 20 + f"\n{mark}", f"s{i}") for i in range(6)]
+    rows += [(10, f"short page\n{mark}", "s1"), (11, mark, "s1"), (12, mark, "s2"), (13, f"  {mark}\n\n{mark}", None)]
+    rows += [(14, f"one site\n{mark}", "s3"), (15, f"one site\n{mark}", "s3"), (16, f"odd\n{mark}", None), (16, f"odd\n{mark}", "s4")]
+    docs = table(spark, *rows)
+    got = {r.doc_id: r for r in lines.drop_boilerplate(docs, only_copies=True).collect()}
+    assert all(got[i].n_removed == got[i].n_spread == 1 for i in (*range(6), 10, 14, 15, 16)) and got[10].text == "short page"
+    assert got[14].text == "one site" and all(got[i].text == mark and got[i].n_removed == 0 for i in (11, 12))
+    assert got[11].n_spread == 1 and got[13].n_spread == 2 and got[13].n_removed == 2 and got[13].text == ""
+    assert lines.drop_boilerplate(docs.limit(0), only_copies=True).count() == 0
+    staged = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, "").collect()}
+    assert staged[10].text == "short page" and staged[10].n_chars == 10 and staged[11].text == mark
+
+
 def test_near_threshold_counts_are_exact(spark):
     rows = [(i * 100 + j, f"line {i}\nfill {i} {j} long enough text", f"s{j}") for i in range(3, 8) for j in range(i)]
     got = lines.drop_boilerplate(table(spark, *rows)).groupBy((F.col("doc_id") / 100).cast("int").alias("i")).agg(F.max("n_removed").alias("n")).collect()

@@ -3,7 +3,8 @@
 A HyperLogLog sketch of the sites on each line hash is merged by aggregation. Lines whose estimate
 lies near the threshold get exact distinct counts. Lines that occur on ``min_sites`` sites or more
 are boilerplate and leave every document, unless that would take more than ``max_share`` of the
-document: such a document is a copy of another as a whole, which near-duplicate removal decides on.
+document. With ``only_copies`` such a document stays whole only if it is shown to be a copy, as the same set of lines stands on
+two sites or more (near-duplicate removal decides on it); all others lose their widespread lines, at worst all of their text.
 
 Defined results: a null text stays null and has no lines; blank lines are neither counted nor
 removed; a null site is no site; lines are compared without surrounding ASCII spaces; repeated
@@ -60,15 +61,36 @@ def widespread_lines(lines: DataFrame, min_sites: int, slack: float = 0.1) -> Da
     return checkpointed(clear.unionAll(exact))
 
 
+def copied_texts(docs: DataFrame, text: str, site: str) -> DataFrame:
+    """Keys of the texts whose set of lines that are not blank stands on two sites or more."""
+    cores = F.filter(F.transform(F.split(F.col(text), "\n"), _core), lambda x: x != "")
+    sets = docs.filter(F.col(text).isNotNull() & F.col(site).isNotNull()).select(
+        F.xxhash64(text).alias("_key"), F.xxhash64(F.array_sort(F.array_distinct(cores))).alias("_set"), F.col(site).alias("_site")
+    )
+    each = sets.groupBy("_set", "_key").agg(F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
+    each = checkpointed(each)
+    several = each.groupBy("_set").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).filter("_lo < _hi")
+    return each.join(several, "_set", "left_semi").select("_key").distinct()
+
+
 def drop_boilerplate(
-    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 5, max_share: float = 0.5
+    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 5, max_share: float = 0.5, only_copies: bool = False
 ) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and the columns ``n_lines`` and ``n_removed`` (replaced if present)."""
+    """``docs`` with ``text`` cleaned, and the columns ``n_lines``, ``n_spread`` and ``n_removed`` (replaced if present).
+
+    A document that was left uncut has widespread lines (``n_spread``) and none removed.
+    """
     lines = _lines(docs, text, site)
     spread = widespread_lines(lines, min_sites)
     key, spots, kept = (free_name(docs, x) for x in ("_text_key", "_spots", "_kept"))
     marked = _among(lines.select("_key", "_pos", "_h"), spread)
     marked = marked.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_set("_pos")).alias(spots))
+    copy = free_name(docs, "_copy")
+    if only_copies:
+        copies = copied_texts(docs, text, site).select(F.col("_key").alias(key), F.lit(True).alias(copy))
+        marked = marked.join(copies, key, "left")
+    else:
+        marked = marked.withColumn(copy, F.lit(True))
     joined = docs.withColumn(key, F.xxhash64(text)).join(marked, key, "left")
     split = F.split(F.col(text), "\n")
     n_spots, end = F.size(spots), F.size(split)
@@ -81,7 +103,9 @@ def drop_boilerplate(
         ),
     )
     joined = joined.withColumn(kept, F.when(F.col(spots).isNotNull(), F.array_join(F.flatten(gaps), "\n")))
-    cut = F.col(kept).isNotNull() & (F.length(kept) >= (1 - max_share) * F.length(text))
+    enough = F.length(kept) >= (1 - max_share) * F.length(text)
+    cut = F.col(kept).isNotNull() & (enough | F.col(copy).isNull())
     out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(end).cast("long"))
+    out = out.withColumn("n_spread", F.when(F.col(spots).isNotNull(), n_spots).otherwise(0).cast("long"))
     out = out.withColumn("n_removed", F.when(cut, n_spots).otherwise(0).cast("long"))
-    return out.withColumn(text, F.when(cut, F.col(kept)).otherwise(F.col(text))).drop(key, spots, kept)
+    return out.withColumn(text, F.when(cut, F.col(kept)).otherwise(F.col(text))).drop(key, spots, kept, copy)
