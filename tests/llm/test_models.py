@@ -83,6 +83,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_one_row_stays_of_each_component_when_ids_repeat(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue black"]
+    rows = [(1, texts[0], "a"), (1, texts[1], "b"), (2, texts[1], "c"), (1, texts[2], "d"), (0, texts[2], "e"), (0, texts[2], "e")]
+    for turn in (rows, rows[::-1]):
+        stay = simhash.one_per_component(table(spark, turn)).collect()
+        assert sorted((r.doc_id, r.text, r.lang) for r in stay) == [(0, texts[2], "e"), (1, texts[0], "a"), (1, texts[1], "b")]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(900, 901), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in components(edges).collect()}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name
 from .components import components
 
 RADIUS = 3
@@ -56,15 +56,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64 bits as a signed long."""
+    """(doc_id, fp, digest) of every row; fp is the 64 bits as a signed long, digest tells texts of one fingerprint apart."""
 
     def hashed(batches):
         for batch in batches:
             values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(hashed, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    return source.mapInArrow(hashed, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long, digest long")
 
 
 def _long(value: int) -> str:
@@ -174,14 +174,19 @@ def _pairs(batches):
         yield linked(*held)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; ``component_id`` is the least id that links reach."""
+def _rooted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, digest) of every row, and (fp, least, root) of every fingerprint, with its least id and its component."""
     hashed = checkpointed(fingerprints(docs, doc_id, text))
     fps = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     dealt = _variants(fps.select("fp")).repartition("block", "variant").sortWithinPartitions("block", "variant", "fp")
     roots = components(dealt.mapInArrow(_pairs, "a long, b long"))
     rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpointed(rooted)
+    return hashed, checkpointed(rooted)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every row; ``component_id`` is the least id that links reach."""
+    hashed, rooted = _rooted(docs, doc_id, text)
     ids = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpointed(rooted.join(ids, "root", "left").select("fp", "component_id"))
     return hashed.join(named, "fp", "left").select("doc_id", "fp", "component_id")
@@ -190,9 +195,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the least id, once.
 
-    Rows without an id cannot be named by a component: they stay, once per text.
+    If that id stands on several texts of the component, the one of least fingerprint, then of least hash, stays. An id may
+    stay in several components. Rows without an id cannot be named by a component: they stay, once per text.
     """
-    found = near_duplicates(docs, doc_id, text)
-    ids = checkpointed(found.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    stay = docs.join(ids, doc_id, "left_semi").dropDuplicates([doc_id])
-    return stay.unionByName(docs.filter(F.col(doc_id).isNull()).dropDuplicates([text]))
+    hashed, rooted = _rooted(docs, doc_id, text)
+    digest = free_name(docs, "_digest")
+    each = hashed.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("first"))
+    first = each.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keys = checkpointed(first.select(F.col("first.doc_id").alias(doc_id), F.col("first.digest").alias(digest)).distinct())
+    stay = docs.withColumn(digest, F.xxhash64(text)).join(keys, [doc_id, digest], "left_semi").dropDuplicates([doc_id, digest])
+    return stay.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()).dropDuplicates([text]))
