@@ -47,3 +47,10 @@ def test_entry_point_lists_every_query(spark):
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_lines_after_the_first_compete(spark, tmp_path):
+    rows = [(1, "plain\nthe undoing", "s", "en", 1), (2, "the undoing\n\nthe red 🔴", "s", "en", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["profile_all_lines"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("the undoing", 1, 2, 12), ("the red 🔴", 2, 3, 5), ("plain", 1, 1, 0), ("", 2, 2, 0)]

@@ -74,6 +74,13 @@ def _profile(spark, sf_dir):
     return startup.profile_lines(d, ["the ", "ing", "und"])
 
 
+def _profile_all(spark, sf_dir):
+    """As ``_profile``, over all lines of the documents in order of id and place."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    lines = lines.select("line", F.struct("doc_id", (F.col("at") + 1).cast("long").alias("pos")).alias("line_no"))
+    return startup.profile_lines(lines, ["the ", "ing", "und"]).select("line", "line_no.doc_id", "line_no.pos", "score")
+
+
 QUERIES = {
     "messages_after_uuid": _cursor_uuid,
     "messages_after_count": _cursor_count,
@@ -91,6 +98,7 @@ QUERIES = {
     "packed_chunks": lambda spark, sf_dir: startup.pack(_priorities(spark, sf_dir), 20000, ["payload"]).filter("taken").select("payload", "handle"),
     "first_sightings": lambda spark, sf_dir: startup.first_sightings(_bullets(spark, sf_dir)).select("chunk_rank", "line_no"),
     "profile_lines": lambda spark, sf_dir: _profile(spark, sf_dir).select("line", "line_no", "score"),
+    "profile_all_lines": _profile_all,
 }
 
 PRIORITY_SQL = f"""{CHUNKS_SQL}, ranked AS (
@@ -139,4 +147,10 @@ SELECT payload, handle FROM fold WHERE taken""",
     "profile_lines": """WITH once AS (SELECT string_split(text, chr(10))[1] AS line, min(doc_id) AS line_no FROM documents GROUP BY 1)
 SELECT line, line_no, CAST(4 * (contains(lower(line), 'the ')::INT + contains(lower(line), 'ing')::INT + contains(lower(line), 'und')::INT) AS INTEGER) AS score
 FROM once ORDER BY score DESC, line_no LIMIT 16""",
+    "profile_all_lines": """WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+numbered AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split),
+once AS (SELECT ls[pos] AS line, doc_id, pos FROM numbered QUALIFY row_number() OVER (PARTITION BY ls[pos] ORDER BY doc_id, pos) = 1)
+SELECT line, doc_id, pos, CAST(4 * (contains(lower(line), 'the ')::INT + contains(lower(line), 'ing')::INT + contains(lower(line), 'und')::INT)
+  + contains(line, '🔴')::INT AS INTEGER) AS score
+FROM once ORDER BY score DESC, doc_id, pos LIMIT 16""",
 }
