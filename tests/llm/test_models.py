@@ -256,3 +256,128 @@ def test_toxicity_learns_pairs(spark):
     assert len(odd) == 3 and all(0 <= r.score <= 1 for r in odd)
     empty = toxicity.fit(docs, table_l.limit(0))
     assert toxicity.score(docs.drop("score"), empty).filter("score >= 0.3").count() == 0
+
+
+def test_toxicity_learns_what_no_sum_of_weights_can(spark):
+    """Toxic is an insult or a group mention, but not both: neither word tells anything alone."""
+    rng = random.Random(8)
+    filler = [f"w{k}" for k in range(200)]
+    rows, labels = [], []
+    for i in range(1500):
+        insult, group = i % 2, i // 2 % 2
+        rows.append((i, " ".join(rng.sample(filler, 12) + ["scum"] * insult + ["folk"] * group), "en"))
+        labels.append((i, insult ^ group))
+    docs, known = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs, known.filter("doc_id < 1000"))
+    got = toxicity.score(docs.filter("doc_id >= 1000"), machine).toPandas().set_index("doc_id").score
+    assert np.mean([(got[i] >= 0.3) == bool(y) for i, y in labels[1000:]]) > 0.97
+    # The best additive model over the same two words says the same for all four kinds: half are right.
+    assert abs(np.mean([y for i, y in labels[1000:] if i % 2]) - np.mean([y for i, y in labels[1000:] if not i % 2])) < 0.05
+    # Every score is the machine's formula, written out pair by pair.
+    for i, text, _ in rows[:30]:
+        on = machine.active(toxicity.terms(text))
+        margin = machine.bias + sum(float(machine.w[a]) for a in on)
+        margin += sum(float(np.dot(machine.v[a].astype(float), machine.v[b].astype(float))) for k, a in enumerate(on) for b in on[k + 1 :])
+        mine = toxicity.score(docs.filter(F.col("doc_id") == i), machine).first().score if i < 3 else float(toxicity._sigmoid(np.array(machine.margin(on))))
+        assert abs(mine - 1 / (1 + math.exp(-margin))) < 1e-6
+
+
+def test_interactions_match_a_plain_count():
+    rng = np.random.default_rng(3)
+    has, toxic = rng.random((600, 5)) < 0.4, rng.random(600) < 0.3
+    toxic |= has[:, 0] & has[:, 1]
+    part = [has[~toxic].astype(float), has[toxic].astype(float)]
+    z = toxicity.interactions([p.T @ p for p in part], [p.sum(0) for p in part], slice(0, 5), [float(len(p)) for p in part])
+    for i in range(5):
+        for j in range(i + 1, 5):
+            total, error = 0.0, 0.0
+            for a, b, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)):
+                cell = toxic[(has[:, i] == a) & (has[:, j] == b)]
+                rate = (cell.sum() + 0.5) / (len(cell) + 1)
+                total += sign * rate
+                error += max(rate * (1 - rate), toxic.mean() * (1 - toxic.mean())) / len(cell)
+            assert abs(z[i, j] - abs(total) / math.sqrt(error)) < 1e-9
+    assert z[0, 1] > 6 > z[2, 3]
+
+
+def test_toxicity_of_odd_rows(spark):
+    long = "word " * 200_000
+    docs = table(spark, [(1, "you scum", "en"), (1, "all fine here", "en"), (2, "scum " * 3, "en"), (3, long, "en"), (4, "fine day", "en"), (5, None, None)])
+    known = spark.createDataFrame([(i, int(i in (1, 2))) for i in range(1, 6)], "doc_id long, toxic int")
+    machines = [toxicity.fit(d, known) for d in (docs, docs.orderBy(F.desc("text")))]
+    scores = [[r.score for r in toxicity.score(docs.orderBy("doc_id", "text"), m).collect()] for m in machines]
+    assert scores[0] == scores[1] and len(scores[0]) == 6 and all(0 <= x <= 1 for x in scores[0])
+    clash = toxicity.score(docs, machines[0], keep=("doc_id", "score", "_text"))
+    assert clash.columns == ["doc_id", "_text", "score"] and clash.count() == 6
+    assert toxicity.score(docs.limit(0), machines[0]).count() == 0
+
+
+def test_language_id_matches_plain_numpy(spark):
+    rng = random.Random(6)
+    rows = [(i, sample(rng, lang, 20 + i), lang) for i, lang in enumerate(list(LANGS) * 4)]
+    docs = table(spark, rows)
+
+    def bundle(text):
+        out = np.zeros(langid.DIMENSIONS)
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = " " + " ".join(letters.split()) + " "
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            if b != " ":
+                code = [ord(x) if x != " " else 0 for x in (a, b, c)]
+                out += np.roll(langid._letter(code[0]), 2).astype(float) * np.roll(langid._letter(code[1]), 1) * langid._letter(code[2])
+        return out
+
+    want = {lang: sum(bundle(t) for _, t, name in rows if name == lang) for lang in LANGS}
+    prototypes = langid.fit(docs)
+    assert all(np.allclose(prototypes[k], want[k]) for k in LANGS)
+    for r in langid.predict(docs, prototypes, keep=("doc_id", "text", "score", "lang_pred") if "lang_pred" in docs.columns else ("doc_id", "text", "score")).collect():
+        own = bundle(r.text)
+        cosines = {k: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for k, v in want.items()}
+        assert r.lang_pred == max(cosines, key=cosines.get) and abs(r.score - max(cosines.values())) < 1e-5
+
+
+def test_language_id_ties_lengths_and_empty_tables(spark):
+    docs = table(spark, [(1, "abc abd", "zz"), (2, "abc abd", "yy"), (3, "other words", "xx")])
+    prototypes = langid.fit(docs)
+    got = langid.predict(table(spark, [(1, "abc", None), (2, "abc " * 300_000, None), (3, "Абв где", None)]), prototypes).collect()
+    assert [r.lang_pred for r in got][:2] == ["yy", "yy"] and 0 <= got[2].score <= 1
+    assert langid.predict(docs.limit(0), prototypes).count() == 0
+    rows = [(i, score, "x" * n) for i, (score, n) in enumerate([(0.16, 5000), (0.13, 5000), (0.02, 3), (0.0, 3), (0.11, 200), (0.1, 200)])]
+    judged = spark.createDataFrame(rows, "i int, score double, text string")
+    kept = judged.filter(langid.accepted(F.lit("en"), F.col("score"), F.col("text"))).collect()
+    assert [r.i for r in kept] == [0, 2, 4]
+    assert judged.filter(langid.accepted(F.lit("und"), F.col("score"), F.col("text"))).count() == 0
+
+
+def test_kept_columns_may_be_named_like_results(spark):
+    docs = table(spark, [(1, "a b c", "en"), (2, None, None)]).withColumns({"ids": F.lit(5), "n_tokens": F.lit(1), "failed_bits": F.lit(9)})
+    coded = pieces.encode_documents(docs, pieces.model_bytes(), keep=("doc_id", "ids", "_text"))
+    assert coded.columns == ["doc_id", "_text", "ids", "decoded"] and coded.filter("_text = 'x'").count() == 2
+    assert pieces.encode_documents(docs.limit(0), pieces.model_bytes()).count() == 0
+    scored = lm.score(docs, lm.count(docs), keep=("doc_id", "score", "n_tokens", "_text"))
+    assert scored.columns == ["doc_id", "_text", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert scored.filter("n_tokens > 0 AND score < 0 AND _text = 'x'").count() == 2
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_vector_search_recall_outside_the_fit(spark, monkeypatch, n):
+    """The window is fitted on few queries; recall is counted on all the others."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 12)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "SPAN", 256)
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(n // 20, 24))
+    x = (centres[rng.integers(0, len(centres), n)] + 0.4 * rng.normal(size=(n, 24))).astype(np.float32)
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.entries(t, F.col("vec_id") % 5 == 0, 5).cache()
+    fitted = {r.ids[0] for r in found.filter("asks").orderBy(F.xxhash64("v")).limit(12).collect()}
+    got = neighbours.search(t, F.col("vec_id") % 5 == 0, k=5, curves=8).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = total = 0
+    for q in range(0, n, 5):
+        if q not in fitted:
+            s = u @ u[q]
+            s[q] = -9
+            hit += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
+            total += 5
+    assert hit / total >= 0.9

@@ -142,3 +142,21 @@ def test_digest_columns_match_plain_python(spark):
     laid = chat.format_conversations(spark.createDataFrame(rows, TURNS))
     text = laid.select(F.sha2(chat.masked_text(F.col("formatted"), F.col("loss_spans")), 256)).collect()[0][0]
     assert text == hashlib.sha256("answer é".encode()).hexdigest()
+
+
+def test_ledger_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c a b c", "s"), (2, None, "s")]
+    docs = table(spark, *rows).withColumns({"n_words": F.lit(-5), "_kept": F.lit("k"), "_w": F.lit("w")})
+    got = quality.ledger(docs, keep=("doc_id", "_t", "n_words", "_kept", "_w", "key"))
+    assert got.columns[:5] == ["doc_id", "_t", "_kept", "_w", "key"] and got.columns.count("n_words") == 1
+    assert [(r.doc_id, r._t, r._kept, r._w, r.n_words, r.n_repeat_words) for r in got.collect()] == [(1, "x", "k", "w", 6, 6), (2, "x", "k", "w", 0, 0)]
+    assert [r.r for r in got.select(quality.sole_rule("base").alias("r")).collect()] == [None, "few_words"]
+
+
+def test_a_long_conversation_and_a_long_text(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} #", "z") for i in range(3000)]
+    laid = chat.format_conversations(spark.createDataFrame(rows, TURNS))
+    got = laid.select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert got.n == 3000 and got.loss == "".join(f"turn {i} #" for i in range(1, 3000, 2))
+    units = mixing.mix(table(spark, (1, "w " * 300_000, "s"), (2, "w w", "s")))
+    assert {r.doc_id: r["size"] for r in units.collect()} == {1: 300_000, 2: 2}

@@ -35,13 +35,29 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def kept_columns(keep: tuple[str, ...], *made: str) -> tuple[str, ...]:
+    """``keep`` without columns named like those that an operator adds: these give way to the new ones."""
+    taken = {c.lower() for c in made}
+    return tuple(c for c in keep if c.lower() not in taken)
+
+
+def with_fields(rows: DataFrame, n: int, more: str) -> T.StructType:
+    """Schema of the first ``n`` columns of ``rows`` and the fields that the DDL text ``more`` names."""
+    return T.StructType([*rows.schema.fields[:n], *T.StructType.fromDDL(more).fields])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary folder, and a cluster an error, as its executors would not see one.
+    """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

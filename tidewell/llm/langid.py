@@ -11,7 +11,8 @@ driver gets one vector per language (``MAX_LANGUAGES`` at most, else an error).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; documents with a
 null text or language teach nothing; repeated rows count as often as they occur; ties go to the
-smaller name; without any training document every prediction is ``und``.
+smaller name; without any training document every prediction is ``und``; an empty table gives an empty table;
+of ``keep``, columns named ``lang_pred`` or ``score`` give way to the results.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_columns, with_fields
+
 DIMENSIONS = 512
 TOGETHER = 128
 MAX_LANGUAGES = 5000
@@ -117,6 +120,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` of every row."""
+    keep = kept_columns(keep, "lang_pred", "score")
     names = [n for n, v in prototypes.items() if np.any(v)]
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else None
 
@@ -140,14 +144,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             columns += [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
-    return rows.mapInArrow(scored, f"{fields}, lang_pred string, score double")
+    rows = docs.select(*keep, F.col(text).alias("_judged_text"))
+    return rows.mapInArrow(scored, with_fields(rows, len(keep), "lang_pred string, score double"))
 
 
-def accepted(lang_pred: Column, score: Column, text: Column, least: float = 0.15, short: int = 200) -> Column:
+def accepted(lang_pred: Column, score: Column, text: Column, least: float = 0.15, half: int = 200) -> Column:
     """Whether a document stays: it has letters, and resembles a language more than letters in random order do.
 
-    The cosine of a few words is low in any language, so texts under ``short`` characters need letters only.
+    The cosine of a bundle of n trigrams with any prototype grows as the square root of n before it levels off, so what is asked does too:
+    ``least`` times sqrt(n / (n + half)), with the length of the text for n. One rule holds at every length.
     """
-    return (lang_pred != UNKNOWN) & ((score >= least) | (F.length(text) < short))
+    n = F.length(text)
+    return (lang_pred != UNKNOWN) & (score >= least * F.sqrt(n / (n + half)))

@@ -16,7 +16,7 @@ all others are scored once each against the table of all grams, dealt by the two
 
 Defined results: null and blank texts have the end token only; repeated rows are trained on and scored
 row by row; without training rows every count is 0 and all bytes are alike; words are told apart
-by their 64-bit hash.
+by their 64-bit hash; an empty table gives an empty table; of ``keep``, columns named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name, kept_columns, with_fields
 from .lookup import Table
 
 ORDER = 5
@@ -298,6 +298,7 @@ def _tables(shared) -> tuple[Trie, Table, np.ndarray]:
 
 def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the trie's log10 probability)."""
+    keep = kept_columns(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     model = fit(counts)
     model["name"] = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_GRAMS and HOT_WORDS rows at most
@@ -308,7 +309,7 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
     def scored(batches):
         trie, known, times = _tables(shared)
         for batch in batches:
-            for start, end, texts in _parts(batch.column(len(keep))):
+            for start, end, texts in _parts(batch.column(1)):
                 split = [tokens(t) for t in texts]
                 keys, first = grams(split)
                 here, each = (np.ones(len(keys), bool), trie.log10(keys)) if all_here else trie.whole(keys)
@@ -323,14 +324,12 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
                 owner = np.repeat(np.arange(len(split)), sizes)[~hot]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(split))))).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed[~hot].view(np.int64)))
-                columns = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
-                columns += [pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), at)), pa.array(np.add.reduceat(logs, at)), pa.array(total), rare, far]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+                columns = [batch.column(0).slice(start, end - start), pa.array(sizes), pa.array(np.add.reduceat(hot.astype(np.int64), at)), pa.array(np.add.reduceat(logs, at)), pa.array(total), rare, far]
+                yield pa.RecordBatch.from_arrays(columns, names=["kept", *names])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
+    rows = docs.select(F.struct(*[F.col(c) for c in keep], F.lit(None).cast("byte").alias(free_name(docs, "_none"))).alias("kept"), F.col(text).alias("text"))
     kinds = "n_tokens long, n_hot long, hot_logs double, score double, rare array<long>, far array<long>"
-    found = rows.mapInArrow(scored, f"{fields}, {kinds}").withColumn("_row", F.monotonically_increasing_id())
+    found = rows.mapInArrow(scored, with_fields(rows, 1, kinds)).withColumn("_row", F.monotonically_increasing_id())
     found = checkpointed(found)
     rare = found.select("_row", F.explode("rare").alias("key"))
     all_words = counts.filter("kind = 1").select("key", "n")
@@ -344,7 +343,7 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", keep: tuple[st
         joined = joined.join(far.join(logs, "key").groupBy("_row").agg(F.sum("log").alias("far_logs")), "_row", "left")
         log10 = F.col("score") + F.coalesce("far_logs", F.lit(0.0))
     return joined.select(
-        *keep,
+        *[F.col(f"kept.`{c}`").alias(c) for c in keep],
         "n_tokens",
         (F.col("n_hot") + F.col("n_rare")).alias("n_known"),
         F.lit(tokens_seen).cast("long").alias("train_tokens"),

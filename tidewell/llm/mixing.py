@@ -23,6 +23,7 @@ from .common import running_totals, words_of
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 CAP = 3
+SALTS = 16
 
 
 def unit_key(doc_id: Column, source: Column, text: Column) -> Column:
@@ -74,8 +75,12 @@ def mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights=
     order = [F.col("source").asc_nulls_last(), F.col("key")]
     placed = running_totals(units, order, {"before": F.col("size") * F.col("copies")})
     targets = source_targets(placed.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, slopes, cap)
-    joined = placed.alias("u").join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")), "left")
-    joined = joined.select("u.*", "t.source_size", "t.start", "t.target", "t.slope")
+    # A source may hold a third of all rows: these are dealt over SALTS keys, and the one row of each source with them.
+    dealt = placed.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS))).alias("u")
+    every = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("t")
+    same = F.col("u.source").eqNullSafe(F.col("t.source")) & (F.col("u.salt") == F.col("t.salt"))
+    joined = dealt.join(every, same, "left").drop(F.col("u.salt"))
+    joined = joined.select("u.key", "u.doc_id", "u.source", "u.size", "u.copies", "u.before", "t.source_size", "t.start", "t.target", "t.slope")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     joined = joined.withColumn("passes", whole).withColumn("offset", F.col("before") - F.col("start"))
     left = F.round("target").cast("long") - F.col("passes") * F.col("source_size") - F.col("offset")

@@ -2,9 +2,12 @@
 
 Unit vectors are projected to ``DIMS`` random directions, once per curve, shifted by a random part
 of a cell, and ordered by the Hilbert key of their cell. Spark range-partitions (curve, key), which
-gives every vector a rank on every curve. Each curve is cut into blocks of ranks; a query meets the
+gives every vector a rank on every curve. Each curve is cut into blocks of ``BLOCK`` ranks; a query meets the
 rows of the blocks that its window of ranks touches, compares itself with those inside the window
-by exact cosine of the original vectors, and keeps the best. The lists of all curves merge.
+in single precision, and keeps the best ``SPARE`` times k. The lists of all curves merge, and the best of them are
+reranked by exact cosine of the original vectors.
+
+A task compares one block with the queries of at most ``SPAN`` ranks, however wide the window is.
 
 The window is fitted: for ``SAMPLE`` queries the true neighbours are found by a scan, and the window is the distance in ranks, on the
 nearest curve, that holds ``RECALL`` of them. On data with low inner dimension it stays a few rows at any size; on data
@@ -15,7 +18,7 @@ any answer, so copies cost nothing and ties go to the smaller id.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
 vectors of another length than the commonest (the longer on ties); a null id takes no part; a repeated id counts once per
-distinct vector; fewer candidates than k give all of them; an empty table gives no rows.
+distinct vector; fewer candidates than k give all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from .common import checkpointed, running_totals
 from .hilbert import hilbert_key
 
 CURVES = 32
-DIMS, BITS = 8, 5
+DIMS, BITS = 12, 4
 SAMPLE = 200
-RECALL = 0.97
+RECALL = 0.95
 BLOCK = 4096
+SPAN = 64 * BLOCK
+SPARE = 2
 SPREAD = 3.2
 
 
@@ -50,6 +55,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def entries(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(entry, v, ids, asks): one row per distinct usable vector, its k + 1 least ids, and whether a query has it.
 
+    ``entry`` is a row number, to be fixed by a checkpoint.
     Ids are cut to k + 1 per partition before the shuffle and per vector after it; nothing that can
     be among the k nearest is lost.
     """
@@ -80,7 +86,7 @@ def entries(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
 
     part = rows.filter(F.size("v") == width).mapInArrow(least, "v array<double>, ids array<long>, asks boolean")
     merged = part.groupBy("v").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.bool_or("asks").alias("asks"))
-    return merged.select(F.xxhash64("v").alias("entry"), "v", "ids", "asks")
+    return merged.select(F.monotonically_increasing_id().alias("entry"), "v", "ids", "asks")
 
 
 def _frame(width: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +135,7 @@ def nearest_by_scan(found: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
 
 def fit_window(ranked: DataFrame, found: DataFrame, k: int) -> int:
     """Distance in ranks, on the nearest curve, that holds ``RECALL`` of the neighbours of ``SAMPLE`` queries."""
-    sample = found.filter("asks").orderBy(F.xxhash64("entry")).limit(SAMPLE).select("entry", "v").toPandas()
+    sample = found.filter("asks").orderBy(F.xxhash64("v")).limit(SAMPLE).select("entry", "v").toPandas()
     if not len(sample):
         return 1
     truth = nearest_by_scan(found, sample, k)
@@ -142,14 +148,32 @@ def fit_window(ranked: DataFrame, found: DataFrame, k: int) -> int:
     return max(1, int(np.ceil(np.quantile(apart, RECALL))))
 
 
+def _unit(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors in single precision, as they travel to the blocks."""
+    m = _matrix(column, width)
+    return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _packed(found: DataFrame, width: int) -> DataFrame:
+    """(entry, asks, unit) with the unit vector as bytes."""
+
+    def pack(batches):
+        for batch in batches:
+            flat = _unit(batch.column(2), width).tobytes()
+            unit = pa.array([flat[at : at + 4 * width] for at in range(0, len(flat), 4 * width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit], names=["entry", "asks", "unit"])
+
+    return found.select("entry", "asks", "v").mapInArrow(pack, "entry long, asks boolean, unit binary")
+
+
 def _best(block: pd.DataFrame, asks: pd.DataFrame, k: int, window: int) -> pd.DataFrame:
     """The k best of a block for each query whose window touches it."""
-    rows = _unit(block["v"])
-    rank, own = block["rank"].to_numpy(), block["entry"].to_numpy()
+    stacked = lambda part: np.frombuffer(b"".join(part["unit"]), np.float32).reshape(len(part), -1)
+    rows, rank, own = stacked(block), block["rank"].to_numpy(), block["entry"].to_numpy()
     out = []
     for start in range(0, len(asks), 256):
         part = asks.iloc[start : start + 256]
-        scores = _unit(part["v"]) @ rows.T
+        scores = stacked(part) @ rows.T
         outside = np.abs(part["rank"].to_numpy()[:, None] - rank[None, :]) > window
         scores[outside | (part["entry"].to_numpy()[:, None] == own[None, :])] = -2
         best = np.argpartition(-scores, min(k, len(own) - 1), axis=1)[:, :k]
@@ -159,26 +183,16 @@ def _best(block: pd.DataFrame, asks: pd.DataFrame, k: int, window: int) -> pd.Da
     return found[found["score"] >= -1.5]
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_list())
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", curves: int = CURVES) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest found for every row that ``is_query`` names."""
-    found = checkpointed(entries(table, is_query, k, vec_id, vector))
-    head = found.select(F.size("v")).head()
-    width = head[0] if head else 1
-    ranked = running_totals(_keyed(found, width, curves), [F.col("curve"), F.col("key"), F.col("entry")], {"rank": F.lit(1)})
-    ranked = checkpointed(ranked.select("curve", "entry", "rank"))
-    window = fit_window(ranked, found, k)
-    spread = lambda column: (F.col(column) / BLOCK).cast("long")
-    placed = ranked.join(found.select("entry", "v", "asks"), "entry").withColumn("block", spread("rank"))
-    low, high = spread("low"), spread("high")
-    asks = placed.filter("asks").withColumns({"low": F.greatest(F.col("rank") - window, F.lit(0)), "high": F.col("rank") + window})
-    asks = asks.withColumn("block", F.explode(F.sequence(low, high))).select("curve", "block", "entry", "rank", "v")
-    # A block holds BLOCK ranks; the queries that meet it lie within the window of it.
-    both = placed.select("curve", "block", "entry", "rank", "v", F.lit(False).alias("ask")).unionByName(asks.withColumn("ask", F.lit(True)))
+def candidates(found: DataFrame, ranked: DataFrame, window: int, width: int, k: int) -> DataFrame:
+    """(query, entry) of the best k of every query among the rows inside its window on any curve, by single precision."""
+    block, span = (lambda rank: F.floor(rank / BLOCK).cast("long")), (lambda rank: F.floor(rank / SPAN).cast("long"))
+    placed = ranked.join(_packed(found, width), "entry").withColumn("block", block(F.col("rank")))
+    low, high = F.greatest(F.col("rank") - window, F.lit(0)), F.col("rank") + window
+    asks = placed.filter("asks").withColumn("span", span(F.col("rank"))).withColumn("block", F.explode(F.sequence(block(low), block(high))))
+    first, last = F.greatest(F.col("block") * BLOCK - window, F.lit(0)), (F.col("block") + 1) * BLOCK - 1 + window
+    rows = placed.withColumn("span", F.explode(F.sequence(span(first), span(last))))
+    columns = ["curve", "block", "span", "entry", "rank", "unit"]
+    both = rows.select(*columns, F.lit(False).alias("ask")).unionByName(asks.select(*columns, F.lit(True).alias("ask")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ask = group["ask"].to_numpy()
@@ -186,10 +200,20 @@ def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
             return pd.DataFrame({"query": [], "entry": [], "score": []})
         return _best(group[~ask], group[ask], k, window)
 
-    lists = both.groupBy("curve", "block").applyInPandas(compare, "query long, entry long, score double")
+    lists = both.groupBy("curve", "block", "span").applyInPandas(compare, "query long, entry long, score double")
     merged = lists.groupBy("query", "entry").agg(F.max("score").alias("score"))
     tops = merged.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "entry")), asc=False), 1, k).alias("t"))
-    near = tops.select("query", F.explode("t").alias("t")).select("query", F.col("t.entry").alias("entry"))
+    return tops.select("query", F.explode("t.entry").alias("entry"))
+
+
+def search(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", curves: int = CURVES) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest found for every row that ``is_query`` names."""
+    found = checkpointed(entries(table, is_query, k, vec_id, vector))
+    head = found.select(F.size("v")).head()
+    width = head[0] if head else 1
+    ranked = running_totals(_keyed(found, width, curves), [F.col("curve"), F.col("key"), F.col("entry")], {"rank": F.lit(1)})
+    ranked = checkpointed(ranked.select("curve", "entry", "rank"))
+    near = candidates(found, ranked, fit_window(ranked, found, k), width, SPARE * k)
     near = near.unionByName(found.filter("asks").select(F.col("entry").alias("query"), "entry"))
     return _answers(near, found, table, is_query, k, vec_id, vector)
 
@@ -212,8 +236,8 @@ def _answers(near: DataFrame, found: DataFrame, table: DataFrame, is_query: Colu
     flat = scored.select("query", F.explode("ids").alias("id"), "score")
     listed = flat.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "id"))).alias("t"))
     asks = table.filter(F.col(vec_id).isNotNull() & is_query & usable(F.col(vector)))
-    asks = asks.select(F.col(vec_id).cast("long").alias("query_id"), F.xxhash64(F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0)).alias("query"))
-    rows = asks.distinct().join(listed, "query")
+    asks = asks.select(F.col(vec_id).cast("long").alias("query_id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0).alias("q"))
+    rows = asks.distinct().join(own, "q").select("query_id", "query").join(listed, "query")
     kept = F.slice(F.filter("t", lambda x: x["id"] != F.col("query_id")), 1, k)
     return rows.select("query_id", F.posexplode(kept).alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score")

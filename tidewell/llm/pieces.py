@@ -9,7 +9,8 @@ one does is encoded text by text. Words of over ``LONG`` symbols go through a he
 the same order of merges, as they may need as many rounds as symbols.
 
 Defined results: null is the empty text, encoded as begin and end only; rows are encoded one by
-one, whatever their ids; an empty table gives an empty table.
+one, whatever their ids; an empty table gives an empty table; of ``keep``, columns named ``ids`` or ``decoded`` give
+way to the results; a model that normalises text otherwise than by a leading space is refused.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_columns, with_fields
 from .lookup import Table
 
 SPACE = "▁"
@@ -31,6 +33,8 @@ LONG = 256
 CACHE_WORDS = 200_000
 BATCH_BYTES = 1 << 19
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Texts that any usual normaliser would change.
+PROBES = ("a  b ", "\ufb01\uff21", "A\u0301", "x\ty", "\u00a0z")
 _NONE = np.int64(1) << 62
 
 
@@ -41,6 +45,8 @@ class Coder:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if any(sp.normalize(x) != SPACE + x.replace(" ", SPACE) for x in PROBES):
+            raise ValueError("the model normalises text by more than a leading space")
         size = sp.get_piece_size()
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) for i in range(size)]
         pieces = {sp.id_to_piece(i): i for i in range(size) if not special[i]}
@@ -226,6 +232,7 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ids`` (binary, little-endian 32-bit, with begin and end) and ``decoded`` of every row."""
+    keep = kept_columns(keep, "ids", "decoded")
 
     def coded(batches):
         own = coder(model)
@@ -244,6 +251,5 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tu
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"])
                 start = end
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
-    return rows.mapInArrow(coded, f"{fields}, ids binary, decoded string")
+    rows = docs.select(*keep, F.col(text).alias("_coded_text"))
+    return rows.mapInArrow(coded, with_fields(rows, len(keep), "ids binary, decoded string"))

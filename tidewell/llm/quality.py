@@ -5,8 +5,8 @@ bit k says that rule k failed. Policies are versioned masks over those bits: app
 one reads the stored bits only, never the texts.
 
 Defined results: a null or blank text has no words and fails ``few_words``; repeated rows and
-repeated ids are judged row by row; an empty table gives an empty ledger; input columns whose
-names clash with the ledger's own are replaced, all others are kept by ``ledger(..., keep=...)``.
+repeated ids are judged row by row; an empty table gives an empty ledger; of ``keep``, columns named like one of
+the ledger's own give way to it, all others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import free_name, kept_columns, words_of
 
 SYMBOLS = "[#*$%&|<>]"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bangs", "has_letter")
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,10 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     Windows of three words are compared as strings wherever their hashes repeat, so counts are exact. Work per row is
     n log n in its own words; there is no shuffle.
     """
-    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    keep = kept_columns(keep, *MEASURES, "failed_bits")
+    # Kept columns travel in a struct, where no name of theirs can clash.
+    nothing = F.lit(None).cast("byte").alias(free_name(docs, "_none"))
+    base = docs.select(F.struct(*[F.col(c) for c in keep], nothing).alias("_kept"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     split = base.withColumn("_w", words_of(F.col("_t")))
     width = F.size("_w")
     windows = F.when(width >= 3, F.sequence(F.lit(0), width - 3)).otherwise(F.array().cast("array<int>"))
@@ -98,7 +102,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     staged = staged.withColumn("_s", by_text)
     staged = staged.withColumn("_p", F.sort_array(F.transform(_twins("_s"), lambda e: e["i"])))
     measured = staged.select(
-        *keep,
+        "_kept",
         width.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -111,7 +115,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("failed_bits", bits)
+    return measured.select(*[F.col(f"_kept.`{c}`").alias(c) for c in keep], *MEASURES, bits.alias("failed_bits"))
 
 
 def apply_policy(entries: DataFrame, policy: str = "v1", into: str = "kept") -> DataFrame:
@@ -119,6 +123,12 @@ def apply_policy(entries: DataFrame, policy: str = "v1", into: str = "kept") ->
     return entries.withColumn(into, F.col("failed_bits").bitwiseAND(F.lit(mask_of(policy))) == 0)
 
 
+def sole_rule(policy: str = "v1") -> Column:
+    """The rule that alone removes a row under the policy, null if none or several do: without it the row would be kept."""
+    hit = F.col("failed_bits").bitwiseAND(F.lit(mask_of(policy)))
+    return F.coalesce(*[F.when(hit == F.lit(1 << r.bit), r.name) for r in RULES if r.name in POLICIES[policy]])
+
+
 def ablation(entries: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of the policy: rows failing it, rows failing it alone, and rows kept without it.
 

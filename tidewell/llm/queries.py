@@ -13,11 +13,17 @@ def _table(spark, sf_dir, name):
 
 
 def op1_quality_rules(spark, sf_dir):
-    """The ledger of ``documents`` under the base policy and the current one."""
+    """The ledger of ``documents`` under the base policy and the current one, and the rule that alone removes a document."""
     entries = quality.ledger(_table(spark, sf_dir, "documents"))
     entries = quality.apply_policy(quality.apply_policy(entries, "base", "_base_ok"), "v1", "kept")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return entries.selectExpr(*columns, "NOT _base_ok AS base_failed", "_base_ok AND kept AS kept", "failed_bits")
+    entries = entries.withColumn("sole_rule", quality.sole_rule())
+    return entries.selectExpr(*columns, "NOT _base_ok AS base_failed", "_base_ok AND kept AS kept", "failed_bits", "sole_rule")
+
+
+def op1_ablation(spark, sf_dir):
+    """Per rule of the current policy: documents that fail it, that fail it alone, and that stay without it."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")))
 
 
 def op2_nearest_vectors(spark, sf_dir):
@@ -120,6 +126,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op1_quality_rules": op1_quality_rules,
+    "op1_ablation": op1_ablation,
     "op3_line_dedup": op3_line_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_chat_format": op9_chat_format,
@@ -128,7 +135,36 @@ QUERIES = {
 WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 TRIM_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+LEDGER_SQL = f"""base AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), split AS (
+  SELECT *, {WORDS_SQL.replace("coalesce(text, '')", "t")} AS w,
+         list_filter(string_split(t, chr(10)), lambda x: trim(x, {TRIM_SQL}) <> '') AS ls FROM base
+), win AS (
+  SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), twice AS (
+  SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY row
+), measured AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         len(regexp_extract_all(t, '!')) AS n_bangs, regexp_matches(t, '\\p{{L}}') AS has_letter
+  FROM split LEFT JOIN covered USING (row)
+), ledger AS (
+  SELECT *, CAST({" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality.RULES)} AS BIGINT) AS failed_bits FROM measured
+)"""
+_SOLE = " ".join(f"WHEN {1 << r.bit} THEN '{r.name}'" for r in quality.RULES)
+_RULES = ", ".join(f"({1 << r.bit}, '{r.name}')" for r in quality.RULES)
+
 ORACLE_SQL = {
+    "op1_quality_rules": f"""WITH {LEDGER_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept,
+       failed_bits, CASE failed_bits {_SOLE} END AS sole_rule FROM ledger""",
+    "op1_ablation": f"""WITH {LEDGER_SQL}, rule(bit, rule) AS (VALUES {_RULES})
+SELECT count(*) AS rows, count(*) FILTER (WHERE failed_bits = 0) AS kept, rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_failed,
+       count(*) FILTER (WHERE failed_bits = bit) AS n_failed_alone, count(*) FILTER (WHERE failed_bits IN (0, bit)) AS n_kept_without
+FROM ledger, rule GROUP BY rule, bit""",
     "op7_source_mix": f"""WITH rows AS (
   SELECT doc_id, source, len({WORDS_SQL}) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(md5(source), '-') || '|' || md5(coalesce(text, ''))) AS key
