@@ -68,3 +68,52 @@ def checkpoint_due(sessions: DataFrame, now: Column, interval_seconds: int) -> D
     fresh = F.col("message_count") > F.coalesce("seen_count", F.lit(0))
     waited = F.col("last_observed").isNull() | (now.cast("long") - F.col("last_observed").cast("long") >= interval_seconds)
     return sessions.withColumn("due", fresh & (F.col("forced") | waited))
+
+
+def after_timestamp(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Messages after the first of their path with the cursor's timestamp (path, timestamp); one that is never met keeps none, no cursor all."""
+    named = cursors.filter("timestamp IS NOT NULL").select("path", F.col("timestamp").alias("cursor"))
+    at = messages.join(named, "path").filter("timestamp = cursor").groupBy("path").agg(F.min("line_no").alias("at"))
+    met = messages.join(named, "path", "left").join(at, "path", "left")
+    return met.filter(F.col("cursor").isNull() | (F.col("line_no") > F.col("at"))).drop("cursor", "at")
+
+
+def within_lines(messages: DataFrame, after: int = 0, before: int | None = None) -> DataFrame:
+    """Messages of the physical lines (after, before]."""
+    rows = messages.filter(F.col("line_no") > after)
+    return rows if before is None else rows.filter(F.col("line_no") <= before)
+
+
+def after_lines(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Messages beyond the physical line of their path's cursor (path, line)."""
+    met = messages.join(cursors.select("path", "line"), "path", "left")
+    return met.filter(F.col("line_no") > F.coalesce("line", F.lit(0))).drop("line")
+
+
+def migrated_cursors(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(path, seen): counts of messages for cursors that may still be line offsets, as those beyond the message count are.
+
+    Such an offset becomes the number of messages up to that line, all of which have text; nothing beyond it is skipped.
+    """
+    met = messages.join(cursors.select("path", "seen"), "path")
+    sums = met.groupBy("path", "seen").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("line_no") <= F.col("seen")).alias("until"))
+    return sums.select("path", F.when(F.col("seen") > F.col("n"), F.col("until")).otherwise(F.col("seen")).alias("seen"))
+
+
+def advanced(pending: DataFrame, cursors: DataFrame, least: int = 5) -> DataFrame:
+    """(path, seen): cursors after a run: those of paths with ``least`` pending messages move by what was read, the others stay."""
+    read = pending.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    met = cursors.select("path", "seen").join(read, "path", "full_outer")
+    return met.select("path", (F.coalesce("seen", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("seen"))
+
+
+def prompt_turns(turns: DataFrame, snippets: DataFrame, keep: int = 4, status: str = "OK") -> DataFrame:
+    """(path, prompt): what a reply is asked with: the numbered snippets (path, rank, text), or the status, and the last turns in order."""
+    history = F.concat(F.initcap("role"), F.lit(": "), "content").alias("turn")
+    last = newest_turns(turns, keep).select("path", F.struct("line_no", history).alias("x"))
+    said = last.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["turn"]), "\n").alias("history"))
+    noted = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "text").alias("note"))
+    known = snippets.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(noted)), lambda x: x["note"]), "\n").alias("memory"))
+    met = said.join(known, "path", "left")
+    memory = F.coalesce("memory", F.lit(f"(no memories: {status})"))
+    return met.select("path", F.concat(F.lit("Memories:\n"), memory, F.lit("\n\nConversation:\n"), "history").alias("prompt"))

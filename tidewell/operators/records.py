@@ -84,9 +84,13 @@ def namespaces(events: DataFrame, rules: DataFrame, default: str = "personal") -
 
     A rule without a source matches all; rules are a small settings table.
     """
-    hit = rules["source"].isNull() | (events["source"] == rules["source"])
-    met = events.join(rules, hit, "left").groupBy(events["event_id"], events["source"])
-    return met.agg(F.coalesce(F.min_by("namespace", "ord"), F.lit(default)).alias("namespace"))
+    first = F.min(F.struct("ord", "namespace"))
+    named = rules.filter("source IS NOT NULL").groupBy("source").agg(first.alias("named"))
+    every = rules.filter("source IS NULL").agg(first.alias("every"))
+    # Rules are settings: one row per named source, one for all.
+    met = events.join(F.broadcast(named), "source", "left").join(F.broadcast(every))
+    rule = F.least("named", "every")
+    return met.withColumn("namespace", F.coalesce(rule["namespace"], F.lit(default))).select(*events.columns, "namespace")
 
 
 def observation_log(records: DataFrame, since: Column) -> DataFrame:
@@ -96,12 +100,12 @@ def observation_log(records: DataFrame, since: Column) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order))
 
 
-def retained(snapshots: DataFrame, keep: int, oldest: Column) -> DataFrame:
-    """Snapshots with the reason they go (``count``, ``age``) or null; the newest and pinned ones stay.
+def retained(snapshots: DataFrame, keep: int, oldest: Column, by: str = "host") -> DataFrame:
+    """Snapshots of each host with the reason they go (``count``, ``age``) or null; the newest and pinned ones stay.
 
-    One host keeps few snapshots, so one task ranks them.
+    A host keeps few snapshots; hosts are ranked apart from each other.
     """
-    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("snapshot_id")))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("snapshot_id")))
     ranked = snapshots.withColumn("rank", rank)
     free = (F.col("rank") > 1) & ~F.col("pinned")
     reason = F.when(free & (F.col("rank") > keep), "count").when(free & (F.col("created_at") < oldest), "age")

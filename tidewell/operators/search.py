@@ -15,16 +15,25 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") ->
     return each.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
-    """One row: number of documents and their average length."""
-    size = F.size(search_tokens(F.coalesce(F.col(text), F.lit(""))))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("avg_len"))
+def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") -> DataFrame:
+    """(term, n, words): documents with each term; the empty term stands for all documents, with all their words.
 
+    One pass over the texts; counts are merged before the shuffle by term.
+    """
+    tokens = docs.select(search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    each = tokens.select(F.size("_t").alias("_n"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_t"))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("words"))
+
+
+def corpus_stats(terms: DataFrame) -> DataFrame:
+    """One row: number of documents and their average length, from the vocabulary."""
+    return terms.filter("term = ''").select(F.col("n").alias("n_docs"), (F.col("words") / F.col("n")).alias("avg_len"))
 
-def inverse_frequency(terms: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
+
+def inverse_frequency(terms: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(term, idf): ln((N - n + .5) / (n + .5)); negative ones become ``epsilon`` times the mean over the vocabulary."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    raw = df.join(F.broadcast(stats)).select("term", F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))  # stats has one row
+    known = terms.filter("term <> ''").join(F.broadcast(corpus_stats(terms)))  # one row
+    raw = known.select("term", F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -34,18 +43,19 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = 1.5,
 
     Terms of a query count as often as they occur in it. Only positive scores rank; a query without
     any ranks documents by the number of their words that it has. Ties go to the smaller doc_id.
-    Postings meet queries by an equi join on the term, so only documents that share one are scored.
+    Texts are read twice: once for the vocabulary, and once for the postings of the asked terms, which meet the queries by
+    an equi join. Every partition keeps its best ``limit`` of a query before the last shuffle.
     """
-    terms = postings(docs)
-    stats = corpus_stats(docs)
+    terms = vocabulary(docs)
     asked = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = terms.join(asked, "term").join(inverse_frequency(terms, stats, epsilon), "term").join(F.broadcast(stats))
+    worth = asked.join(inverse_frequency(terms, epsilon), "term").join(F.broadcast(corpus_stats(terms)))
+    hits = postings(docs).join(worth, "term")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.sum("tf").cast("double").alias("overlap"))
-    found = F.max(F.when(F.col("score") > 1e-12, 1).otherwise(0)).over(Window.partitionBy("query_id"))
-    scored = scored.withColumn("found", found)
+    found = scored.groupBy("query_id").agg(F.max((F.col("score") > 1e-12).cast("int")).alias("found"))
+    scored = scored.join(F.broadcast(found), "query_id")  # a row per query
     scored = scored.withColumn("score", F.when(F.col("found") == 1, F.col("score")).otherwise(F.col("overlap"))).filter("score > 1e-12")
     scored = scored.withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -83,3 +93,39 @@ def matching_lines(docs: DataFrame, needle: str, most: int = 200) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
     hit = F.contains(F.lower("line"), F.lit(needle.lower()))
     return lines.filter(hit).select("doc_id", (F.col("line_no") + 1).alias("line_no"), F.substring(strip(F.col("line")), 1, most).alias("line"))
+
+
+def named_hits(hits: DataFrame, listed: DataFrame) -> DataFrame:
+    """Hits (file, rank) with the document id of their file in the manifest (file, doc_id), else of the file that differs in case only."""
+    low = listed.groupBy(F.lower("file").alias("_low")).agg(F.min("doc_id").alias("_any"))
+    met = hits.join(listed, "file", "left").join(low, F.lower("file") == F.col("_low"), "left")
+    return met.select("file", "rank", F.coalesce("doc_id", "_any").alias("doc_id"))
+
+
+class Bm25:
+    """A search back end: ``search`` gives ranked hits of queries (query_id, query)."""
+
+    def __init__(self, docs: DataFrame, **settings: float):
+        self.docs, self.settings = docs, settings
+
+    def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        return bm25(self.docs, queries, limit, **self.settings)
+
+
+class Nothing:
+    """A back end without an index: no hits."""
+
+    def __init__(self, docs: DataFrame | None = None):
+        del docs
+
+    def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        return queries.limit(0).select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
+
+
+BACKENDS = {"bm25": Bm25, "none": Nothing}
+
+
+def backend(name: str, docs: DataFrame):
+    if name not in BACKENDS:
+        raise ValueError(f"no search back end {name}")
+    return BACKENDS[name](docs)

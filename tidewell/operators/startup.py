@@ -63,13 +63,15 @@ def first_sightings(bullets: DataFrame) -> DataFrame:
     below = F.coalesce(F.first(F.when(shown, indent), ignorenulls=True).over(after), F.lit(0))
     rows = bullets.withColumn("_leaf", F.col("line").rlike("^[-*] ") & (below == 0) & ~F.col("exempt"))
     rows = rows.withColumn("_key", F.when(F.col("_leaf"), F.nullif(bullet_key(F.col("line")), F.lit(""))))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("chunk_rank", "line_no"))
-    keyed = rows.filter("_key IS NOT NULL").withColumn("_n", nth).filter("_n = 1").drop("_n")
-    return rows.filter("_key IS NULL").unionByName(keyed).drop("_leaf", "_key")
+    # The first place of each key by an aggregate, which merges a common bullet's rows before the shuffle.
+    keyed = rows.filter("_key IS NOT NULL")
+    first = keyed.groupBy("_key").agg(F.min(F.struct("chunk_rank", "line_no")).alias("_at")).select("_at.chunk_rank", "_at.line_no")
+    kept = keyed.join(first, ["chunk_rank", "line_no"], "left_semi")
+    return rows.filter("_key IS NULL").unionByName(kept).drop("_leaf", "_key")
 
 
 def pack(chunks: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
-    """Adds ``taken``: in order (-priority, source, heading, handle), each chunk that still fits the budget of its payload.
+    """(payload, handle, taken): in order (-priority, source, heading, handle), each chunk that still fits the budget of its payload.
 
     A chunk that does not fit uses nothing, so this is a fold over each payload's chunks. A payload
     is one text for one reader, so its list of chunks is short.
@@ -77,17 +79,55 @@ def pack(chunks: DataFrame, budget: int, by: list[str] | None = None) -> DataFra
     by = by or []
     item = F.struct((-F.col("priority")).alias("p"), "source", "heading", "handle", "size")
     listed = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = "array<struct<handle:string,taken:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kept).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         fits = state["used"] + x["size"] <= budget
-        row = F.struct(x["handle"].alias("handle"), fits.alias("taken"))
         used = state["used"] + F.when(fits, x["size"].cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.struct(used.alias("used"), F.concat(state["out"], F.array(row)).alias("out"))
+        return F.struct(used.alias("used"), F.concat(state["out"], F.array(fits)).alias("out"))
 
-    packed = listed.withColumn("r", F.explode(F.aggregate("items", start, step, lambda s: s["out"])))
-    return packed.select(*by, "r.handle", "r.taken")
+    flags = listed.select(*by, "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("fits"))
+    each = flags.select(*by, F.explode(F.arrays_zip("items", "fits")).alias("r"))
+    return each.select(*by, F.col("r.items.handle").alias("handle"), F.col("r.fits").alias("taken"))
+
+
+def display_order(source: Column, heading: Column, handle: Column) -> Column:
+    """Where a taken chunk stands in the payload, as a struct to sort by: profile before active, then by section, heading and handle."""
+    low = F.lower(heading)
+    profile = F.when(low == "working profile", 0)
+    for at, words in enumerate((("core identity",), ("preference",), ("relationship", "communication")), 1):
+        for w in words:
+            profile = profile.when(F.contains(low, F.lit(w)), at)
+    active = F.when(F.startswith(low, F.lit("current session")), 0)
+    for at, head in enumerate(("active projects", "life & operations", "creative & professional"), 1):
+        active = active.when(F.startswith(low, F.lit(head)), at)
+    is_profile = source == "profile"
+    return F.struct(
+        F.when(is_profile, 0).otherwise(1).alias("source"),
+        F.when(is_profile, profile.otherwise(4)).otherwise(active.otherwise(4)).alias("section"),
+        heading.alias("heading"),
+        handle.alias("handle"),
+    )
+
+
+def payload_text(chunks: DataFrame, taken: DataFrame, by: list[str]) -> DataFrame:
+    """Per payload: the text of the taken chunks in display order, and the handles that did not fit, sorted."""
+    met = chunks.join(taken, [*by, "handle"])
+    shown = F.struct(display_order(F.col("source"), F.col("heading"), F.col("handle")).alias("at"), F.col("body").alias("body"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("taken"), shown))), lambda x: x["body"])
+    left = F.array_sort(F.collect_list(F.when(~F.col("taken"), F.col("handle"))))
+    return met.groupBy(*by).agg(F.array_join(parts, "\n\n").alias("text"), F.array_join(left, ",").alias("overflow"))
+
+
+def repeated_bullets(bullets: DataFrame) -> DataFrame:
+    """(key, n): bullets shown more than once, and how often they would be dropped."""
+    keyed = bullets.withColumn("key", F.nullif(bullet_key(F.col("line")), F.lit(""))).filter("key IS NOT NULL")
+    return keyed.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
+
+
+def route_terms(text: Column) -> Column:
+    """Distinct words of three letters or more of a place or task, in order."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(route_text(text), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= 3))
 
 
 def profile_lines(lines: DataFrame, terms: list[str], limit: int = 16) -> DataFrame:

@@ -10,10 +10,10 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import is_stale
+from tidewell.functions.text import is_stale, name_tokens
 from tidewell.operators.sections import entries, sections
 
 _COMMENT = re.compile(r"\s*<!--om:\s*(.*?)\s*-->\s*$")
@@ -124,6 +124,23 @@ def reassembled(found: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.array_join(ordered, "\n").alias("text"))
 
 
+def exact_sections(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, ord, heading, raw): a text cut before every second-level heading; ``raw`` keeps every byte, line ends and all. Ord 0 is what comes before."""
+    parts = F.split(F.col(text), r"(?m)(?=^## )")
+    each = docs.select(F.col(doc).alias("doc"), parts.alias("_p")).select("doc", F.posexplode("_p").alias("at", "raw"))
+    head = F.nullif(F.regexp_extract("raw", r"\A## ([^\r\n]*)", 1), F.lit(""))
+    lead = F.col("at") + F.when(F.min(F.when(F.col("at") == 0, F.startswith("raw", F.lit("## ")))).over(Window.partitionBy("doc")), 1).otherwise(0)
+    return each.select("doc", lead.alias("ord"), head.alias("heading"), "raw")
+
+
+def exact_text(found: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """(doc, text): sections put together byte for byte, with those of ``patches`` (doc, ord, raw) in place of the old ones."""
+    if patches is not None:
+        found = found.join(patches.select("doc", "ord", F.col("raw").alias("_new")), ["doc", "ord"], "left").withColumn("raw", F.coalesce("_new", "raw"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw"))), lambda x: x["raw"])
+    return found.groupBy("doc").agg(F.array_join(ordered, "").alias("text"))
+
+
 def parse_patches(replies: DataFrame) -> DataFrame:
     """(doc, handle, body, error) of replies made of ``SECTION_HANDLE: h`` blocks; stray text, repeats and empty bodies are errors."""
     part = F.posexplode(F.split("reply", "(?m)(?=^SECTION_HANDLE:)")).alias("at", "part")
@@ -131,19 +148,17 @@ def parse_patches(replies: DataFrame) -> DataFrame:
     handle = F.nullif(F.regexp_extract("part", "^SECTION_HANDLE:[ \t]*(\\S*)", 1), F.lit(""))
     body = F.btrim(F.regexp_replace("part", "^SECTION_HANDLE:[^\n]*\n?", ""), F.lit("\n"))
     rows = rows.select("doc", "at", handle.alias("handle"), body.alias("body"))
-    from pyspark.sql import Window
-
     n = F.count(F.lit(1)).over(Window.partitionBy("doc", "handle"))
     error = F.when(F.col("handle").isNull(), "stray text").when(n > 1, "repeated handle").when(F.col("body") == "", "empty body")
     return rows.withColumn("error", error).drop("at")
 
 
 def route(chunks: DataFrame, subsections: DataFrame) -> DataFrame:
-    """(chunk_id, handle): subsections that share a name token (three letters or more) with a chunk; if none, one in turn.
+    """(chunk_id, handle): subsections that share a name token (three letters or more; compounds whole and in parts) with a chunk; if none, one in turn.
 
     An equi join on exploded tokens; ``chunks`` (chunk_id, text), ``subsections`` (handle, name, position).
     """
-    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= 3))
+    words = name_tokens
     tokens = subsections.select("handle", F.explode(words(F.col("name"))).alias("token"))
     hits = chunks.select("chunk_id", F.explode(words(F.col("text"))).alias("token")).join(tokens, "token").select("chunk_id", "handle").distinct()
     size = subsections.agg(F.count(F.lit(1)).alias("n"))

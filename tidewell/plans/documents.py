@@ -27,21 +27,23 @@ def _cursor_count(spark, sf_dir):
 
 
 def _notes(spark, sf_dir):
-    """A note per source and language: one dated section per document, with the document's lines as bullets."""
+    """A note per thousand ids of a source and language: one dated section per document, its lines as bullets."""
     d = docs(spark, sf_dir)
     day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 180).cast("int")), "yyyy-MM-dd")
-    body = F.concat(F.lit("## "), day, F.lit("\n- "), F.replace("content", F.lit("\n"), F.lit("\n- ")))
+    body = F.concat(F.lit("## "), day, F.lit("\n- "), F.replace(F.coalesce("content", F.lit("")), F.lit("\n"), F.lit("\n- ")))
+    name = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 1000).cast("long").cast("string"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", body.alias("b")))), lambda x: x["b"])
-    return d.groupBy("source", "lang").agg(F.array_join(ordered, "\n").alias("text")).select(F.concat_ws("/", "source", "lang").alias("doc"), F.concat(F.lit("# Notes\n"), "text").alias("text"))
+    return d.groupBy(name.alias("doc")).agg(F.concat(F.lit("# Notes\n"), F.array_join(ordered, "\n")).alias("text"))
 
 
 NOTES_SQL = """part AS (
-  SELECT doc_id, source || '/' || lang AS doc, CAST(DATE '2026-01-01' + CAST(doc_id % 180 AS INTEGER) AS DATE) AS date,
-         '- ' || replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(10) || '- ') AS body,
-         row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS ord
-  FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+  SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || (doc_id // 1000) AS doc,
+         CAST(DATE '2026-01-01' + CAST(doc_id % 180 AS INTEGER) AS DATE) AS date,
+         '- ' || replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(10) || '- ') AS body
+  FROM documents),
 named AS (
-  SELECT *, strftime(date, '%Y-%m-%d') AS slug, row_number() OVER (PARTITION BY doc, date ORDER BY ord) AS nth FROM part)"""
+  SELECT *, strftime(date, '%Y-%m-%d') AS slug, row_number() OVER (PARTITION BY doc, date ORDER BY doc_id) AS nth,
+         row_number() OVER (PARTITION BY doc ORDER BY doc_id) AS ord FROM part)"""
 
 
 def _note_sections(spark, sf_dir):
@@ -69,13 +71,8 @@ def _priorities(spark, sf_dir):
     return c.withColumn("priority", level)
 
 
-def _profile(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.get(F.split("content", "\n"), 0).alias("line"), F.col("doc_id").alias("line_no"))
-    return startup.profile_lines(d, ["the ", "ing", "und"])
-
-
 def _profile_all(spark, sf_dir):
-    """As ``_profile``, over all lines of the documents in order of id and place."""
+    """All lines of the documents, in order of id and place."""
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("at", "line"))
     lines = lines.select("line", F.struct("doc_id", (F.col("at") + 1).cast("long").alias("pos")).alias("line_no"))
     return startup.profile_lines(lines, ["the ", "ing", "und"]).select("line", "line_no.doc_id", "line_no.pos", "score")
@@ -97,7 +94,7 @@ QUERIES = {
     "chunk_priorities": lambda spark, sf_dir: _priorities(spark, sf_dir).select("handle", "priority"),
     "packed_chunks": lambda spark, sf_dir: startup.pack(_priorities(spark, sf_dir), 20000, ["payload"]).filter("taken").select("payload", "handle"),
     "first_sightings": lambda spark, sf_dir: startup.first_sightings(_bullets(spark, sf_dir)).select("chunk_rank", "line_no"),
-    "profile_lines": lambda spark, sf_dir: _profile(spark, sf_dir).select("line", "line_no", "score"),
+    "profile_lines": _profile_all,
     "profile_all_lines": _profile_all,
 }
 
@@ -144,9 +141,6 @@ fold AS (
   SELECT i.payload, i.n, CAST(CASE WHEN f.used + i.size <= 20000 THEN f.used + i.size ELSE f.used END AS BIGINT), i.handle, f.used + i.size <= 20000
   FROM fold f JOIN item i ON i.payload = f.payload AND i.n = f.n + 1)
 SELECT payload, handle FROM fold WHERE taken""",
-    "profile_lines": """WITH once AS (SELECT string_split(text, chr(10))[1] AS line, min(doc_id) AS line_no FROM documents GROUP BY 1)
-SELECT line, line_no, CAST(4 * (contains(lower(line), 'the ')::INT + contains(lower(line), 'ing')::INT + contains(lower(line), 'und')::INT) AS INTEGER) AS score
-FROM once ORDER BY score DESC, line_no LIMIT 16""",
     "profile_all_lines": """WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 numbered AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split),
 once AS (SELECT ls[pos] AS line, doc_id, pos FROM numbered QUALIFY row_number() OVER (PARTITION BY ls[pos] ORDER BY doc_id, pos) = 1)
@@ -154,3 +148,13 @@ SELECT line, doc_id, pos, CAST(4 * (contains(lower(line), 'the ')::INT + contain
   + contains(line, '🔴')::INT AS INTEGER) AS score
 FROM once ORDER BY score DESC, doc_id, pos LIMIT 16""",
 }
+ORACLE_SQL["profile_lines"] = ORACLE_SQL["profile_all_lines"]
+ORACLE_SQL["first_sightings"] = """WITH ls AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, i AS line_no, trim(regexp_replace(ls[i], '[*`]|\\s+', ' ', 'g')) AS body FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ls)),
+line AS (SELECT *, '- ' || body AS line, doc_id % 10 = 0 AS exempt FROM raw),
+keyed AS (
+  SELECT *, CASE WHEN NOT exempt THEN nullif(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    trim(regexp_replace(regexp_replace(line, '(?s)<!--om:.*$', ''), '(?i)\\s*\\(as of [^)]*verify\\)', '', 'g')), '^[-*]\\s+', ''),
+    '[🔴🟡🟢⚪\\x{FE0F}🔵🟠*`]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))), '') END AS key FROM line)
+SELECT doc_id AS chunk_rank, CAST(line_no AS INTEGER) AS line_no FROM keyed
+QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY doc_id, line_no) = 1"""

@@ -60,8 +60,8 @@ def _versions(spark, sf_dir):
 
 def _snapshots(spark, sf_dir):
     r = records(spark, sf_dir).filter("kind = 'purchase'")
-    shots = r.select(F.col("record_id").alias("snapshot_id"), F.col("ts").alias("created_at"), (F.col("node_seq") % 20 == 0).alias("pinned"))
-    return log.retained(shots, 100, F.lit("2024-01-27 00:00:00").cast("timestamp")).select("snapshot_id", "rank", "dropped_for")
+    shots = r.select(F.col("node_id").alias("host"), F.col("record_id").alias("snapshot_id"), F.col("ts").alias("created_at"), (F.col("node_seq") % 20 == 0).alias("pinned"))
+    return log.retained(shots, 100, F.lit("2024-01-27 00:00:00").cast("timestamp")).select("host", "snapshot_id", "rank", "dropped_for")
 
 
 def _sides(spark, sf_dir):
@@ -144,9 +144,9 @@ WHERE NOT (node_id = 1 AND hlc > '2024-01-10T00:00:00') GROUP BY node_id""",
     "namespace_rules": f"""WITH {RECORDS_SQL}
 SELECT record_id AS event_id, kind AS source, CASE kind WHEN 'click' THEN 'web' WHEN 'purchase' THEN 'money' ELSE 'personal' END AS namespace FROM records""",
     "snapshot_retention": f"""WITH {RECORDS_SQL}, shots AS (
-  SELECT record_id AS snapshot_id, ts, node_seq % 20 = 0 AS pinned, CAST(row_number() OVER (ORDER BY ts DESC, record_id DESC) AS INTEGER) AS rank
+  SELECT node_id AS host, record_id AS snapshot_id, ts, node_seq % 20 = 0 AS pinned, CAST(row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, record_id DESC) AS INTEGER) AS rank
   FROM records WHERE kind = 'purchase')
-SELECT snapshot_id, rank, CASE WHEN rank > 1 AND NOT pinned THEN
+SELECT host, snapshot_id, rank, CASE WHEN rank > 1 AND NOT pinned THEN
   CASE WHEN rank > 100 THEN 'count' WHEN ts < TIMESTAMP '2024-01-27' THEN 'age' END END AS dropped_for FROM shots""",
     "file_changes": f"""WITH {VERSIONS}
 SELECT path, CASE WHEN b.hash IS NULL THEN 'added' WHEN a.hash IS NULL THEN 'deleted' WHEN a.hash = b.hash THEN 'unchanged' ELSE 'changed' END AS change
@@ -158,4 +158,17 @@ SELECT section, kind, count(DISTINCT lower(text)) AS texts, count(DISTINCT recor
 FROM entries WHERE reviewable GROUP BY section, kind HAVING count(DISTINCT lower(text)) > 1 AND count(DISTINCT record_id) > 1""",
     "single_slots": f"WITH {ENTRIES_SQL} SELECT section, kind, any_value(entry_id) AS entry_id FROM entries WHERE reviewable GROUP BY section, kind HAVING count(*) = 1",
     "solo_sections": f"WITH {ENTRIES_SQL} SELECT section, any_value(entry_id) AS entry_id FROM entries GROUP BY section HAVING count(*) = 1",
+    "divergences": f"""WITH {ENTRIES_SQL}, e AS (
+  SELECT section, kind, text, reviewable, record_id, length(text) % 9 = 0 AS explicit, CASE WHEN length(text) % 9 = 0 THEN 'x' || length(text) || '-' || section ELSE entry_id END AS id,
+         lower(regexp_replace(regexp_replace(regexp_replace(translate(text, '‘’“”–—*`', '\'\'""--'), '[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g'), '[.,;:!?]+$', '')) AS said FROM entries),
+p AS (SELECT * FROM e WHERE record_id IN ('en', 'fr')), n AS (SELECT * FROM e WHERE record_id IN ('de', 'es')),
+by_id AS (SELECT p.section, p.kind, p.text AS before, n.text AS after FROM p JOIN n ON p.id = n.id WHERE p.explicit AND n.explicit AND p.reviewable AND p.said <> n.said),
+ps AS (SELECT section, kind, any_value(text) AS text, any_value(said) AS said FROM p WHERE reviewable GROUP BY section, kind HAVING count(*) = 1),
+ns AS (SELECT section, kind, any_value(text) AS text, any_value(said) AS said FROM n WHERE reviewable GROUP BY section, kind HAVING count(*) = 1),
+by_slot AS (SELECT section, kind, ps.text AS before, ns.text AS after FROM ps JOIN ns USING (section, kind) ANTI JOIN by_id USING (section, kind) WHERE ps.said <> ns.said),
+po AS (SELECT section, any_value(text) AS text, any_value(said) AS said FROM p GROUP BY section HAVING count(*) = 1 AND bool_and(reviewable)),
+no AS (SELECT section, any_value(text) AS text, any_value(said) AS said FROM n GROUP BY section HAVING count(*) = 1),
+by_section AS (SELECT section, po.text AS before, no.text AS after FROM po JOIN no USING (section) WHERE po.said <> no.said AND section NOT IN (SELECT section FROM by_id UNION SELECT section FROM by_slot)),
+every AS (SELECT 'id' AS signal, before, after FROM by_id UNION ALL SELECT 'slot', before, after FROM by_slot UNION ALL SELECT 'section', before, after FROM by_section)
+SELECT signal, count(*) AS pairs, CAST(sum(length(before) + length(after)) AS BIGINT) AS chars FROM every GROUP BY signal""",
 }

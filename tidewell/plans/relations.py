@@ -107,7 +107,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode(F.split("content", "\n")).alias("at", "line"))
     lead = F.get(F.array(*[F.lit(x) for x in ENTRY_LEADS]), (F.col("doc_id") % len(ENTRY_LEADS)).cast("int"))
     rows = rows.withColumn("text", strip(F.col("line"))).filter("text <> ''").withColumn("text", F.concat(lead, "text"))
-    rows = rows.withColumn("kind", entry_kind(F.col("text"), F.col("source")))
+    # The explode keeps the cascade of words from being copied into everything that reads the kind.
+    rows = rows.select("*", F.explode(F.array(entry_kind(F.col("text"), F.col("source")))).alias("kind"))
     rows = rows.withColumn("actionability", actionability(F.col("kind")))
     return rows.select(
         F.col("lang").alias("record_id"),
@@ -137,12 +138,12 @@ ENTRIES_SQL = f"""entry_line AS (
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as start-up chunks; each language is one payload."""
+    """Documents as start-up chunks; twenty make up a payload."""
     heading = F.element_at(
         F.array(*[F.lit(x) for x in ("Working Profile", "Core Identity", "Preferences", "Active Projects", "Notes")]), (F.col("doc_id") % 5 + 1).cast("int")
     )
     return docs(spark, sf_dir).select(
-        F.col("lang").alias("payload"),
+        F.floor(F.col("doc_id") / 20).cast("long").alias("payload"),
         F.when(F.col("doc_id") % 2 == 0, "profile").otherwise("active").alias("source"),
         heading.alias("heading"),
         F.col("content").alias("body"),
@@ -152,7 +153,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHUNKS_SQL = """chunks AS (
-  SELECT lang AS payload, CASE WHEN doc_id % 2 = 0 THEN 'profile' ELSE 'active' END AS source,
+  SELECT doc_id // 20 AS payload, CASE WHEN doc_id % 2 = 0 THEN 'profile' ELSE 'active' END AS source,
          CASE doc_id % 5 WHEN 0 THEN 'Working Profile' WHEN 1 THEN 'Core Identity' WHEN 2 THEN 'Preferences' WHEN 3 THEN 'Active Projects' ELSE 'Notes' END AS heading,
          text AS body, 'h' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS handle, length(text) AS size
   FROM documents)"""

@@ -17,16 +17,66 @@ from tidewell.functions.text import strip
 COLUMNS = ("path", "line_no", "role", "content", "timestamp", "source")
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
-    """(path, line_no from 1, line, modified) of text files; each file is one transcript."""
+def read_files(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
+    """(path, modified, value) of text files; each file is one transcript."""
     reader = spark.read.option("modifiedAfter", modified_after) if modified_after else spark.read
-    files = reader.text(paths, wholetext=True).select(
+    return reader.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value"
     )
-    each = files.select("path", "modified", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_at", "line"))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no from 1, line, modified) of whole files (path, modified, value)."""
+    split = files.select("path", "modified", F.split("value", "\r\n|\n|\r").alias("_all"))
+    each = split.select("path", "modified", F.posexplode("_all").alias("_at", "line"))
+    return each.select("path", (F.col("_at") + 1).alias("line_no"), "line", "modified")
+
+
+def json_lines(files: DataFrame) -> DataFrame:
+    """As ``file_lines``, but a file that is one JSON document gives an entry per line: those of an array, or of its ``items``, else itself."""
+    v = F.col("_v")
+    entries = F.when(_is(v, "ARRAY"), _items(v, "$")).when(_is(_get(v, "$.items", "variant"), "ARRAY"), _items(v, "$.items")).when(_is(v, "OBJECT"), F.array(v))
+    parsed = files.withColumn("_v", F.try_parse_json("value"))
+    texts = F.coalesce(F.transform(entries, lambda x: F.to_json(x)), F.split("value", "\r\n|\n|\r"))
+    each = parsed.select("path", "modified", texts.alias("_all")).select("path", "modified", F.posexplode("_all").alias("_at", "line"))
     return each.select("path", (F.col("_at") + 1).alias("line_no"), "line", "modified")
 
 
+def read_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
+    """(path, line_no from 1, line, modified) of text files."""
+    return file_lines(read_files(spark, paths, modified_after))
+
+
+def recent_files(files: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Files (path, modified) changed less than ``hours`` before ``now``, newest first."""
+    return files.filter(F.col("modified").cast("double") > now.cast("double") - hours * 3600).orderBy(F.desc("modified"), "path")
+
+
+def newest_files(files: DataFrame, most: int = 50) -> DataFrame:
+    return files.orderBy(F.desc("modified"), "path").limit(most)
+
+
+def unread_files(files: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Files without a cursor (path), oldest first: what a backfill reads."""
+    return files.join(cursors.select("path"), "path", "left_anti").orderBy("modified", "path")
+
+
+def routed(files: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:
+    """Adds ``reader``: that of the first (reader, folder or file) of ``roots`` that a path lies under or is; null if none."""
+    hit = F.lit(None).cast("string")
+    for reader, root in reversed(roots):
+        under = F.startswith(F.col("path"), F.lit(root.rstrip("/") + "/")) | (F.col("path") == root)
+        hit = F.when(under, reader).otherwise(hit)
+    return files.withColumn("reader", hit)
+
+
+def transcript_counts(lines: DataFrame, messages: DataFrame) -> DataFrame:
+    """(path, lines, messages, last_uuid): counted without keeping texts; ``messages`` are the reader's, with uuid."""
+    raw = lines.groupBy("path").agg(F.count_if(F.trim("line") != "").alias("lines"))
+    said = messages.groupBy("path").agg(F.count(F.lit(1)).alias("messages"), F.max_by("uuid", "line_no").alias("last_uuid"))
+    return raw.join(said, "path", "left").na.fill({"messages": 0})
+
+
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -122,7 +172,7 @@ def _codex_content(entry: Column) -> Column:
 
 
 def codex(lines: DataFrame) -> DataFrame:
-    """Messages at the top level, in ``payload`` or in ``message``; a line may wrap several in ``items``."""
+    """Messages at the top level, in ``payload`` or in ``message``; a line may wrap several in ``items``. Whole documents come by ``json_lines``."""
     v = F.col("v")
     rows = _parsed(lines)
     wrapped = _get(v, "$.type").isNull() & (F.size(_items(v, "$.items")) > 0)
@@ -179,7 +229,10 @@ def hermes(lines: DataFrame) -> DataFrame:
 
 
 def grok(lines: DataFrame) -> DataFrame:
-    """Session updates: text without tool-call markup, tool calls by name, thoughts and other text fields."""
+    """Session updates: text without tool-call markup, tool calls by name, thoughts and other text fields.
+
+    Content without a text type gives its first text field, by name.
+    """
     v = F.col("v")
     rows = _parsed(lines).filter(_get(v, "$.method") == "session/update").withColumn("u", _get(v, "$.params.update", "variant"))
     u, kind = F.col("u"), F.coalesce(_get(F.col("u"), "$.sessionUpdate"), F.lit(""))
@@ -187,11 +240,13 @@ def grok(lines: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace(text, "(?s)<tool_call>.*?(?:</tool_call>|$)", ""), "\\s+", " ")
     cleaned = F.when(F.contains(text, F.lit("<tool_call>")), F.concat(strip(bare), F.lit(" [tool call details omitted for observation]"))).otherwise(text)
     listed = _joined(F.transform(_items(u, "$.content"), lambda b: F.coalesce(F.when(_is(b, "STRING"), _get(b, "$")), _get(b, "$.text"))))
+    fields = F.map_values(_get(u, "$.content", "map<string,variant>"))
+    other = F.get(F.filter(F.transform(F.when(_is(_get(u, "$.content", "variant"), "OBJECT"), fields), lambda x: F.when(_is(x, "STRING"), strip(_get(x, "$")))), lambda x: x != ""), 0)
     call = F.concat(F.lit("[Grok tool call: "), F.coalesce(_or(_get(u, "$.name")), _get(u, "$.tool.name"), F.lit("unknown_tool")), F.lit("]"))
     loose = _or(strip(_text(u, "$.text")), strip(_text(u, "$.delta")))
     thought = F.concat(F.lit("[thought] "), F.substring(loose, 1, 500))
     content = _or(
-        strip(cleaned), strip(_text(u, "$.content")), listed, F.when(F.contains(kind, F.lit("tool_call")), call),
+        strip(cleaned), F.when(_get(u, "$.content.type") == "text", None).otherwise(other), strip(_text(u, "$.content")), listed, F.when(F.contains(kind, F.lit("tool_call")), call),
         F.when(F.contains(kind, F.lit("thought")), thought), loose, strip(_text(u, "$.message")), strip(_get(u, "$.message.text")),
     )
     role = F.when(F.contains(kind, F.lit("user_message")), "user").otherwise("assistant")
@@ -272,6 +327,7 @@ def read_all(spark: SparkSession, places: dict[str, str]) -> DataFrame:
     """Messages of every source, one read per source: ``places`` maps a reader's name to its paths."""
     out = None
     for name, paths in places.items():
-        found = READERS[name](read_lines(spark, paths)).select(*COLUMNS)
+        files = read_files(spark, paths)
+        found = READERS[name](json_lines(files) if name == "codex" else file_lines(files)).select(*COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out
