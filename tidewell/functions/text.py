@@ -254,6 +254,22 @@ def last_updated(text: Column) -> Column:
     return F.try_to_timestamp(F.nullif(raw, F.lit("")), F.lit("yyyy-MM-dd HH:mm"))
 
 
+def merged_observations(old: Column, new: Column, today: Column) -> Column:
+    """A note after a run: the new text alone if it has a section of today (it then holds all of it), else the old one with the new text below."""
+    whole = F.contains(new, F.concat(F.lit("## "), today))
+    return F.when(whole | (strip(F.coalesce(old, F.lit(""))) == ""), new).otherwise(F.concat(F.regexp_replace(old, "\\s+$", ""), F.lit("\n\n"), new))
+
+
+def index_status(text: Column) -> Column:
+    """struct<documents, vectors, updated> of an external index's status text; null where a line is missing."""
+    number = lambda name: F.nullif(F.regexp_extract(text, f"(?mi)^\\s*{name}:\\s*([0-9]+)", 1), F.lit("")).try_cast("long")
+    return F.struct(number("documents").alias("documents"), number("vectors").alias("vectors"), F.nullif(F.regexp_extract(text, "(?mi)^\\s*updated:\\s*(\\S+)", 1), F.lit("")).alias("updated"))
+
+
+def unmatched_tokens(tokens: Column, matched: Column) -> Column:
+    return F.array_sort(F.array_except(tokens, matched))
+
+
 def head_within(text: Column, most: int, mark: str = "\n\n[truncated]") -> Column:
     """The first ``most`` characters, with a mark if any are cut."""
     return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), "\\s+$", ""), F.lit(mark))).otherwise(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +110,64 @@ def job_transitions(jobs: DataFrame, current: DataFrame) -> DataFrame:
     met = jobs.join(F.broadcast(now))
     same = F.forall(F.map_entries("hashes"), lambda e: F.coalesce(F.try_element_at(F.col("_now"), e["key"]) == e["value"], F.lit(False)))
     return met.withColumn("next_status", F.when(F.col("status") == "completed", F.when(same, "applied").otherwise("stale")).otherwise(F.col("status"))).drop("_now")
+
+
+def memory_files(files: DataFrame) -> DataFrame:
+    """(project, stem, path, content, is_index, hash) of Markdown files (path, value), named by the folder above ``memory``; blank ones are left out."""
+    kept = files.filter(F.col("path").rlike(r"\.md$") & (F.coalesce(strip(F.col("value")), F.lit("")) != ""))
+    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    project = F.regexp_extract("path", r"([^/]+)/(?:memory/)?[^/]+$", 1)
+    return kept.select(project.alias("project"), stem.alias("stem"), "path", F.col("value").alias("content"), (stem == "MEMORY").alias("is_index"), F.sha2("value", 256).alias("hash"))
+
+
+def byte_chunks(docs: DataFrame, most: int, doc: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, part, text): texts in parts of ``most`` bytes of UTF-8 at most, cut at line ends, else between characters. From the second part on, the heading of the text comes first."""
+    source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            ids, n, parts = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _parts(t or "", most)
+                ids += [i] * len(found)
+                n += range(len(found))
+                parts += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(n, pa.int64()), pa.array(parts, pa.string())], names=["doc", "part", "text"])
+
+    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, part long, text string")
+
+
+def _parts(text: str, most: int) -> list[str]:
+    if len(text.encode()) <= most:
+        return [text]
+    first = re.match(r"#{1,6} [^\n]*", text)
+    head = f"{first.group()} (continued)\n\n" if first and 2 * len(first.group().encode()) < most else ""
+    room, out, now = most - len(head.encode()), [], b""
+    for line in text.splitlines(keepends=True):
+        raw = line.encode()
+        while raw:
+            free = room - len(now)
+            if len(raw) <= free:
+                now, raw = now + raw, b""
+            elif now and len(raw) <= room:
+                out, now = [*out, now], b""
+            else:
+                cut = free
+                while cut > 0 and raw[cut] & 0xC0 == 0x80:  # not inside a character
+                    cut -= 1
+                if cut == 0 and not now:
+                    raise ValueError("a part cannot hold one character")
+                out, now, raw = [*out, now + raw[:cut]], b"", raw[cut:]
+    texts = [x.decode() for x in [*out, now] if x]
+    return [texts[0], *(head + t for t in texts[1:])]
+
+
+def export_bundle(profile: DataFrame, active: DataFrame, observations: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+    """(role, doc, part, name, text, bytes, sha256): the files of an export, cut to ``most`` bytes, with what its manifest lists."""
+    sides = [("profile", profile), ("active", active), *([("observations", observations)] if observations is not None else [])]
+    out = None
+    for role, docs in sides:
+        one = byte_chunks(docs, most).withColumn("role", F.lit(role))
+        out = one if out is None else out.unionByName(one)
+    name = F.concat_ws("-", "role", F.col("doc").cast("string"), F.lpad((F.col("part") + 1).cast("string"), 2, "0"))
+    return out.select("role", "doc", "part", F.concat(name, F.lit(".md")).alias("name"), "text", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))

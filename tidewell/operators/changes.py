@@ -77,3 +77,14 @@ def divergences(prior: DataFrame, new: DataFrame) -> DataFrame:
 
 def dropped_keys(prior: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return prior.select(key).distinct().join(new.select(key).distinct(), key, "left_anti")
+
+
+def shared_keys(prior: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    return prior.select(key).intersect(new.select(key))
+
+
+def reconciled(stored: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What a store does to hold just ``new`` (key, hash): upsert what is new or differs, delete what is absent; nothing for the rest."""
+    met = stored.select(key, F.col("hash").alias("_old")).join(new.select(key, F.col("hash").alias("_new")), key, "full_outer")
+    step = F.when(F.col("_new").isNull(), "delete").when(F.col("_old").isNull() | (F.col("_old") != F.col("_new")), "upsert")
+    return met.select(key, step.alias("step")).filter("step IS NOT NULL")

@@ -51,12 +51,10 @@ def choose_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("seen", seen).orderBy(F.desc("seen"), F.desc("hlc"), F.desc("record_id")).limit(1)
 
 
-def latest_rewrap(records: DataFrame, rewraps: DataFrame) -> DataFrame:
-    """Each record with the payload of its latest rewrap for the same id and hash, else its own."""
-    last = rewraps.groupBy(F.col("target_id").alias("record_id"), "payload_hash").agg(
-        F.max_by("payload", F.struct("hlc", "record_id")).alias("rewrapped")
-    )
-    met = records.join(last, ["record_id", "payload_hash"], "left")
+def latest_rewrap(records: DataFrame, rewraps: DataFrame, on: tuple[str, ...] = ("payload_hash",)) -> DataFrame:
+    """Each record with the payload of its latest rewrap for the same id and the same columns ``on`` (envelope hash and key, if given), else its own."""
+    last = rewraps.groupBy(F.col("target_id").alias("record_id"), *on).agg(F.max_by("payload", F.struct("hlc", "record_id")).alias("rewrapped"))
+    met = records.join(last, ["record_id", *on], "left")
     return met.withColumn("current_payload", F.coalesce("rewrapped", "payload")).drop("rewrapped")
 
 
@@ -115,3 +113,14 @@ def retained(snapshots: DataFrame, keep: int, oldest: Column, by: str = "host")
 def unseen(messages: DataFrame, seen: DataFrame) -> DataFrame:
     """Inbox messages whose id the state does not hold, oldest first."""
     return messages.join(seen.select("message_id"), "message_id", "left_anti").orderBy("timestamp", "message_id")
+
+
+def tombstones(targets: DataFrame, hlc: Column) -> DataFrame:
+    """Rows that bury records (record_id, node_id): to be numbered by ``sinks.next_records`` and appended."""
+    return targets.select("node_id", F.lit("tombstone").alias("kind"), F.col("record_id").alias("target_id"), hlc.alias("hlc"), F.row_number().over(Window.partitionBy("node_id").orderBy("record_id")).alias("ord"))
+
+
+def rewraps_due(records: DataFrame, rewraps: DataFrame, key_id: str) -> DataFrame:
+    """Records under an old key that no rewrap of the same id and hash covers."""
+    done = rewraps.select(F.col("target_id").alias("record_id"), "payload_hash").distinct()
+    return records.filter(F.col("key_id") == key_id).join(done, ["record_id", "payload_hash"], "left_anti")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import is_stale, name_tokens
+from tidewell.functions.text import default_fields, entry_id, entry_kind, has_visible_content, is_stale, metadata, metadata_comment, name_tokens, strip
 from tidewell.operators.sections import entries, sections
 
 _COMMENT = re.compile(r"\s*<!--om:\s*(.*?)\s*-->\s*$")
@@ -214,3 +214,64 @@ def chunked(docs: DataFrame, budget: int, doc: str = "doc", text: str = "text")
 def shared_sections(docs: DataFrame) -> DataFrame:
     """Second-level sections of the shareable texts."""
     return sections(for_sharing(docs))
+
+
+def block_tree(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, line_no, depth, parent, kind): every line that is not blank, with the line of the entry or heading that owns it (null at the top).
+
+    An entry owns deeper lines, and lines without a marker that follow directly; a heading owns what comes before the next one of its level or above.
+    """
+    source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+
+    def rows(text: str | None):
+        heads: list[tuple[int, int]] = []
+        owners: list[tuple[int, int]] = []
+        blank = True
+        for n, line in enumerate((text or "").split("\n"), 1):
+            if not line.strip():
+                blank = True
+                continue
+            head, bullet, depth = _HEADING.match(line), _BULLET.match(line), _depth(line)
+            if head:
+                level = len(head.group(1))
+                heads, owners = [h for h in heads if h[0] < level], []
+                yield n, 0, heads[-1][1] if heads else None, "heading"
+                heads.append((level, n))
+            else:
+                if bullet or blank:
+                    owners = [o for o in owners if o[0] < depth]
+                owner = owners[-1][1] if owners else (heads[-1][1] if heads else None)
+                yield n, depth, owner, "entry" if bullet else "text"
+                if bullet:
+                    owners.append((depth, n))
+            blank = False
+
+    def run(batches):
+        for batch in batches:
+            ids, found = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = list(rows(t))
+                ids += [i] * len(own)
+                found += own
+            columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *columns], names=["doc", "line_no", "depth", "parent", "kind"])
+
+    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, line_no int, depth int, parent int, kind string")
+
+
+def with_metadata(lines: DataFrame, now: Column, node: str) -> DataFrame:
+    """Bullet lines (doc, line_no, line, section) with a metadata comment that has all default fields; what is there already stays as it is."""
+    bare = strip(F.regexp_replace("line", r"(?s)\s*<!--om:.*$", ""))
+    body = F.regexp_replace(bare, r"^[-*]\s+", "")
+    own = metadata(F.col("line"))
+    rows = lines.select("*", F.explode(F.array(F.coalesce(F.try_element_at(own, F.lit("kind")), entry_kind(body, F.col("section"))))).alias("_kind"))
+    more = F.create_map(F.lit("id"), entry_id(body), F.lit("kind"), F.col("_kind"), F.lit("last_seen"), F.date_format(now, "yyyy-MM-dd"), F.lit("node"), F.lit(node))
+    every = F.map_concat(F.map_filter(F.map_concat(default_fields(F.col("_kind")), more), lambda k, v: ~F.map_contains_key(own, k)), own)
+    return rows.withColumn("line", F.concat(bare, F.lit(" "), metadata_comment(every))).drop("_kind")
+
+
+def shareable_hits(hits: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
+    """Hits (query_id, rank, doc_id) with the start of what their documents (doc_id, content) may share; those with nothing left but headings go."""
+    shared = for_sharing(docs.select("doc_id", "content"), "content")
+    kept = shared.filter(has_visible_content(F.coalesce("content", F.lit(""))))
+    return hits.join(kept.select("doc_id", F.substring(strip(F.col("content")), 1, most).alias("content")), "doc_id")

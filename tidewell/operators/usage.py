@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.rounding import exact_sum, round6, usd
+from tidewell.functions.text import shown_usd
 
 #: Providers whose calls cost nothing more than their subscription.
 SUBSCRIPTIONS = ("openai-chatgpt", "xai-oauth")
@@ -157,3 +158,9 @@ def cost_estimate(calls: DataFrame) -> DataFrame:
 def batch_cost(priced: DataFrame) -> DataFrame:
     """Half of each estimate, rounded to 6; null stays null."""
     return priced.withColumns({c: round6(F.col(c) * 0.5) for c in ("est_input", "est_output", "est_total")})
+
+
+def tail_table(calls: DataFrame, limit: int = 20) -> DataFrame:
+    """(id, line): the newest calls as lines of a report: time, operation, status, tokens, dollars."""
+    row = F.format_string("%s  %-10s  %-18s  %8d", F.date_format("ts", "yyyy-MM-dd HH:mm"), "operation", "status", F.coalesce("tokens", F.lit(0).cast("long")))
+    return tail(calls, limit).select("id", F.concat(row, F.lit("  "), shown_usd(F.col("usd"))).alias("line"))

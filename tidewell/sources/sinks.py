@@ -58,3 +58,21 @@ def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def newest_ids(seen: DataFrame, most: int = 2000) -> DataFrame:
     """The last ``most`` ids (message_id, ord) of a seen-list."""
     return seen.orderBy(F.desc("ord")).limit(most)
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings (doc_id, term, tf, doc_len) as Parquet in folders by a hash of the term, so that a search reads those of its terms."""
+    dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def postings_of(stored: DataFrame, terms: list[str], buckets: int = 64) -> DataFrame:
+    """The stored postings of some terms; folders of other buckets are not read."""
+    asked = stored.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
+    folders = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(buckets))).distinct().collect()]  # one number per asked term
+    return stored.filter(F.col("bucket").isin(folders) & F.col("term").isin(terms)).drop("bucket")
+
+
+def sorted_rates(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The override table after an upsert by model, in order of models."""
+    return upsert(stored, new, "key").orderBy("key")

@@ -33,9 +33,14 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 
 def json_lines(files: DataFrame) -> DataFrame:
-    """As ``file_lines``, but a file that is one JSON document gives an entry per line: those of an array, or of its ``items``, else itself."""
-    v = F.col("_v")
-    entries = F.when(_is(v, "ARRAY"), _items(v, "$")).when(_is(_get(v, "$.items", "variant"), "ARRAY"), _items(v, "$.items")).when(_is(v, "OBJECT"), F.array(v))
+    """As ``file_lines``, but a file that is one JSON document gives an entry per line: those of an array, or of its ``items``, else itself.
+
+    A file whose first line is an object by itself is read by lines, as the parser stops after the first value.
+    """
+    v, lines = F.col("_v"), F.filter(F.split("value", "\r\n|\n|\r"), lambda x: F.trim(x) != "")
+    by_line = _is(F.try_parse_json(F.get(lines, 0)), "OBJECT")
+    whole = F.when(_is(v, "ARRAY"), _items(v, "$")).when(_is(_get(v, "$.items", "variant"), "ARRAY"), _items(v, "$.items")).when(_is(v, "OBJECT"), F.array(v))
+    entries = F.when(~by_line, whole)
     parsed = files.withColumn("_v", F.try_parse_json("value"))
     texts = F.coalesce(F.transform(entries, lambda x: F.to_json(x)), F.split("value", "\r\n|\n|\r"))
     each = parsed.select("path", "modified", texts.alias("_all")).select("path", "modified", F.posexplode("_all").alias("_at", "line"))
