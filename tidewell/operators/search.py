@@ -71,9 +71,10 @@ def overlap(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "co
 
 def first_hits(hits: DataFrame) -> DataFrame:
     """Hits of a query without later ones of a document; hits without a document id all stay."""
-    seen = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))
     blank = F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == ""
-    return hits.withColumn("_n", seen).filter(blank | (F.col("_n") == 1)).drop("_n")
+    # The first hit by an aggregate, which merges a common document's hits before the shuffle.
+    first = hits.filter(~blank).groupBy("query_id", "doc_id").agg(F.min_by(F.struct(*hits.columns), "rank").alias("hit")).select("hit.*")
+    return hits.filter(blank).unionByName(first)
 
 
 def hit_payload(hits: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
