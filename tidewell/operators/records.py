@@ -92,10 +92,17 @@ def namespaces(events: DataFrame, rules: DataFrame, default: str = "personal") -
 
 
 def observation_log(records: DataFrame, since: Column) -> DataFrame:
-    """Observation records after ``since`` with their position: by date, stamp, node, sequence, id."""
-    rows = records.filter(F.col("ts") >= since).withColumn("date", F.to_date("ts"))
-    order = Window.partitionBy("date").orderBy("hlc", "node_id", "node_seq", "record_id")
-    return rows.withColumn("position", F.row_number().over(order))
+    """Observation records after ``since`` with their position in their day: by stamp, node, sequence, id.
+
+    A record's position is that within the hour of its stamp plus the records of the hours before it, so a busy day is ranked by hours.
+    """
+    rows = records.filter(F.col("ts") >= since).withColumns({"date": F.to_date("ts"), "_hour": F.substring("hlc", 1, 13)})
+    hours = rows.groupBy("date", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("date").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = hours.select("date", "_hour", F.coalesce(before, F.lit(0)).alias("_before"))
+    order = Window.partitionBy("date", "_hour").orderBy("hlc", "node_id", "node_seq", "record_id")
+    placed = rows.withColumn("_at", F.row_number().over(order)).join(starts, ["date", "_hour"])
+    return placed.withColumn("position", (F.col("_before") + F.col("_at")).cast("int")).select(*records.columns, "date", "position")
 
 
 def retained(snapshots: DataFrame, keep: int, oldest: Column, by: str = "host") -> DataFrame:

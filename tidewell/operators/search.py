@@ -55,7 +55,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = 1.5,
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.sum("tf").cast("double").alias("overlap"))
     found = scored.groupBy("query_id").agg(F.max((F.col("score") > 1e-12).cast("int")).alias("found"))
-    scored = scored.join(F.broadcast(found), "query_id")  # a row per query
+    scored = scored.join(found, "query_id")
     scored = scored.withColumn("score", F.when(F.col("found") == 1, F.col("score")).otherwise(F.col("overlap"))).filter("score > 1e-12")
     scored = scored.withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
