@@ -2,6 +2,7 @@
 
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -31,9 +32,17 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=str)
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """The chosen queries, a few at a time, as small ones spend their time in planning."""
+    names = [i.callspec.params["name"] for i in request.session.items if i.nodeid.startswith("tests/test_queries.py::test_query[")]
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(lambda n: registry.QUERIES[n](spark, DATA).toPandas(), n) for n in names}
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query(spark, engine, name):
-    got = registry.QUERIES[name](spark, DATA).toPandas()
+def test_query(results, engine, name):
+    got = results[name].result()
     if name not in registry.ORACLE_SQL:
         return
     want = engine.execute(registry.ORACLE_SQL[name]).df()

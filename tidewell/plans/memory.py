@@ -256,7 +256,7 @@ QUERIES = {
     "chunked_texts": _chunked,
     "patched_notes": _patch,
     "rebuilt_notes": _rebuilt,
-    "repeated_bullets": lambda spark, sf_dir: startup.repeated_bullets(_bullet_rows(spark, sf_dir).filter("line LIKE '- c%' OR line LIKE '- q'")),
+    "repeated_bullets": lambda spark, sf_dir: startup.repeated_bullets(_bullet_rows(spark, sf_dir)),
 }
 
 FLAT = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ') || ' end'"
@@ -380,7 +380,13 @@ UNION ALL SELECT doc, 'core-identity', substr('- **Name:** N' || doc || nl || '-
   SELECT doc, '# Notes' || nl || nl || '*Last updated: ' || day || ' 08:00 UTC*' || nl || '*Last reflected: ' || day || '*' || nl || nl || core || nl || nl || CASE WHEN has_prefs THEN prefs || nl || nl ELSE '' END
     || '## Active Projects' || nl || '### ' || project || nl || '- ' || flat || ' <!--om: kind=task-->' || nl || '### Q' || nl || '- q' || nl || nl || facts || nl || '- cold' || nl || nl || '## Recent Themes' || nl || '- theme' AS text FROM made)
 SELECT doc, md5(text) AS text_md5, length(text) AS chars FROM note""",
-    "repeated_bullets": """SELECT 'cold' AS key, count(*) - 1 AS n FROM documents UNION ALL SELECT 'q', count(*) - 1 FROM documents""",
+    "repeated_bullets": f"""WITH {PARTS_SQL}, said AS (
+  SELECT lower(regexp_replace(regexp_replace(regexp_replace(flat, '[🔴🟡🟢⚪\\x{{FE0F}}🔵🟠*`]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS key FROM parts),
+every AS (
+  SELECT key FROM said UNION ALL SELECT key FROM said
+  UNION ALL SELECT unnest(['name: n' || doc, 'role/occupation: r', 'q', 'hot ' || doc, 'cold', 'theme']) FROM parts
+  UNION ALL SELECT unnest(['preferences:', 'other: x']) FROM parts WHERE has_prefs)
+SELECT key, count(*) - 1 AS n FROM every GROUP BY key HAVING count(*) > 1""",
     "chunked_texts": None,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
