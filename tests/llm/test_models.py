@@ -361,7 +361,7 @@ def test_kept_columns_may_be_named_like_results(spark):
 
 @pytest.mark.parametrize("n", [400, 1600])
 def test_vector_search_recall_outside_the_fit(spark, monkeypatch, n):
-    """The window is fitted on few queries; recall is counted on all the others."""
+    """The window is fitted on few vectors; recall is counted on all queries but those."""
     monkeypatch.setattr(neighbours, "SAMPLE", 12)
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     monkeypatch.setattr(neighbours, "SPAN", 256)
@@ -370,7 +370,7 @@ def test_vector_search_recall_outside_the_fit(spark, monkeypatch, n):
     x = (centres[rng.integers(0, len(centres), n)] + 0.4 * rng.normal(size=(n, 24))).astype(np.float32)
     t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = neighbours.entries(t, F.col("vec_id") % 5 == 0, 5).cache()
-    fitted = {r.ids[0] for r in found.filter("asks").orderBy(F.xxhash64("v")).limit(12).collect()}
+    fitted = {r.ids[0] for r in found.orderBy(F.xxhash64("v")).limit(12).collect()}
     got = neighbours.search(t, F.col("vec_id") % 5 == 0, k=5, curves=8).toPandas()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hit = total = 0

@@ -9,7 +9,7 @@ reranked by exact cosine of the original vectors.
 
 A task compares one block with the queries of at most ``SPAN`` ranks, however wide the window is.
 
-The window is fitted: for ``SAMPLE`` queries the true neighbours are found by a scan, and the window is the distance in ranks, on the
+The window is fitted: for ``SAMPLE`` vectors, queries or not, the true neighbours are found by a scan, and the window is the distance in ranks, on the
 nearest curve, that holds ``RECALL`` of them. On data with low inner dimension it stays a few rows at any size; on data
 without structure no index of any kind can keep it small, and it grows with the table.
 
@@ -35,7 +35,7 @@ from .hilbert import hilbert_key
 CURVES = 32
 DIMS, BITS = 12, 4
 SAMPLE = 200
-RECALL = 0.95
+RECALL = 0.96
 BLOCK = 4096
 SPAN = 64 * BLOCK
 SPARE = 2
@@ -134,8 +134,8 @@ def nearest_by_scan(found: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataF
 
 
 def fit_window(ranked: DataFrame, found: DataFrame, k: int) -> int:
-    """Distance in ranks, on the nearest curve, that holds ``RECALL`` of the neighbours of ``SAMPLE`` queries."""
-    sample = found.filter("asks").orderBy(F.xxhash64("v")).limit(SAMPLE).select("entry", "v").toPandas()
+    """Distance in ranks, on the nearest curve, that holds ``RECALL`` of the neighbours of ``SAMPLE`` vectors."""
+    sample = found.orderBy(F.xxhash64("v")).limit(SAMPLE).select("entry", "v").toPandas()
     if not len(sample):
         return 1
     truth = nearest_by_scan(found, sample, k)
