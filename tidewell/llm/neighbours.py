@@ -10,7 +10,7 @@ reranked by exact cosine of the original vectors.
 A task compares one block with the queries of at most ``SPAN`` ranks, however wide the window is.
 
 The window is fitted: for ``SAMPLE`` vectors, queries or not, the true neighbours are found by a scan, and the window is the distance in ranks, on the
-nearest curve, that holds ``RECALL`` of them. On data with low inner dimension it stays a few rows at any size; on data
+nearest curve, that holds ``RECALL`` of them and a standard error more. On data with low inner dimension it stays a few rows at any size; on data
 without structure no index of any kind can keep it small, and it grows with the table.
 
 Equal vectors are one entry, which keeps its k + 1 least ids; with a query's own id left out this is enough for
@@ -35,7 +35,7 @@ from .hilbert import hilbert_key
 CURVES = 32
 DIMS, BITS = 12, 4
 SAMPLE = 200
-RECALL = 0.96
+RECALL = 0.95
 BLOCK = 4096
 SPAN = 64 * BLOCK
 SPARE = 2
@@ -145,7 +145,8 @@ def fit_window(ranked: DataFrame, found: DataFrame, k: int) -> int:
     if not len(truth):
         return 1
     apart = np.abs(table.loc[truth["query"]].to_numpy() - table.loc[truth["entry"]].to_numpy()).min(axis=1)
-    return max(1, int(np.ceil(np.quantile(apart, RECALL))))
+    error = np.sqrt(RECALL * (1 - RECALL) / truth["query"].nunique())  # a vector's neighbours are not independent
+    return max(1, int(np.ceil(np.quantile(apart, min(1.0, RECALL + error)))))
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
