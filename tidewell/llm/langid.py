@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, with_fields
+from .common import kept_columns, kept_with_text, with_fields
 
 DIMENSIONS = 512
 TOGETHER = 128
@@ -99,13 +99,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
     def partial(batches):
         sums, vectors = {}, Vectors()
         for batch in batches:
-            by_lang = {}
-            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(name, []).append(trigrams(t))
-            for name, found in by_lang.items():
-                codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([n for _, n in found]), len(codes))
-                sums[name] = sums.get(name, 0) + vectors.bundles([(codes, counts)])[0].astype(float)
+            for start in range(0, len(batch), 8 * TOGETHER):
+                part, by_lang = batch.slice(start, 8 * TOGETHER), {}
+                for t, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    by_lang.setdefault(name, []).append(trigrams(t))
+                for name, found in by_lang.items():
+                    codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                    counts = np.bincount(back, np.concatenate([n for _, n in found]), len(codes))
+                    sums[name] = sums.get(name, 0) + vectors.bundles([(codes, counts)])[0].astype(float)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])], names=["lang", "sums"])
 
@@ -121,6 +122,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` of every row."""
     keep = kept_columns(keep, "lang_pred", "score")
+    rows, at = kept_with_text(docs, keep, text)
     names = [n for n, v in prototypes.items() if np.any(v)]
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else None
 
@@ -137,14 +139,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     def scored(batches):
         vectors = Vectors()
         for batch in batches:
-            texts, found = batch.column(len(keep)).to_pylist(), []
-            for at in range(0, len(texts), TOGETHER):
-                found += some(texts[at : at + TOGETHER], vectors)
+            found = []
+            for start in range(0, len(batch), TOGETHER):
+                found += some(batch.column(at).slice(start, TOGETHER).to_pylist(), vectors)
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col(text).alias("_judged_text"))
     return rows.mapInArrow(scored, with_fields(rows, len(keep), "lang_pred string, score double"))
 
 

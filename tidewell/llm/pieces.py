@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_columns, with_fields
+from .common import kept_columns, kept_with_text, with_fields
 from .lookup import Table
 
 SPACE = "▁"
@@ -233,11 +233,12 @@ def model_bytes(path: str | None = None) -> bytes:
 def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ids`` (binary, little-endian 32-bit, with begin and end) and ``decoded`` of every row."""
     keep = kept_columns(keep, "ids", "decoded")
+    rows, at = kept_with_text(docs, keep, text)
 
     def coded(batches):
         own = coder(model)
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             start = 0
             while start < len(sizes):
@@ -251,5 +252,4 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: tu
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"])
                 start = end
 
-    rows = docs.select(*keep, F.col(text).alias("_coded_text"))
     return rows.mapInArrow(coded, with_fields(rows, len(keep), "ids binary, decoded string"))
