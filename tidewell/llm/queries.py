@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, lm, mixing, neighbours, pieces, quality, simhash, toxicity
+from . import chat, credentials, langid, lines, lm, mixing, neighbours, phrases, pieces, prefixes, quality, simhash, toxicity
 from .common import held_out
 
 
@@ -118,7 +118,38 @@ def op6_piece_codes(spark, sf_dir):
     )
 
 
+def op11_phrases(spark, sf_dir):
+    """The 2,000 most cohesive phrases of two and three words in each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"), support=10, longest=3, top=2000, inside=50)
+
+
+def op12_prefix_trie(spark, sf_dir):
+    """The trie of all conversations, of which each borrows its first turns from one whose id is divisible by five."""
+    rows = prefixes.turns(_table(spark, sf_dir, "conversations"))
+    lender = F.col("conv_id") - F.col("conv_id") % 5
+    lent = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefixes.trie(prefixes.rebuilt(rows, lender, lent, most=8))
+
+
+def op13_secrets(spark, sf_dir):
+    """Secrets of every document: counts and digest of the base spans, and all spans with those of the guess costs."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = credentials.find_secrets(docs, credentials.dictionary(docs))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "context")
+    return found.select("doc_id", *map(number, credentials.KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op11_phrases": op11_phrases,
+    "op13_secrets": op13_secrets,
+    "op12_prefix_trie": op12_prefix_trie,
     "op2_nearest_vectors": op2_nearest_vectors,
     "op5_lm_score": op5_lm_score,
     "op6_piece_codes": op6_piece_codes,
@@ -231,6 +262,70 @@ SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS BIGINT) AS
        CAST(length(CASE WHEN cleaned THEN kept ELSE text END) AS BIGINT) AS kept_chars,
        sha256(CASE WHEN cleaned THEN kept ELSE text END) AS text_sha256
 FROM decided""",
+    "op11_phrases": r"""WITH piece AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), spot AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM piece
+), gram AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT *, unnest([1, 2, 3]) AS k FROM spot) WHERE i + k - 1 <= len(ws) GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE k = 1 GROUP BY lang
+), candidate AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM gram WHERE k > 1 AND f >= 10
+), cut AS (
+  SELECT *, array_to_string(ws[1 : c], ' ') AS first_part, array_to_string(ws[c + 1 :], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM candidate)
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cut JOIN gram x ON x.lang = cut.lang AND x.phrase = first_part JOIN gram y ON y.lang = cut.lang AND y.phrase = rest
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), kept AS (
+  SELECT w.* FROM weakest w WHERE NOT EXISTS (
+    SELECT 1 FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS sub FROM candidate WHERE k = 3) s
+    WHERE s.lang = w.lang AND s.sub = w.phrase AND 100 * s.a >= 50 * w.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000""",
+    "op12_prefix_trie": f"""WITH turn_rows AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unit) AS i, unit, bytes FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS unit,
+           strlen(coalesce(text, '')) AS bytes
+    FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id AS c, conv_id - conv_id % 5 AS p, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(CAST(conv_id AS VARCHAR), '')])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h
+  FROM turn_rows WHERE i = 1
+), rebuilt AS (
+  SELECT c, 0 AS part, i, unit, bytes FROM convs JOIN turn_rows ON turn_rows.conv_id = p AND i <= h
+  UNION ALL SELECT c, 1, i, unit, bytes FROM convs JOIN turn_rows ON turn_rows.conv_id = c AND i > h
+), path AS (
+  SELECT c, 0 AS depth, '' AS prefix, 0 AS bytes FROM convs
+  UNION ALL SELECT c, row_number() OVER w, sha256(string_agg(unit, '') OVER w), bytes FROM rebuilt
+  WINDOW w AS (PARTITION BY c ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), ended AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends, lag(prefix) OVER (PARTITION BY c ORDER BY depth) AS before FROM path
+), node AS (
+  SELECT depth, prefix, min(c) AS conv_id, count(*) AS n_convs, min(before) AS before, (count(*) - 1) * min(bytes) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM ended GROUP BY depth, prefix
+), child AS (
+  SELECT depth - 1 AS depth, before AS prefix, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN child USING (depth, prefix)
+), subtree AS (
+  SELECT a.depth, a.prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM counted n JOIN path a ON a.c = n.conv_id AND a.depth <= n.depth GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN subtree USING (depth, prefix) LEFT JOIN node p ON p.depth = n.depth - 1 AND p.prefix = n.before""",
     "op9_chat_format": r"""WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
