@@ -97,11 +97,8 @@ def brute_phrases(rows, support, longest, top, inside):
 
 
 @pytest.mark.parametrize(("longest", "parts", "bits"), [(3, 1024, 1 << 26), (4, 4, 64), (2, 1, 1 << 20)])
-def test_phrases_of_odd_texts(spark, monkeypatch, longest, parts, bits):
+def test_phrases_of_odd_texts(spark, longest, parts, bits):
     """Also with few bits, where rare words pass, with common words in parts, and over small batches."""
-    monkeypatch.setattr(phrases, "PARTS", parts)
-    monkeypatch.setattr(phrases, "BITS", bits)
-    monkeypatch.setattr(phrases, "TOGETHER", 300)
     rng = random.Random(longest)
     words = ["the", "THE", "of", "é", "Éa", "x y", "\U0001f600", "a\x00b", "b", "c", "rare1", "rare2"]
     rows = []
@@ -112,7 +109,7 @@ def test_phrases_of_odd_texts(spark, monkeypatch, longest, parts, bits):
     docs = spark.createDataFrame([(i, t, lang, "s", 0, "p", 1) for i, (t, lang) in enumerate(rows)], DOCS).repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
     try:
-        got = phrases.collocations(docs, support=10, longest=longest, top=25, inside=50).collect()
+        got = phrases.collocations(docs, support=10, longest=longest, top=25, inside=50, parts=parts, bits=bits).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = brute_phrases(rows, 10, longest, 25, 50)

@@ -1,13 +1,15 @@
 """Phrase collocations by contiguous pattern growth (PrefixSpan over runs of words).
 
-Texts are cut into pieces and words. A frequent word is a prefix: each of its occurrences is a pointer, kept with the ``longest`` - 1
-words to its right in the piece, up to the first one that cannot be frequent; pointers with the same words to their right
-travel as one row and a count. One task per prefix gets its pointers sorted by these words, so that those which share an
-extension are a run of rows: growth to the right keeps the runs of enough pointers and looks into those only, depth first.
+Texts are cut into pieces and words, and frequent words counted. A pair of words that may be frequent is a prefix: each of its
+occurrences is a pointer, kept with the words to its right in the piece, up to ``longest`` in all or the first one that makes no such
+pair; pointers with the same words to their right travel as one row and a count. One task per prefix gets its pointers sorted by
+these words, so that those which share an extension are a run of rows: growth to the right keeps the runs of enough pointers and looks into
+those only, depth first.
 
-Growth reads a sorted stream and holds the open runs alone. A prefix of more than 1/``PARTS`` of all words (there are ``PARTS``
-such words at most) is dealt over several tasks by the words to its right, and their supports add up. Which words cannot be frequent is told
-by one bit per hash (``BITS`` in all): it never calls a frequent word rare, and what it lets through is counted exactly.
+Growth goes through a sorted stream batch by batch; what a run has in two batches is added up after it. A prefix of more than
+1/``PARTS`` of all words (there are fewer than ``PARTS``) is dealt over several tasks by the next word, and its support added up likewise.
+Which words and pairs may be frequent is told by one bit per hash (``BITS`` in all), for pairs from counts per hash of 40 bits:
+these never call a frequent word or pair rare, and what they let through is counted exactly.
 
 Cohesion of a phrase is a * a / (l * r) for its weakest cut in two, computed in decimals of 38 digits.
 
@@ -29,7 +31,8 @@ from .common import checkpointed
 UNKNOWN = "und"
 PARTS = 1024
 BITS = 1 << 26
-TOGETHER = 1 << 24
+TOGETHER = 1 << 22
+ROWS = 50_000
 SPACE, BREAK = 1, 2
 #: Bytes with A-Z lower-cased, and what each is: 0 in a word, a space, or the end of a piece.
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -54,10 +57,8 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(codes):
         return codes, coded.dictionary
-    breaks = np.concatenate(([0], np.cumsum(kind == BREAK)))
-    starts, ends = edge[first:-1:2][: len(codes)], edge[first + 1 :: 2][: len(codes)]
-    cut = np.nonzero(breaks[starts[1:]] > breaks[ends[:-1]])[0] + 1
-    return np.insert(codes, cut, -1), coded.dictionary
+    after = np.unique(np.searchsorted(edge[first + 1 :: 2], np.nonzero(kind == BREAK)[0], side="right"))  # words that a break comes after
+    return np.insert(codes, after[(after > 0) & (after < len(codes))], -1), coded.dictionary
 
 
 def _slices(batches):
@@ -77,79 +78,139 @@ def _slices(batches):
             yield lang, held
 
 
+def _batches(columns: list, names: list[str]):
+    """Record batches of ``ROWS`` rows at most."""
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
+
+
 def _rows(docs: DataFrame, text: str, lang: Column) -> DataFrame:
     return docs.select(F.coalesce(lang.cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")).filter("text IS NOT NULL")
 
 
 def word_counts(docs: DataFrame, text: str = "text", lang: Column | None = None) -> DataFrame:
-    """(lang, phrase, a): occurrences of every word in each language."""
+    """(lang, phrase, a): occurrences of every word in each language, and those of all words together as the phrase ''."""
 
     def counted(batches):
         for name, texts in _slices(batches):
             codes, words = tokens(texts)
             if len(words):
                 n = np.bincount(codes[codes >= 0], minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words)), words.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "a"])
+                listed = pa.concat_arrays([words.cast(pa.string()), pa.array([""])])
+                yield from _batches([pa.array([name] * len(listed)), listed, pa.array(np.append(n, n.sum()))], ["lang", "phrase", "a"])
 
     rows = _rows(docs, text, F.col("lang") if lang is None else lang)
     return rows.mapInArrow(counted, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def _may_be_frequent(frequent: DataFrame) -> np.ndarray:
-    """``BITS`` bits with those of the frequent words set: packed by Spark, so the driver gets ``BITS`` / 64 longs at most."""
-    spot = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(BITS))
-    cells = frequent.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(spot % 64 AS INT)))").alias("bits"))
-    found = cells.toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
-    return bits
+def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(f"{lang} {w}".encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """40 bits for each pair of words, from the words' hashes."""
+    return (((first ^ first >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(24)).astype(np.int64)
+
+
+class Filter:
+    """One bit per hash: clear bits are of words or pairs that are not frequent."""
+
+    def __init__(self, keys: DataFrame, bits: int):
+        """Of the non-negative longs ``key``. Spark packs the bits, so the driver gets ``bits`` / 64 longs at most."""
+        spot = F.col("key") % bits
+        cells = keys.groupBy(F.floor(spot / 64).alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(key % {bits} % 64 AS INT)))").alias("bits")).toArrow()
+        self.cells, self.bits = np.zeros(-(-bits // 64), np.int64), bits
+        self.cells[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        spots = keys % self.bits
+        return (self.cells[spots >> 6] >> (spots & 63)) & 1 > 0
+
+
+def _word_keys(words: DataFrame) -> DataFrame:
+    """key: 63 bits for each (lang, phrase), as ``_coded`` looks them up."""
+
+    def hashed(batches):
+        for batch in batches:
+            keys = [int(_word_hashes(x, [w])[0]) >> 1 for x, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+
+    return words.select("lang", "phrase").mapInArrow(hashed, "key long")
+
+
+def _coded(batches, known: Filter):
+    """(language, codes, words, hashes) of each slice of texts; words that cannot be frequent have code -1."""
+    for lang, texts in _slices(batches):
+        codes, words = tokens(texts)
+        hashes = _word_hashes(lang, words.to_pylist())
+        may = np.append(known.has((hashes >> np.uint64(1)).astype(np.int64)), False)  # the last one stands for the end of a piece
+        yield lang, np.where(may[codes], codes, -1), words, hashes
+
+
+def _joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
+    each = [words.take(pa.array(c)).cast(pa.string()) for c in columns]
+    return pc.binary_join_element_wise(*each, " ") if len(each) > 1 else each[0]
+
 
+def _pair_counts(docs: DataFrame, text: str, known: Filter) -> DataFrame:
+    """(key, a): occurrences of all pairs of words that may be frequent, by the pairs' keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # BITS bits
 
-def _projections(docs: DataFrame, text: str, bits: np.ndarray, heavy: dict[tuple[str, str], int], longest: int) -> DataFrame:
-    """(lang, prefix, part, n, w2, w3, ...): pointers of each prefix, with the words to the right; null beyond the piece or a rare word.
+    def counted(batches):
+        for _, codes, _, hashes in _coded(batches, shared.value):
+            at = np.nonzero((codes[:-1] >= 0) & (codes[1:] >= 0))[0]
+            keys, n = np.unique(_pair_keys(hashes[codes[at]], hashes[codes[at + 1]]), return_counts=True)
+            yield from _batches([pa.array(keys), pa.array(n)], ["key", "a"])
+
+    # Counted per slice of texts already: before the shuffle, one more table of nearly all pairs would cost memory and merge little.
+    rows = _rows(docs, text, F.col("lang")).mapInArrow(counted, "key long, a long")
+    return rows.repartition("key").groupBy("key").agg(F.sum("a").alias("a"))
 
-    ``part`` deals the pointers of ``heavy`` prefixes over so many tasks; it is -1 for others.
+
+def _projections(docs: DataFrame, text: str, known: Filter, paired: Filter, heavy: dict[int, int], longest: int) -> DataFrame:
+    """(lang, prefix, part, n, w3, w4, ...): pointers of each pair that may be frequent, with the words to the right or null.
+
+    ``part`` deals the pointers of the prefixes whose keys are in ``heavy`` over so many tasks by the next word; it is -1 for others.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, heavy))  # BITS bits and PARTS words at most
-    names = [f"w{k}" for k in range(2, longest + 1)]
+    shared = docs.sparkSession.sparkContext.broadcast((known, paired, heavy))  # twice BITS bits, PARTS pairs
+    names = [f"w{k}" for k in range(3, longest + 1)]
 
     def projected(batches):
-        cells, split = shared.value
-        for lang, texts in _slices(batches):
-            codes, words = tokens(texts)
-            listed = words.to_pylist()
-            spots = np.fromiter((xxhash.xxh64_intdigest(f"{lang} {w}".encode("utf-8", "surrogatepass"), 42) % BITS for w in listed), np.int64, len(listed))
-            known = np.append((cells[spots >> 6] >> (spots & 63)) & 1 > 0, False)  # the last one stands for the end of a piece
-            codes = np.concatenate((np.where(known[codes], codes, -1), np.full(longest, -1)))
+        known, paired, split = shared.value
+        for lang, codes, words, hashes in _coded(batches, known):
             at = np.nonzero((codes[:-1] >= 0) & (codes[1:] >= 0))[0]
+            at = at[paired.has(_pair_keys(hashes[codes[at]], hashes[codes[at + 1]]))]
             if not len(at):
                 continue
-            size, grams = len(listed) + 1, codes[at]
-            right = [codes[at + 1]]
+            pair = np.zeros(len(codes) + longest, bool)  # where a pair begins that may be frequent
+            pair[at] = True
+            codes, goes = np.concatenate((codes, np.full(longest, -1))), np.ones(len(at), bool)
+            columns = [codes[at], codes[at + 1]]
             for k in range(2, longest):
-                right.append(np.where(right[-1] >= 0, codes[np.minimum(at + k, len(codes) - 1)], -1))
-            for w in right:  # words to the right as one number, renumbered where it would not fit
-                if len(grams) and int(grams.max()) >= (1 << 62) // size:
-                    grams = np.unique(grams, return_inverse=True)[1]
-                grams = grams * size + w + 1
-            _, first, n = np.unique(grams, return_index=True, return_counts=True)
-            columns = [codes[at[first]], *(w[first] for w in right)]
+                goes = goes & pair[at + k - 1]
+                columns.append(np.where(goes, codes[at + k], -1))
+            order = np.lexsort(columns[::-1])
+            columns = [c[order] for c in columns]
+            first = np.nonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))[0]
+            n = np.diff(np.append(first, len(order)))
+            columns = [c[first] for c in columns]
             parts = np.full(len(first), -1)
-            for code, m in ((i, split[lang, w]) for i, w in enumerate(listed) if (lang, w) in split):
-                own = np.nonzero(columns[0] == code)[0]
-                keys = zip(*(c[own].tolist() for c in columns[1:]), strict=True)
-                parts[own] = [xxhash.xxh64_intdigest(" ".join(listed[c] for c in key if c >= 0).encode("utf-8", "surrogatepass")) % m for key in keys]
-            taken = [words.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first)), taken[0], pa.array(parts), pa.array(n), *taken[1:]], names=["lang", "prefix", "part", "n", *names])
-
-    schema = "lang string, prefix string, part long, n long, " + ", ".join(f"{c} string" for c in names)
+            if split and longest > 2:
+                keys = _pair_keys(hashes[columns[0]], hashes[columns[1]])
+                for i in np.nonzero(np.isin(keys, list(split)))[0].tolist():
+                    parts[i] = int(hashes[columns[2][i]]) % split[int(keys[i])] if columns[2][i] >= 0 else 0
+            right = [words.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in columns[2:]]
+            yield from _batches([pa.array([lang] * len(first)), _joined(words, columns[:2]), pa.array(parts), pa.array(n), *right], ["lang", "prefix", "part", "n", *names])
+
+    schema = ", ".join(["lang string, prefix string, part long, n long", *(f"{c} string" for c in names)])
     return _rows(docs, text, F.col("lang")).mapInArrow(projected, schema)
 
 
 def _grow(rows: DataFrame, support: int, longest: int) -> DataFrame:
-    """(lang, phrase, a): the frequent extensions of each prefix, with supports that are still to be added up.
+    """(lang, phrase, a): the frequent prefixes and their frequent extensions, with supports that are still to be added up.
 
-    Runs that touch the edge of a batch, and those of prefixes dealt in parts, may go on elsewhere: they come with what they have here.
+    Runs that touch the edge of a batch, and prefixes dealt in parts, may go on elsewhere: they come with what they have here, however little.
     """
 
     def grown(batches):
@@ -157,13 +218,12 @@ def _grow(rows: DataFrame, support: int, longest: int) -> DataFrame:
             size = batch.num_rows
             if not size:
                 continue
-            words = [batch.column(i) for i in (1, *range(4, 3 + longest))]
+            words = [batch.column(i) for i in (1, *range(4, 2 + longest))]
             part, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
 
             def changed(column, size=size):
                 """Whether each row but the first differs from the one before; a null differs from a word."""
-                one, two = column.slice(1), column.slice(0, size - 1)
-                differs = pc.fill_null(pc.not_equal(one, two), False).to_numpy(zero_copy_only=False)
+                differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, size - 1)), False).to_numpy(zero_copy_only=False)
                 valid = column.is_valid().to_numpy(zero_copy_only=False)
                 return differs | (valid[1:] != valid[:-1])
 
@@ -173,40 +233,45 @@ def _grow(rows: DataFrame, support: int, longest: int) -> DataFrame:
             told = []
 
             def extend(level, lo, hi):
-                """Runs of rows lo to hi, one prefix of ``level`` words, by the next word; each is the prefix of the next level."""
+                """Runs of rows lo to hi, which share what ``level`` names, by the next word; each is the prefix of the next level."""
                 starts = np.concatenate(([lo], lo + 1 + np.nonzero(edges[level][lo : hi - 1])[0]))
                 ends = np.append(starts[1:], hi)
                 sums = np.add.reduceat(n[lo:hi], starts - lo)
-                going = (part[starts] >= 0) | (starts == 0) | (ends == size)
+                going = (starts == 0) | (ends == size)
+                if not level:
+                    going |= part[starts] >= 0
                 for k in np.nonzero((sums >= support) | going)[0].tolist():
                     i = int(starts[k])
                     if not words[level][i].is_valid:
                         continue
-                    if level:
-                        told.append((batch.column(0)[i].as_py(), " ".join(c[i].as_py() for c in words[: level + 1]), int(sums[k])))
-                    if level + 1 < longest:
+                    told.append((batch.column(0)[i].as_py(), " ".join(c[i].as_py() for c in words[: level + 1]), int(sums[k])))
+                    if level + 1 < len(words):
                         extend(level + 1, i, int(ends[k]))
 
             extend(0, 0, size)
             if told:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*told, strict=True)], names=["lang", "phrase", "a"])
 
-    order = ["lang", "prefix", "part", *(f"w{k}" for k in range(2, longest + 1))]
+    order = ["lang", "prefix", "part", *(f"w{k}" for k in range(3, longest + 1))]
     dealt = rows.repartition("lang", "prefix", "part").sortWithinPartitions(*order)
     return dealt.mapInArrow(grown, "lang string, phrase string, a long")
 
 
-def frequent_phrases(docs: DataFrame, support: int, longest: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, support: int, longest: int, text: str = "text", bits: int = BITS, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of every phrase of one to ``longest`` words that occurs ``support`` times or more, and (lang, n): all words."""
-    words = checkpointed(word_counts(docs, text))
-    totals = checkpointed(words.groupBy("lang").agg(F.sum("a").alias("n")))
-    frequent = words.filter(F.col("a") >= support)
+    often = F.col("a") >= support
+    words = checkpointed(word_counts(docs, text).filter(often | (F.col("phrase") == "")))
+    totals, words = words.filter("phrase = ''").select("lang", F.col("a").alias("n")), words.filter("phrase <> ''")
+    if longest < 2:
+        return words, totals
+    known = Filter(_word_keys(words), bits)
+    pairs = checkpointed(_pair_counts(docs, text, known).filter(often))
     every = totals.agg(F.sum("n")).collect()[0][0] or 0
-    hot = frequent.filter(F.col("a") * PARTS > every).collect()  # fewer than PARTS
-    heavy = {(r["lang"], r["phrase"]): max(2, r["a"] * PARTS // every) for r in hot}
-    pointers = _projections(docs, text, _may_be_frequent(frequent), heavy, longest)
-    longer = _grow(pointers, support, longest).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= support)
-    return checkpointed(frequent.unionByName(longer)), totals
+    hot = pairs.filter(F.col("a") * parts > every).collect()  # fewer than ``parts``
+    heavy = {r["key"]: max(2, r["a"] * parts // every) for r in hot}
+    pointers = _projections(docs, text, known, Filter(pairs, bits), heavy, longest)
+    longer = _grow(pointers, support, longest).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(often)
+    return checkpointed(words.unionByName(longer)), totals
 
 
 def _sub_phrases(words: Column, n: Column) -> Column:
@@ -215,12 +280,12 @@ def _sub_phrases(words: Column, n: Column) -> Column:
     return F.when(n > 2, F.flatten(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def collocations(docs: DataFrame, support: int = 10, longest: int = 3, top: int | None = 2000, inside: int = 50, text: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, support: int = 10, longest: int = 3, top: int | None = 2000, inside: int = 50, text: str = "text", **sizes: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the most cohesive phrases of each language, ``top`` at most (None: all).
 
-    Phrases are dropped that stand inside a longer one with ``inside`` percent of their occurrences or more.
+    Phrases are dropped that stand inside a longer one with ``inside`` percent of their occurrences or more. ``sizes``: ``bits`` and ``parts``.
     """
-    counts, totals = frequent_phrases(docs, support, longest, text)
+    counts, totals = frequent_phrases(docs, support, longest, text, **sizes)
     words = F.split("phrase", " ")
     phrases = counts.withColumns({"_words": words, "_n": F.size(words)}).filter("_n > 1")
     cut = phrases.select("lang", "phrase", "a", "_words", "_n", F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("k"))
