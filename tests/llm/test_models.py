@@ -381,3 +381,37 @@ def test_vector_search_recall_outside_the_fit(spark, monkeypatch, n):
             hit += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == q].vec_id))
             total += 5
     assert hit / total >= 0.9
+
+
+def test_neighbours_of_vectors_of_any_size(spark):
+    """Squares of these components leave the range of doubles; cosines do not."""
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(40, 6))
+    sizes = np.array([1e200, 1.0, 1e-200, 1e307])[np.arange(40) % 4]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(plain * sizes[:, None])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.search(t, F.col("vec_id") % 10 == 0, k=5).collect()}
+    unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    for q in range(0, 40, 10):
+        cosines = unit @ unit[q]
+        best = [i for i in np.argsort(-cosines, kind="stable") if i != q][:5]
+        assert [got[q, k + 1][0] for k in range(5)] == best
+        assert [got[q, k + 1][1] for k in range(5)] == pytest.approx(cosines[best])
+
+
+def plain_fingerprint(text):
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    found = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+
+def test_fingerprints_against_a_plain_version():
+    rng = random.Random(4)
+    parts = ["a", "B", "Éa", "the", "x\x00y", "\x85", " ", "\x1c", "\U0001f600", " ", "\t", "\n", "\x0b", "  ", "THE end"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.choice([0, 1, 2, 5, 60]))) for _ in range(500)]
+    assert [simhash.fingerprint(t) for t in [None, *texts]] == [plain_fingerprint(t) for t in [None, *texts]]

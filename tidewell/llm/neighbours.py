@@ -89,6 +89,17 @@ def entries(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     return merged.select(F.monotonically_increasing_id().alias("entry"), "v", "ids", "asks")
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component next to one: squares stay in range, and no digit changes."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
+def _normed(m: np.ndarray) -> np.ndarray:
+    """Rows at unit length."""
+    m = _scaled(m)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _frame(width: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([curve, 20_21])
     axes, _ = np.linalg.qr(rng.normal(size=(width, min(DIMS, width))))
@@ -100,8 +111,7 @@ def _keyed(found: DataFrame, width: int, curves: int) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            unit = _matrix(batch.column(1), width)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            unit = _normed(_matrix(batch.column(1), width))
             entry = batch.column(0)
             for c in range(curves):
                 axes, shift = _frame(width, c)
@@ -116,12 +126,12 @@ def _keyed(found: DataFrame, width: int, curves: int) -> DataFrame:
 def nearest_by_scan(found: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """(query, entry, score) of the k nearest other entries of a bounded set of queries (columns entry, v), by a scan of all rows."""
     ask, who = np.stack(queries["v"].to_list()), queries["entry"].to_numpy()
-    ask = ask / np.linalg.norm(ask, axis=1, keepdims=True)
+    ask = _normed(ask)
 
     def scan(batches):
         for batch in batches:
-            own, unit = batch.column(0).to_numpy(), _matrix(batch.column(1), ask.shape[1])
-            scores = ask @ (unit / np.linalg.norm(unit, axis=1, keepdims=True)).T
+            own = batch.column(0).to_numpy()
+            scores = ask @ _normed(_matrix(batch.column(1), ask.shape[1])).T
             scores[who[:, None] == own[None, :]] = -2
             best = np.argpartition(-scores, min(k, len(own) - 1), axis=1)[:, :k]
             at = np.repeat(np.arange(len(who)), best.shape[1])
@@ -151,8 +161,7 @@ def fit_window(ranked: DataFrame, found: DataFrame, k: int) -> int:
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
     """Unit vectors in single precision, as they travel to the blocks."""
-    m = _matrix(column, width)
-    return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    return _normed(_matrix(column, width)).astype(np.float32)
 
 
 def _packed(found: DataFrame, width: int) -> DataFrame:
@@ -229,7 +238,7 @@ def _answers(near: DataFrame, found: DataFrame, table: DataFrame, is_query: Colu
             if not batch.num_rows:
                 continue
             width = len(batch.column(2)[0])
-            a, b = _matrix(batch.column(2), width), _matrix(batch.column(3), width)
+            a, b = _scaled(_matrix(batch.column(2), width)), _scaled(_matrix(batch.column(3), width))
             dot = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dot)], names=["query", "ids", "score"])
 
