@@ -32,8 +32,8 @@ def op2_nearest_vectors(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    """What boilerplate removal does to each document."""
-    clean = lines.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    """What boilerplate removal does to each document; of those made up of boilerplate, shown copies stay whole."""
+    clean = lines.drop_boilerplate(_table(spark, sf_dir, "documents"), only_copies=True)
     return clean.select(
         "doc_id",
         "n_lines",
@@ -254,8 +254,13 @@ FROM (SELECT *, unnest(range(1, copies + 1)) AS n FROM parted) d LEFT JOIN ranke
   SELECT s.doc_id, text, ls, gone,
          array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)) AS kept
   FROM split s LEFT JOIN spots g ON s.doc_id = g.doc_id
+), line_set AS (
+  SELECT text, source, list_sort(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, {TRIM_SQL})), lambda x: x <> ''))) AS lines
+  FROM split WHERE text IS NOT NULL AND source IS NOT NULL
+), copied AS (
+  SELECT DISTINCT text FROM line_set SEMI JOIN (SELECT lines FROM line_set GROUP BY lines HAVING min(source) < max(source)) USING (lines)
 ), decided AS (
-  SELECT *, gone IS NOT NULL AND length(kept) >= 0.5 * length(text) AS cleaned FROM cut
+  SELECT *, gone IS NOT NULL AND (length(kept) >= 0.5 * length(text) OR text NOT IN (SELECT text FROM copied)) AS cleaned FROM cut
 )
 SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines,
        CAST(CASE WHEN cleaned THEN len(gone) ELSE 0 END AS BIGINT) AS n_removed,
