@@ -29,26 +29,6 @@ def test_sections_round_trip(spark):
     assert trees.reassembled(found).collect()[0].text == text
 
 
-def test_patches_apply_whole_or_not(spark):
-    docs, _ = notes(spark)
-    found = sections.sections(docs).filter("ord > 0")
-    offered = found.select("doc", "handle")
-
-    def bodies(*patches):
-        p = spark.createDataFrame([("d", *x) for x in patches], "doc string, handle string, body string")
-        return [r.body for r in trees.patched(found, p, offered).orderBy("ord").collect()]
-
-    assert bodies(("b", "new")) == ["one\n### S", "new", "three"]
-    assert bodies(("b", "new"), ("zz", "no")) == ["one\n### S", "two", "three"]
-    assert bodies(("a", "lost heading")) == ["one\n### S", "two", "three"]
-
-
-def test_parse_patches(spark):
-    replies = spark.createDataFrame([("d", "SECTION_HANDLE: a\nx\nSECTION_HANDLE: b\n"), ("e", "hello\nSECTION_HANDLE: c\ny")], "doc string, reply string")
-    got = {(r.doc, r.handle): r.error for r in trees.parse_patches(replies).collect()}
-    assert got == {("d", "a"): None, ("d", "b"): "empty body", ("e", None): "stray text", ("e", "c"): None}
-
-
 def test_route(spark):
     chunks = spark.createDataFrame([(0, "work on Alpha today"), (1, "nothing")], "chunk_id long, text string")
     subs = spark.createDataFrame([("s0", "alpha-tool", 0), ("s1", "beta", 1)], "handle string, name string, position long")

@@ -40,19 +40,6 @@ def test_memory_files(spark, tmp_path):
     assert {(r.project, r.stem, r.is_index) for r in artifacts.memory_files(files).collect()} == {("proj", "MEMORY", True), ("proj", "note", False)}
 
 
-@pytest.mark.parametrize("text", ["", "x", "# T\r\n\r\n## A\r\nb\r\n\r\n## B", "## A\n\n\n## A\n### s\n", "a\n##no\n## Y  \n\x0b\n"])
-def test_sections_come_back_byte_for_byte(spark, text):
-    docs = spark.createDataFrame([(1, text)], "doc long, text string")
-    kept = trees.exact_sections(docs)
-    assert trees.exact_text(kept).collect()[0].text == text
-    if "## A" in text:
-        patch = spark.createDataFrame([(1, 1, "## A\nnew\n")], "doc long, ord int, raw string")
-        done = trees.exact_text(kept, patch).collect()[0].text
-        first = text.index("## A")
-        after = text.find("## ", first + 3)
-        assert done == text[:first] + "## A\nnew\n" + (text[after:] if after > 0 else "")
-
-
 def test_byte_chunks(spark):
     texts = ["", "short", "# Title\n" + "line é\n" * 400, "日本" * 500, "# H\nx" + "y" * 900]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")

@@ -1,4 +1,4 @@
-"""Markdown trees: sharing filter, section patches, routing, packing of long texts.
+"""Markdown trees: sharing filter, routing, packing of long texts.
 
 Ownership of nested lines needs a look at what stands above each line, so these run per document in
 Arrow batches; a document is one value, as long as its notes are.
@@ -102,21 +102,6 @@ def for_sharing(docs: DataFrame, text: str = "text") -> DataFrame:
     return _per_text(docs, text, shareable_text)
 
 
-def patched(found: DataFrame, patches: DataFrame, offered: DataFrame) -> DataFrame:
-    """Sections (doc, handle, ord, body) with the bodies of ``patches`` (doc, handle, body) put in.
-
-    A document whose patches name a handle that ``offered`` (doc, handle) lacks, or one twice, or would
-    drop a third-level heading, keeps all its old bodies: patches apply whole or not at all.
-    """
-    allowed = offered.select("doc", "handle", F.lit(True).alias("ok"))
-    met = patches.join(allowed, ["doc", "handle"], "left").join(found.select("doc", "handle", F.col("body").alias("old")), ["doc", "handle"], "left")
-    heads = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?m)^###\\s+(.+?)\\s*$"), 1)
-    lost = F.size(F.array_except(heads(F.col("old")), heads(F.col("body")))) > 0
-    bad = met.groupBy("doc").agg((F.bool_or(F.col("ok").isNull() | F.col("old").isNull() | lost) | (F.count("handle") > F.count_distinct("handle"))).alias("bad"))
-    good = patches.join(bad.filter("NOT bad"), "doc", "left_semi").select("doc", "handle", F.col("body").alias("new"))
-    return found.join(good, ["doc", "handle"], "left").withColumn("body", F.coalesce("new", "body")).drop("new")
-
-
 def reassembled(found: DataFrame) -> DataFrame:
     """(doc, text): the sections of each document in order, with their headings."""
     whole = F.when(F.col("heading").isNull(), F.col("body")).otherwise(F.concat(F.lit("## "), "heading", F.lit("\n"), "body"))
@@ -124,35 +109,6 @@ def reassembled(found: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def exact_sections(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, ord, heading, raw): a text cut before every second-level heading; ``raw`` keeps every byte, line ends and all. Ord 0 is what comes before."""
-    parts = F.split(F.col(text), r"(?m)(?=^## )")
-    each = docs.select(F.col(doc).alias("doc"), parts.alias("_p")).select("doc", F.posexplode("_p").alias("at", "raw"))
-    head = F.nullif(F.regexp_extract("raw", r"\A## ([^\r\n]*)", 1), F.lit(""))
-    lead = F.col("at") + F.when(F.min(F.when(F.col("at") == 0, F.startswith("raw", F.lit("## ")))).over(Window.partitionBy("doc")), 1).otherwise(0)
-    return each.select("doc", lead.alias("ord"), head.alias("heading"), "raw")
-
-
-def exact_text(found: DataFrame, patches: DataFrame | None = None) -> DataFrame:
-    """(doc, text): sections put together byte for byte, with those of ``patches`` (doc, ord, raw) in place of the old ones."""
-    if patches is not None:
-        found = found.join(patches.select("doc", "ord", F.col("raw").alias("_new")), ["doc", "ord"], "left").withColumn("raw", F.coalesce("_new", "raw"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw"))), lambda x: x["raw"])
-    return found.groupBy("doc").agg(F.array_join(ordered, "").alias("text"))
-
-
-def parse_patches(replies: DataFrame) -> DataFrame:
-    """(doc, handle, body, error) of replies made of ``SECTION_HANDLE: h`` blocks; stray text, repeats and empty bodies are errors."""
-    part = F.posexplode(F.split("reply", "(?m)(?=^SECTION_HANDLE:)")).alias("at", "part")
-    rows = replies.select("doc", part).filter("trim(part) <> ''")
-    handle = F.nullif(F.regexp_extract("part", "^SECTION_HANDLE:[ \t]*(\\S*)", 1), F.lit(""))
-    body = F.btrim(F.regexp_replace("part", "^SECTION_HANDLE:[^\n]*\n?", ""), F.lit("\n"))
-    rows = rows.select("doc", "at", handle.alias("handle"), body.alias("body"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc", "handle"))
-    error = F.when(F.col("handle").isNull(), "stray text").when(n > 1, "repeated handle").when(F.col("body") == "", "empty body")
-    return rows.withColumn("error", error).drop("at")
-
-
 def route(chunks: DataFrame, subsections: DataFrame) -> DataFrame:
     """(chunk_id, handle): subsections that share a name token (three letters or more; compounds whole and in parts) with a chunk; if none, one in turn.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as fx
-from tidewell.operators import context, sections, startup, trees
+from tidewell.operators import context, patches, sections, startup, trees
 
 from .documents import GROWTH_SQL, _growth
 from .relations import docs
@@ -208,19 +208,40 @@ def _chunked(spark, sf_dir):
     return trees.chunked(docs(spark, sf_dir), 500, "doc_id", "content").groupBy("doc").agg(F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).cast("long").alias("chars"), F.count(F.lit(1)).alias("pieces"))
 
 
+def _replies(spark, sf_dir):
+    """A reply to every note, of nine kinds in turn: four that fit their note, four that do not, and one whose text has a line like a handle's."""
+    n = F.col("doc_id") % 9
+    own = F.substring(_flat(), 1, 40)
+    block = lambda handle, body, *more: F.concat(F.lit(f"SECTION_HANDLE: {handle}\n"), *[F.lit(x + "\n") for x in more], F.lit("UPDATED_MARKDOWN:\n"), *body, F.lit("\n"))
+    themes = block("ref:recent-themes", [F.lit("## Recent Themes\n- about "), own])
+    area = [F.lit("## New Area\n- "), own]
+    reply = (
+        F.when(n == 0, themes)
+        .when(n == 1, F.concat(block("ref:active-projects:q", [F.lit("### Q\n- "), own]), F.lit("\n"), themes))
+        .when(n == 2, block("ref:new-area", area, "NEW_AFTER: ref:core-identity"))
+        .when(n == 3, block("ref:new-area", area, "NEW_AFTER:"))
+        .when(n == 4, F.concat(themes, F.lit("\nSECTION_HANDLE: ref:active-projects:q\n### Q\n- "), own))
+        .when(n == 5, F.concat(themes, block("ref:nothing", [F.lit("## Nothing\n- x")])))
+        .when(n == 6, block("ref:new-area", [F.lit("## Key Facts & Context\n- "), own], "NEW_AFTER:"))
+        .when(n == 7, F.concat(F.lit("Sure:\n"), themes))
+        .otherwise(block("ref:core-identity", [F.lit("## Core Identity\n- "), own]))
+    )
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), reply.alias("reply"))
+
+
 def _patch(spark, sf_dir):
-    """A patch of the themes per note; those of every third note name a section that was not offered."""
-    found = _found(spark, sf_dir)
-    reply = F.concat(F.lit("SECTION_HANDLE: recent-themes\n- new "), F.col("doc").cast("string"), F.when(F.col("doc") % 3 == 0, "\nSECTION_HANDLE: core-identity\n- hacked").otherwise(""))
-    patches = trees.parse_patches(_notes(spark, sf_dir).select("doc", reply.alias("reply"))).filter("error IS NULL").select("doc", "handle", "body")
-    done = trees.patched(found, patches, found.filter("handle = 'recent-themes'"))
-    return done.filter("handle IN ('recent-themes', 'core-identity')").select("doc", "handle", F.substring("body", 1, 20).alias("start"))
+    """Every note with its reply's patches, of which those of the identity are not on offer."""
+    notes = _notes(spark, sf_dir)
+    offered = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(F.array(F.lit("ref:recent-themes"), F.lit("ref:active-projects:q"))).alias("handle"))
+    done = patches.applied(notes, _replies(spark, sf_dir), offered)
+    return done.select("doc", "error", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
 
 
 def _rebuilt(spark, sf_dir):
     """Every note taken apart and put together again, byte for byte."""
-    kept = trees.exact_sections(_notes(spark, sf_dir))
-    return trees.exact_text(kept).select("doc", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
+    notes = _notes(spark, sf_dir)
+    none = notes.limit(0).select("doc", F.col("text").alias("reply"))
+    return patches.applied(notes, none).select("doc", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
 
 
 QUERIES = {
@@ -282,6 +303,10 @@ chunk AS (
   UNION ALL SELECT doc, 'active', 'Recent Themes', 'startup:active:recent-themes', '## Recent Themes' || nl || '- theme' FROM made
   UNION ALL SELECT doc, 'active', 'Current Session Snapshot / ' || day, 'startup:active:current-session-snapshot:' || day,
     '## Current Session Snapshot / ' || day || nl || nl || '- ctx ' || flat FROM made)"""
+NOTE_SQL = """note AS (
+  SELECT doc, nl, head, head || nl || nl || CASE WHEN has_prefs THEN prefs || nl || nl ELSE '' END || '## Active Projects' || nl || '### ' || project || nl || '- ' || flat || ' <!--om: kind=task-->' || nl
+    || '### Q' || nl || '- q' || nl || nl || facts || nl || '- cold' || nl || nl || '## Recent Themes' || nl || '- theme' AS text
+  FROM (SELECT *, '# Notes' || nl || nl || '*Last updated: ' || day || ' 08:00 UTC*' || nl || '*Last reflected: ' || day || '*' || nl || nl || core AS head FROM made))"""
 PACK_SQL = f"""{PARTS_SQL}, sized AS (
   SELECT *, length(body) AS size, CASE WHEN heading = 'Core Identity' THEN 8 WHEN heading LIKE 'Preferences%' THEN 10 WHEN heading LIKE 'Current Session%' THEN 9
     WHEN heading LIKE 'Active Projects%' THEN 8 WHEN source = 'profile' THEN 7 ELSE 4 END + CASE WHEN contains(lower(heading || ' ' || body), 'tea') THEN 6 ELSE 0 END AS priority FROM chunk),
@@ -374,12 +399,17 @@ UNION ALL SELECT doc, 'active-projects', 11 + more, 17 + more FROM p
 UNION ALL SELECT doc, 'key-facts-context', 17 + more, 22 + more FROM p
 UNION ALL SELECT doc, 'recent-themes', 22 + more, NULL FROM p""",
     "notes_since": f"SELECT doc_id AS doc, {DAY} AS heading FROM documents WHERE doc_id % 28 + 1 >= 10",
-    "patched_notes": f"""WITH {PARTS_SQL} SELECT doc, 'recent-themes' AS handle, CASE WHEN doc % 3 = 0 THEN '- theme' ELSE '- new ' || doc END AS start FROM parts
-UNION ALL SELECT doc, 'core-identity', substr('- **Name:** N' || doc || nl || '- **Role/occupation:** r', 1, 20) FROM parts""",
-    "rebuilt_notes": f"""WITH {PARTS_SQL}, note AS (
-  SELECT doc, '# Notes' || nl || nl || '*Last updated: ' || day || ' 08:00 UTC*' || nl || '*Last reflected: ' || day || '*' || nl || nl || core || nl || nl || CASE WHEN has_prefs THEN prefs || nl || nl ELSE '' END
-    || '## Active Projects' || nl || '### ' || project || nl || '- ' || flat || ' <!--om: kind=task-->' || nl || '### Q' || nl || '- q' || nl || nl || facts || nl || '- cold' || nl || nl || '## Recent Themes' || nl || '- theme' AS text FROM made)
-SELECT doc, md5(text) AS text_md5, length(text) AS chars FROM note""",
+    "patched_notes": f"""WITH {PARTS_SQL}, {NOTE_SQL}, own AS (SELECT note.*, substr(flat, 1, 40) AS said, rtrim(substr(flat, 1, 40)) AS last_said FROM note JOIN parts USING (doc)),
+done AS (SELECT doc, CASE doc % 9 WHEN 4 THEN NULL WHEN 5 THEN 'unknown handle' WHEN 6 THEN 'heading exists' WHEN 7 THEN 'text before the first block' WHEN 8 THEN 'handle not offered' END AS error,
+  CASE doc % 9
+    WHEN 0 THEN left(text, length(text) - 24) || '## Recent Themes' || nl || '- about ' || last_said || nl || nl
+    WHEN 1 THEN replace(left(text, length(text) - 24), '### Q' || nl || '- q' || nl || nl || '## Key', '### Q' || nl || '- ' || said || nl || '## Key') || '## Recent Themes' || nl || '- about ' || last_said || nl || nl
+    WHEN 2 THEN head || nl || nl || '## New Area' || nl || '- ' || last_said || nl || nl || substr(text, length(head) + 3)
+    WHEN 3 THEN text || nl || nl || '## New Area' || nl || '- ' || last_said || nl || nl
+    WHEN 4 THEN left(text, length(text) - 24) || '## Recent Themes' || nl || '- about ' || said || nl || nl || 'SECTION_HANDLE: ref:active-projects:q' || nl || '### Q' || nl || '- ' || last_said || nl || nl
+    ELSE text END AS text FROM own)
+SELECT doc, error, md5(text) AS text_md5, length(text) AS chars FROM done""",
+    "rebuilt_notes": f"WITH {PARTS_SQL}, {NOTE_SQL} SELECT doc, md5(text) AS text_md5, length(text) AS chars FROM note",
     "repeated_bullets": f"""WITH {PARTS_SQL}, said AS (
   SELECT lower(regexp_replace(regexp_replace(regexp_replace(flat, '[🔴🟡🟢⚪\\x{{FE0F}}🔵🟠*`]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS key FROM parts),
 every AS (
