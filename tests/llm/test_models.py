@@ -282,22 +282,83 @@ def test_toxicity_learns_what_no_sum_of_weights_can(spark):
         assert abs(mine - 1 / (1 + math.exp(-margin))) < 1e-6
 
 
-def test_interactions_match_a_plain_count():
+def rare_corpus(n, words, seed):
+    """Two words in about one document of a hundred each, toxic exactly if one of them stands alone; elsewhere toxicity is a coin's."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        kind = i % 100
+        own = {0: words[:1], 1: words[1:], 2: words, 3: words}.get(kind if i % 200 < 100 else kind + 2 if kind < 2 else 99, [])
+        rows.append((i, " ".join(rng.sample([f"w{k}" for k in range(400)], 12) + list(own)), "en"))
+        labels.append((i, 1 if len(own) == 1 else 0 if own else rng.randint(0, 1)))
+    return rows, labels
+
+
+def test_toxicity_learns_rare_pairs(spark):
+    rows, labels = rare_corpus(9000, ["scum", "folk"], 5)
+    docs, known = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs, known.filter("doc_id < 7000"))
+    got = toxicity.score(docs.filter("doc_id >= 7000"), machine).toPandas().set_index("doc_id").score
+    told = [(i, y) for (i, y), (_, t, _) in zip(labels, rows, strict=True) if i >= 7000 and ("scum" in t or "folk" in t)]
+    assert len(told) > 30 and np.mean([(got[i] >= 0.5) == bool(y) for i, y in told]) > 0.97
+    assert len(machine.chosen) <= 6
+
+
+def test_all_telling_pairs_are_found(spark):
+    """Against counts of every pair, in plain Python."""
     rng = np.random.default_rng(3)
-    has, toxic = rng.random((600, 5)) < 0.4, rng.random(600) < 0.3
-    toxic |= has[:, 0] & has[:, 1]
-    part = [has[~toxic].astype(float), has[toxic].astype(float)]
-    z = toxicity.interactions([p.T @ p for p in part], [p.sum(0) for p in part], slice(0, 5), [float(len(p)) for p in part])
-    for i in range(5):
-        for j in range(i + 1, 5):
+    has, toxic = rng.random((3000, 12)) < np.tile([0.05, 0.1, 0.4], 4), rng.random(3000) < 0.3
+    toxic = toxic | has[:, 0] & has[:, 1] | (has[:, 2] ^ has[:, 5]) & ~has[:, 4]
+    rows = [(str(i), int(y), [7 * k for k in np.nonzero(h)[0].tolist()]) for i, (h, y) in enumerate(zip(has, toxic, strict=True))]
+    t = spark.createDataFrame(rows, "id string, y int, terms array<int>")
+    machine = toxicity.Machine(np.empty(0, np.int32), float(np.log(toxic.mean() / (1 - toxic.mean()))))
+    found = toxicity.telling_pairs(t, toxicity.term_counts(t), machine, len(rows), int(toxic.sum())).collect()
+    want, base = {}, toxic.mean()
+    for i in range(12):
+        for j in range(i + 1, 12):
             total, error = 0.0, 0.0
-            for a, b, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)):
-                cell = toxic[(has[:, i] == a) & (has[:, j] == b)]
-                rate = (cell.sum() + 0.5) / (len(cell) + 1)
+            for x, y, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)):
+                cell = (has[:, i] == x) & (has[:, j] == y)
+                rate = (toxic[cell].sum() + 0.5) / (cell.sum() + 1)
                 total += sign * rate
-                error += max(rate * (1 - rate), toxic.mean() * (1 - toxic.mean())) / len(cell)
-            assert abs(z[i, j] - abs(total) / math.sqrt(error)) < 1e-9
-    assert z[0, 1] > 6 > z[2, 3]
+                error += max(rate * (1 - rate), base * (1 - base)) / max(cell.sum(), 1)
+            if abs(total) / error**0.5 >= toxicity.MIN_PAIR_Z:
+                want[7 * i, 7 * j] = abs(total) / error**0.5
+    assert want and {(r.one, r.two): pytest.approx(r.z) for r in found} == want
+
+
+def test_the_machine_fits_as_a_plain_one(spark):
+    """Adagrad on the logistic loss, batch by batch in the same order, with each pair's product written out."""
+    rng = np.random.default_rng(2)
+    docs = [np.sort(rng.choice(6, rng.integers(0, 5), replace=False)) for _ in range(150)]
+    toxic = np.array([float(0 in d and 1 in d) for d in docs])
+    machine, plain = (toxicity.Machine(np.arange(6, dtype=np.int32), -1.0) for _ in range(2))
+    machine.fit(docs, toxic, passes=2, steps=1)
+    w, v, bias = plain.w.astype(float), plain.v.astype(float), plain.bias
+    sums = [np.zeros_like(w), np.zeros_like(v), 0.0]
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        places = order.permutation(len(docs))
+        for at in range(0, len(docs), toxicity.BATCH):
+            gw, gv, gb, seen = np.zeros_like(w), np.zeros_like(v), 0.0, set()
+            for d in places[at : at + toxicity.BATCH]:
+                on = docs[d].tolist()
+                margin = bias + sum(w[i] for i in on) + sum(float(v[i] @ v[j]) for k, i in enumerate(on) for j in on[k + 1 :])
+                g = 1 / (1 + math.exp(-margin)) - toxic[d]
+                gb, seen = gb + g, seen | set(on)
+                for i in on:
+                    gw[i] += g
+                    gv[i] += g * sum((v[j] for j in on if j != i), np.zeros(toxicity.FACTORS))
+            for i in seen:
+                gw[i] += 1e-3 * w[i]
+                gv[i] += 1e-3 * v[i]
+                sums[0][i] += gw[i] ** 2
+                sums[1][i] += gv[i] ** 2
+                w[i] -= 0.05 * gw[i] / (sums[0][i] ** 0.5 + 1e-6)
+                v[i] -= 0.05 * gv[i] / (np.sqrt(sums[1][i]) + 1e-6)
+            sums[2] += gb**2
+            bias -= 0.05 * gb / (sums[2] ** 0.5 + 1e-6)
+    assert np.allclose(machine.w, w, atol=2e-3) and np.allclose(machine.v, v, atol=2e-3) and abs(machine.bias - bias) < 2e-3
 
 
 def test_toxicity_of_odd_rows(spark):
