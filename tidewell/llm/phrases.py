@@ -31,7 +31,7 @@ from .common import checkpointed
 UNKNOWN = "und"
 PARTS = 1024
 BITS = 1 << 26
-TOGETHER = 1 << 22
+TOGETHER = 1 << 23
 ROWS = 50_000
 SPACE, BREAK = 1, 2
 #: Bytes with A-Z lower-cased, and what each is: 0 in a word, a space, or the end of a piece.
