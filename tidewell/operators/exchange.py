@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.clocks import frontier_covers, frontier_order
@@ -45,17 +45,26 @@ def conflict_files(conflicts: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.select("section", "kind", F.to_json("es").alias("json"), F.concat(head, F.array_join(F.transform("es", line), "\n")).alias("markdown"))
 
 
-def merged_clocks(stamps: DataFrame) -> DataFrame:
-    """(node_id, wall, counter): each node's clock after it received its stamps (ord, wall, counter) in order, starting from none."""
-    start = F.struct(F.lit("").alias("wall"), F.lit(-1).cast("long").alias("counter"))
+ORDS = 1 << 16
+
 
-    def step(s: Column, x: Column) -> Column:
-        counter = F.when(x["wall"] > s["wall"], x["counter"]).when(x["wall"] == s["wall"], F.greatest(s["counter"], x["counter"])).otherwise(s["counter"])
-        return F.struct(F.greatest(s["wall"], x["wall"]).alias("wall"), (counter + 1).alias("counter"))
+def merged_clocks(stamps: DataFrame) -> DataFrame:
+    """(node_id, wall, counter): each node's clock after it received its stamps (ord, wall, counter, now) in order, starting from none.
 
-    # A node's unread stamps between two runs; the fold needs their order.
-    listed = stamps.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("ord", "wall", F.col("counter").cast("long").alias("counter")))).alias("xs"))
-    return listed.select("node_id", F.aggregate("xs", start, step).alias("c")).select("node_id", "c.wall", "c.counter")
+    ``ord`` is a distinct long per node. A clock's wall is the latest of all walls and local times, and from the first row that reaches it on, every row
+    counts one up, after taking a larger counter of the same wall. So the counter is the most that a row of that wall, or the first row, comes to
+    with one for each row after it; rows are counted in blocks of ``ORDS`` ords, and no node's rows meet in one group.
+    """
+    rows = stamps.select("node_id", "ord", "wall", F.col("counter").cast("long").alias("counter"), F.greatest("wall", "now").alias("top"), F.floor(F.col("ord") / ORDS).alias("block"))
+    best = rows.groupBy("node_id").agg(F.max(F.struct("top", (-F.col("ord")).alias("back"))).alias("t")).select("node_id", F.col("t.top").alias("latest"), (-F.col("t.back")).alias("first"))
+    blocks = rows.groupBy("node_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    later = F.sum("n").over(Window.partitionBy("node_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("node_id", "block", F.coalesce(later, F.lit(0)).alias("later"))
+    inside = F.row_number().over(Window.partitionBy("node_id", "block").orderBy(F.desc("ord"))) - 1
+    placed = rows.withColumn("inside", inside).join(blocks, ["node_id", "block"]).join(best, "node_id")
+    own = F.when(F.col("wall") == F.col("latest"), F.col("counter") + 1).otherwise(0)
+    told = placed.filter((F.col("ord") == F.col("first")) | (F.col("ord") > F.col("first")) & (F.col("wall") == F.col("latest")))
+    return told.groupBy("node_id").agg(F.max("latest").alias("wall"), F.max(own + F.col("inside") + F.col("later")).alias("counter"))
 
 
 def record_index(records: DataFrame) -> DataFrame:

@@ -43,8 +43,10 @@ def _conflict_files(spark, sf_dir):
 
 
 def _clocks(spark, sf_dir):
-    """Each user's first thirty events as stamps, in order of id."""
-    e = table(spark, sf_dir, "events").filter("user_id < 40").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd").alias("wall"), (F.col("event_id") % 5).alias("counter"))
+    """Every user's events as stamps, in order of id, received the day before, the same day or the day after."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    now = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 3 - 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("ord"), day("ts").alias("wall"), (F.col("event_id") % 5).alias("counter"), day(now).alias("now"))
     return exchange.merged_clocks(e)
 
 
@@ -70,7 +72,7 @@ def _totals(spark, sf_dir):
 def _answers(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select((F.col("event_id") % 100).alias("key"), (F.floor(F.col("event_id") / 100)).cast("long").alias("peer"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("value"))
-    return exchange.first_answer(rows.filter("peer < 4"), ["key"])
+    return exchange.first_answer(rows, ["key"])
 
 
 def _nodes(spark, sf_dir):
@@ -334,11 +336,13 @@ each AS (SELECT DISTINCT section, kind, record_id, text FROM entries SEMI JOIN b
 SELECT section, kind, md5('## ' || section || ' (' || kind || ')' || chr(10) || chr(10) || string_agg('- `' || record_id || '` `n' || record_id || '` ' || text, chr(10) ORDER BY record_id, text)) AS markdown_md5
 FROM each GROUP BY section, kind""",
     "merged_clocks": """WITH RECURSIVE s AS (
-  SELECT user_id AS node_id, event_id AS ord, strftime(ts, '%Y-%m-%d') AS wall, event_id % 5 AS counter, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 40),
+  SELECT user_id AS node_id, strftime(ts, '%Y-%m-%d') AS wall, event_id % 5 AS counter, strftime(CAST(ts AS DATE) + CAST(event_id % 3 - 1 AS INTEGER), '%Y-%m-%d') AS now,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 fold AS (
-  SELECT node_id, n, wall, counter + 1 AS counter FROM s WHERE n = 1
-  UNION ALL SELECT s.node_id, s.n, greatest(f.wall, s.wall),
-    CASE WHEN s.wall > f.wall THEN s.counter WHEN s.wall = f.wall THEN greatest(f.counter, s.counter) ELSE f.counter END + 1 FROM fold f JOIN s ON s.node_id = f.node_id AND s.n = f.n + 1)
+  SELECT node_id, n, greatest(wall, now) AS wall, CASE WHEN now <= wall THEN counter + 1 ELSE 0 END AS counter FROM s WHERE n = 1
+  UNION ALL SELECT s.node_id, s.n, greatest(f.wall, s.wall, s.now),
+    CASE WHEN f.wall = s.wall AND f.wall >= s.now THEN greatest(f.counter, s.counter) + 1 WHEN f.wall >= greatest(s.wall, s.now) THEN f.counter + 1 WHEN s.wall >= s.now THEN s.counter + 1 ELSE 0 END
+  FROM fold f JOIN s ON s.node_id = f.node_id AND s.n = f.n + 1)
 SELECT node_id, wall, counter FROM fold QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY n DESC) = 1""",
     "clock_stamps": f"""WITH {RECORDS_SQL}, s AS (SELECT record_id, date_trunc('second', ts) AS wall, CAST(substr(record_id, 2) AS BIGINT) % 7 AS c FROM records),
 t AS (SELECT *, greatest(wall, TIMESTAMP '2024-01-15') AS tw, CASE WHEN wall >= TIMESTAMP '2024-01-15' THEN c + 1 ELSE 0 END AS tc, greatest(wall, TIMESTAMP '2024-01-20') AS mw,
@@ -353,7 +357,7 @@ SELECT record_id, strftime(tw, '%Y-%m-%dT%H:%M:%S.000000Z') || '-' || lpad(CAST(
     "shared_files": f"WITH {RECORDS_SQL} SELECT '/share/' || node_id || '/' || record_id || '.omr.json' AS path FROM records WHERE CAST(substr(record_id, 2) AS BIGINT) % 4 <> 0 AND CAST(substr(record_id, 2) AS BIGINT) % 6 <> 0",
     "sync_totals": "SELECT CAST(sum(event_id % 7) AS BIGINT) AS pulled, CAST(sum(event_id % 3) AS BIGINT) AS pushed, CAST(0 AS BIGINT) AS rejected, count(*) FILTER (WHERE event_id % 50 = 0) AS failed FROM events",
     "peer_records": f"WITH {SPLIT} SELECT node_id, record_id FROM here UNION SELECT node_id, record_id FROM there",
-    "first_answers": """WITH a AS (SELECT event_id % 100 AS key, event_id // 100 AS peer, CASE WHEN event_id % 3 = 0 THEN event_type END AS value FROM events WHERE event_id // 100 < 4)
+    "first_answers": """WITH a AS (SELECT event_id % 100 AS key, event_id // 100 AS peer, CASE WHEN event_id % 3 = 0 THEN event_type END AS value FROM events)
 SELECT key, min_by(value, peer) FILTER (WHERE value IS NOT NULL) AS value FROM a GROUP BY key""",
     "pending_nodes": """SELECT user_id AS node_id, strftime(max(ts), '%Y-%m-%d %H:%M') AS announced_at FROM events WHERE user_id % 3 <> 0 GROUP BY user_id
 ORDER BY announced_at DESC, node_id LIMIT 25""",
