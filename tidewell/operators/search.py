@@ -54,6 +54,11 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = 1.5,
     norm = F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.sum("tf").cast("double").alias("overlap"))
+    return ranked(scored, limit)
+
+
+def ranked(scored: DataFrame, limit: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): the best of scored documents (query_id, doc_id, score, overlap), by overlap where no score is positive."""
     found = scored.groupBy("query_id").agg(F.max((F.col("score") > 1e-12).cast("int")).alias("found"))
     scored = scored.join(found, "query_id")
     scored = scored.withColumn("score", F.when(F.col("found") == 1, F.col("score")).otherwise(F.col("overlap"))).filter("score > 1e-12")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as fx
 from tidewell.operators import search
+from tidewell.operators.index import StoredIndex
+from tidewell.sources.sinks import new_folder
 
 from .relations import DOCS_SQL, docs
 
@@ -34,7 +36,29 @@ def _scalars(spark, sf_dir):
     )
 
 
+def _older(spark, sf_dir):
+    """What an index held before: one document in ten is missing, one has another text, and one is there that has gone since."""
+    d, n = docs(spark, sf_dir).select("doc_id", "content"), F.col("doc_id")
+    kept = d.filter(n % 10 != 3).withColumn("content", F.when(n % 10 == 4, F.concat(F.lit("license the license "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")))
+    return kept.unionByName(d.filter(n % 10 == 5).withColumn("doc_id", -n - 1))
+
+
+def _index(spark, sf_dir):
+    index = StoredIndex(spark, new_folder(spark, "index"))
+    index.update(_older(spark, sf_dir))
+    return index
+
+
+def _indexed(spark, sf_dir):
+    """Hits from a stored index that was built over older texts and then brought up to date."""
+    index = _index(spark, sf_dir)
+    index.update(docs(spark, sf_dir).select("doc_id", "content"))
+    return index.search(_asked(spark))
+
+
 QUERIES = {
+    "indexed_top_k": _indexed,
+    "index_changes": lambda spark, sf_dir: _index(spark, sf_dir).changes(docs(spark, sf_dir).select("doc_id", "content")).select("doc_id", "change"),
     "bm25_top_k": lambda spark, sf_dir: search.bm25(docs(spark, sf_dir), _asked(spark)),
     "token_overlap": lambda spark, sf_dir: search.overlap(docs(spark, sf_dir), "the whsting eringer license"),
     "first_hits": lambda spark, sf_dir: search.first_hits(
@@ -78,3 +102,6 @@ SELECT doc_id, CAST(len({TOKENS_SQL}) AS BIGINT) AS n_tokens,
        lower(hex('obs:' || doc_id)) AS file_name
 FROM docs""",
 }
+ORACLE_SQL["indexed_top_k"] = ORACLE_SQL["bm25_top_k"]
+ORACLE_SQL["index_changes"] = """SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'new' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (3, 4)
+UNION ALL SELECT -doc_id - 1, 'gone' FROM documents WHERE doc_id % 10 = 5"""

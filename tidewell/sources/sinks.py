@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,3 +79,18 @@ def postings_of(stored: DataFrame, terms: list[str], buckets: int = 64) -> DataF
 def sorted_rates(stored: DataFrame, new: DataFrame) -> DataFrame:
     """The override table after an upsert by model, in order of models."""
     return upsert(stored, new, "key").orderBy("key")
+
+
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """The path of a folder not used before, in the shared folder of ``spark.checkpoint.dir``; where none is set, a local session gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='tidewell-')).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` as a table in a new folder, so that what reads it several times does not plan and run it again."""
+    path = new_folder(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
