@@ -1,7 +1,7 @@
 """A stored inverted index for BM25: segments of documents in versions, blocks with score bounds, updates by what changed.
 
-A folder holds three tables. ``docs`` (version, segment, doc_id, sha, doc_len) says what is indexed; ``blocks`` (version, segment, block,
-term, n, max_tf, min_len, entries) has a row per term and block of documents, sorted by term, so that a search reads the row groups of its
+A folder holds three tables. ``docs`` (version, segment, doc_id, sha) says what is indexed; ``blocks`` (version, segment, block,
+term, n, words, max_tf, min_len, entries) has a row per term and block of documents, sorted by term, so that a search reads the row groups of its
 terms; ``manifest`` (version, segment, live) names each segment's live version. A document's segment and block follow from its id. A
 manifest is one file and is written last, so a reader sees an update whole or not at all, and a writer that fails leaves the index
 as it was. One writer at a time; superseded versions stay for running readers.
@@ -21,8 +21,8 @@ from tidewell.operators import search
 from tidewell.sources.sinks import written
 
 SCHEMAS = {
-    "docs": "doc_id {id}, sha string, doc_len int, version int, segment int",
-    "blocks": "block int, term string, n long, max_tf long, min_len int, entries array<struct<doc_id: {id}, tf: long, doc_len: int>>, version int, segment int",
+    "docs": "doc_id {id}, sha string, version int, segment int",
+    "blocks": "block int, term string, n long, words long, max_tf long, min_len int, entries array<struct<doc_id: {id}, tf: long, doc_len: int>>, version int, segment int",
     "manifest": "segment int, live int, n_docs long, words long, mean_raw double, n_segments int, n_blocks int, version int",
 }
 MOST_TERMS = 200  # asked terms up to which the scan gets them as a filter; beyond it the join alone finds them
@@ -95,15 +95,15 @@ class StoredIndex:
         dealt = docs.select("doc_id", F.coalesce("content", F.lit("")).alias("content"), self._segment(F.col("doc_id")).alias("segment"))
         dealt = dealt.filter(F.col("segment").isin(numbers)).withColumn("version", F.lit(version))
         words = search_tokens(F.col("content"))
-        rows = dealt.select("doc_id", F.sha2("content", 256).alias("sha"), F.size(words).alias("doc_len"), "version", "segment")
+        rows = dealt.select("doc_id", F.sha2("content", 256).alias("sha"), "version", "segment")
         rows.write.mode("append").partitionBy("version", "segment").parquet(f"{self.path}/docs")
-        # One shuffle, of the words of whole documents, that gives a segment to a task and so one file: both groupings below keep its partitions.
+        # One shuffle, of texts (their words as arrays take twice the room), that gives a segment to a task and so one file: both groupings below keep its partitions.
         block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(self.blocks)).cast("int")
-        spread = dealt.select("segment", block.alias("block"), "doc_id", words.alias("_t")).repartition(len(numbers) or 1, "segment")
+        spread = dealt.select("segment", block.alias("block"), "doc_id", "content").repartition(len(numbers) or 1, "segment").withColumn("_t", words)
         each = spread.select("segment", "block", "doc_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
         counted = each.groupBy("segment", "block", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
         made = counted.groupBy("segment", "block", "term").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("entries")
+            F.count(F.lit(1)).alias("n"), F.sum("tf").alias("words"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("entries")
         )
         made.withColumn("version", F.lit(version)).sortWithinPartitions("version", "segment", "term").write.mode("append").partitionBy("version", "segment").parquet(f"{self.path}/blocks")
         before = {r.segment: r.live for r in manifest} or dict.fromkeys(range(self.segments), version)
@@ -116,8 +116,8 @@ class StoredIndex:
         from pyspark.sql import Row
 
         named = [Row(segment=s, live=v) for s, v in live.items()]
-        sums = self._live("docs", named).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words"))
-        n_docs, words = sums.first()
+        n_docs = self._live("docs", named).count()
+        words = self._live("blocks", named).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
         counts = self._live("blocks", named).groupBy("term").agg(F.sum("n").alias("n"))
         raw = F.ln((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         mean = counts.agg(F.avg(raw)).first()[0]
