@@ -31,7 +31,7 @@ def test_scan(spark):
 def test_job_transitions(spark):
     jobs = spark.createDataFrame([("1", "completed", {"a": "h"}), ("2", "completed", {"a": "old"}), ("3", "pending", {"a": "h"})], "job_id string, status string, hashes map<string,string>")
     now = spark.createDataFrame([("a", "h")], "name string, hash string")
-    assert {r.job_id: r.next_status for r in artifacts.job_transitions(jobs, now).collect()} == {"1": "applied", "2": "stale", "3": "pending"}
+    assert {r.job_id: r.next_status for r in artifacts.job_transitions(jobs, now).collect()} == {"1": "applied", "2": "drifted", "3": "pending"}
 
 
 def test_rendered_log(spark):

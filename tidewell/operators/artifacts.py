@@ -102,14 +102,14 @@ def rendered_log(positioned: DataFrame) -> DataFrame:
 
 
 def job_transitions(jobs: DataFrame, current: DataFrame) -> DataFrame:
-    """Adds ``next_status``: a completed job applies if no input hash moved since it was sent, else it is stale; others stay.
+    """Adds ``next_status``: a completed job applies if no input hash moved since it was sent, else it has drifted; others stay.
 
     ``jobs`` (job_id, status, hashes map<string,string>), ``current`` (name, hash).
     """
     now = current.agg(F.map_from_entries(F.collect_list(F.struct("name", "hash"))).alias("_now"))  # one row of a few inputs
     met = jobs.join(F.broadcast(now))
     same = F.forall(F.map_entries("hashes"), lambda e: F.coalesce(F.try_element_at(F.col("_now"), e["key"]) == e["value"], F.lit(False)))
-    return met.withColumn("next_status", F.when(F.col("status") == "completed", F.when(same, "applied").otherwise("stale")).otherwise(F.col("status"))).drop("_now")
+    return met.withColumn("next_status", F.when(F.col("status") == "completed", F.when(same, "applied").otherwise("drifted")).otherwise(F.col("status"))).drop("_now")
 
 
 def memory_files(files: DataFrame) -> DataFrame:

@@ -249,7 +249,7 @@ def job_outcomes(jobs: DataFrame) -> DataFrame:
 
     Applied and failed ones stay. Without a batch id there is nothing to ask: the job stays, as it does while the batch runs.
     """
-    done = F.when(F.col("output_file_id").isNull() | F.col("line_no").isNull(), "failed").when(F.coalesce("code", F.lit(0)) != 200, "failed").when(F.col("drifted"), "stale").otherwise("applied")
+    done = F.when(F.col("output_file_id").isNull() | F.col("line_no").isNull(), "failed").when(F.coalesce("code", F.lit(0)) != 200, "failed").when(F.col("drifted"), "drifted").otherwise("applied")
     state = F.col("batch_status")
     waiting = F.col("status").isin("submitted", "in_progress", "pending") & F.col("batch_id").isNotNull()
     moved = F.when(state == "completed", done).when(state.isin("failed", "expired", "cancelled"), state).otherwise(F.col("status"))

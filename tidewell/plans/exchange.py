@@ -383,7 +383,7 @@ SELECT request_id, peer, message_id AS response_id FROM q LEFT JOIN a USING (req
     "held_mail": """SELECT CAST(doc_id AS VARCHAR) AS name, ['', 'a@b', 'c@d'][doc_id % 3 + 1] AS sender, ['unreadable', 'why', ''][doc_id % 3 + 1] AS reason, doc_id % 3 > 0 AS readable FROM documents""",
     "pending_jobs": f"WITH {JOBS_SQL} SELECT 'j' || n AS job_id, created_at FROM jobs WHERE status IN ('submitted', 'in_progress')",
     "job_outcomes": f"""WITH {JOBS_SQL}, r AS (SELECT status, line_no, CASE WHEN status NOT IN ('submitted', 'in_progress') OR NOT has_batch OR batch = 'running' THEN status WHEN batch <> 'completed' THEN batch
-  WHEN NOT has_file OR line_no IS NULL OR NOT fine THEN 'failed' WHEN drifted THEN 'stale' ELSE 'applied' END AS next_status FROM jobs)
+  WHEN NOT has_file OR line_no IS NULL OR NOT fine THEN 'failed' WHEN drifted THEN 'drifted' ELSE 'applied' END AS next_status FROM jobs)
 SELECT status, next_status, count(*) AS jobs, CAST(sum(line_no) AS BIGINT) AS line_sum FROM r GROUP BY ALL""",
     "snapshot_listing": f"WITH {MANIFESTS_SQL} SELECT snapshot_id, created_at, n_files, bytes FROM m",
     "selected_snapshot": f"WITH {MANIFESTS_SQL} SELECT snapshot_id, created_at, n_files, bytes FROM m ORDER BY created_at DESC, snapshot_id DESC LIMIT 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, exchange, memory, records, search, transcripts, upkeep, usage
+from . import dialogue, documents, exchange, memory, records, search, transcripts, upkeep, usage
 
-MODULES = (usage, search, records, documents, transcripts, memory, exchange, upkeep)
+MODULES = (usage, search, records, documents, transcripts, memory, exchange, upkeep, dialogue)
 
 QUERIES = {name: plan for module in MODULES for name, plan in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
