@@ -29,12 +29,6 @@ def test_sections_round_trip(spark):
     assert trees.reassembled(found).collect()[0].text == text
 
 
-def test_route(spark):
-    chunks = spark.createDataFrame([(0, "work on Alpha today"), (1, "nothing")], "chunk_id long, text string")
-    subs = spark.createDataFrame([("s0", "alpha-tool", 0), ("s1", "beta", 1)], "handle string, name string, position long")
-    assert {tuple(r) for r in trees.route(chunks, subs).collect()} == {(0, "s0"), (1, "s1")}
-
-
 def test_prune(spark):
     text = "## A\n- old <!--om: kind=snapshot last_seen=2026-01-01T00:00:00Z-->\n- new <!--om: kind=snapshot last_seen=2026-02-01-->\n- bad <!--om: kind=snapshot last_seen=x-->"
     docs = spark.createDataFrame([("d", text)], "doc string, text string")

@@ -297,6 +297,14 @@ def age_days(ts: Column, now: Column) -> Column:
     return F.greatest(F.floor((now.cast("double") - ts.cast("double")) / 86400), F.lit(0)).cast("long")
 
 
+def iso_moment(text: Column) -> Column:
+    """The time of an ISO date or date and time, in UTC where no zone is given; null for anything else."""
+    part = lambda n: F.regexp_extract(text, r"\A(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?\z", n)
+    other = lambda c, default: F.when(c == "", default).otherwise(c)
+    zone = F.regexp_replace(other(part(4), "Z"), r"([+-]\d{2})(\d{2})", "$1:$2")
+    return F.when(part(1) != "", F.try_to_timestamp(F.concat(part(1), F.lit("T"), other(part(2), "00:00"), other(part(3), ":00"), zone)))
+
+
 def is_stale(ts: Column, now: Column, ttl_days: int) -> Column:
     return F.coalesce(F.floor((now.cast("double") - ts.cast("double")) / 86400) >= ttl_days, F.lit(False))
 

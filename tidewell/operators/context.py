@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import head_within, is_stale, last_reflected, last_updated, slug, strip, without_metadata
+from tidewell.operators import pruning
 from tidewell.operators.sections import sections
 
 #: The sections of a profile, and of the active context, in their order.
@@ -184,25 +185,6 @@ def restamped(new: DataFrame, prior: DataFrame, today: str, first: str, last: st
     return met.select("doc", "ord", "heading", F.concat_ws("\n", mark, "bare").alias("body"), (~same).alias("changed"))
 
 
-def routed_sections(chunks: DataFrame, found: DataFrame, core: tuple[str, ...], themes: tuple[str, ...] = ("recent-themes",)) -> DataFrame:
-    """(chunk_id, handle): the whole sections that each chunk (chunk_id, text) meets: the core, and small themes if it is about current work."""
-    current = F.lit(False)
-    for w in CURRENT_WORK:
-        current = current | F.contains(F.lower("text"), F.lit(w))
-    small = found.filter(F.col("slug").isin(*core, *themes)).select("handle", "slug", "ord")  # a few sections of one note
-    met = chunks.select("chunk_id", current.alias("current")).join(F.broadcast(small))
-    return met.filter(F.col("slug").isin(*core) | F.col("current")).select("chunk_id", "handle", "ord")
-
-
-def targeted_context(routes: DataFrame, found: DataFrame, subs: DataFrame) -> DataFrame:
-    """(chunk_id, text): the routed sections whole, then the routed third-level parts (handle) under their section's heading, in order."""
-    whole = routes.join(found.select("handle", _whole().alias("text"), F.struct(F.lit(0).alias("side"), "ord", F.lit(0).alias("sub")).alias("at")), "handle")
-    under = F.concat(F.lit("## "), "heading", F.lit("\n\n"), F.regexp_replace("text", "\n+$", ""))
-    parts = routes.join(subs.select("handle", under.alias("text"), F.struct(F.lit(1).alias("side"), "ord", "sub").alias("at")), "handle")
-    rows = whole.select("chunk_id", F.struct("at", "text").alias("x")).unionByName(parts.select("chunk_id", F.struct("at", "text").alias("x")))
-    return rows.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n\n").alias("text"))
-
-
 def fold_budgets(system: Column, memory: Column, tokens: int = 45_000, ratio: float = 0.6, cap: int = 48_000, wrapper: int = 2_000, least: int = 4_000) -> Column:
     """struct<context, chunk>: characters for the note and for the observations of one fold, at 3.5 characters a token."""
     whole = int(tokens * 3.5)
@@ -244,8 +226,7 @@ def stale_moved(rows: DataFrame, now: Column, ttl_days: int, action: str = "stal
     if action == "drop":
         marked = marked.filter(~F.col("stale")).withColumn("stale", F.lit(False))
     if action == "annotate":
-        noted = F.concat(F.col("line"), F.lit(" (stale)"))
-        marked = marked.withColumn("line", F.when(F.col("stale"), noted).otherwise(F.col("line"))).withColumn("stale", F.lit(False))
+        marked = marked.withColumn("line", F.when(F.col("stale"), pruning.marked(F.col("line"))).otherwise(F.col("line"))).withColumn("stale", F.lit(False))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("doc").orderBy("stale", "line_no"))  # a note's own entries

@@ -1,4 +1,4 @@
-"""Markdown trees: sharing filter, routing, packing of long texts.
+"""Markdown trees: sharing filter, packing of long texts.
 
 Ownership of nested lines needs a look at what stands above each line, so these run per document in
 Arrow batches; a document is one value, as long as its notes are.
@@ -10,10 +10,10 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import default_fields, entry_id, entry_kind, has_visible_content, is_stale, metadata, metadata_comment, name_tokens, strip
+from tidewell.functions.text import default_fields, entry_id, entry_kind, has_visible_content, is_stale, metadata, metadata_comment, strip
 from tidewell.operators.sections import entries, sections
 
 _COMMENT = re.compile(r"\s*<!--om:\s*(.*?)\s*-->\s*$")
@@ -109,20 +109,6 @@ def reassembled(found: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def route(chunks: DataFrame, subsections: DataFrame) -> DataFrame:
-    """(chunk_id, handle): subsections that share a name token (three letters or more; compounds whole and in parts) with a chunk; if none, one in turn.
-
-    An equi join on exploded tokens; ``chunks`` (chunk_id, text), ``subsections`` (handle, name, position).
-    """
-    words = name_tokens
-    tokens = subsections.select("handle", F.explode(words(F.col("name"))).alias("token"))
-    hits = chunks.select("chunk_id", F.explode(words(F.col("text"))).alias("token")).join(tokens, "token").select("chunk_id", "handle").distinct()
-    size = subsections.agg(F.count(F.lit(1)).alias("n"))
-    rest = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_anti").join(F.broadcast(size))  # one row
-    turn = rest.join(subsections, F.pmod(F.col("chunk_id"), F.col("n")) == F.col("position"))
-    return hits.unionByName(turn.select("chunk_id", "handle"))
-
-
 def pruned(docs: DataFrame, now: Column, ttl_days: int = 14, action: str = "stale-section") -> DataFrame:
     """Snapshot entries with what happens to them: kept, or, once ``ttl_days`` old, ``drop``, ``annotate`` or ``stale-section``."""
     if action not in ("stale-section", "drop", "annotate"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as fx
-from tidewell.operators import context, patches, sections, startup, trees
+from tidewell.operators import context, patches, pruning, sections, startup, trees
 
 from .documents import GROWTH_SQL, _growth
 from .relations import docs
@@ -111,23 +111,6 @@ def _restamped(spark, sf_dir):
     return done.select("doc", "heading", "changed", F.substring("body", 1, 90).alias("start"))
 
 
-def _routes(spark, sf_dir):
-    """Chunks of text against the sections of one note: that of the least id."""
-    d = docs(spark, sf_dir)
-    one = _notes(spark, sf_dir).orderBy("doc").limit(1)
-    found = sections.sections(one).filter("ord > 0")
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.coalesce("content", F.lit("")).alias("text"))
-    return chunks, found
-
-
-def _targeted(spark, sf_dir):
-    chunks, found = _routes(spark, sf_dir)
-    whole = context.routed_sections(chunks, found, ("core-identity",)).select("chunk_id", "handle")
-    subs = context.subsections(found).withColumn("handle", F.concat_ws("/", fx.slug(F.col("heading")), fx.slug(F.col("name"))))
-    named = trees.route(chunks.withColumn("text", F.when(F.col("chunk_id") % 5 == 0, F.lit("worked on q-9 and Qux")).otherwise(F.lit("zz"))), subs.select("handle", "name", F.col("sub").cast("long").alias("position")))
-    return context.targeted_context(whole.unionByName(named), found, subs).select("chunk_id", F.md5("text").alias("text_md5"))
-
-
 def _memory_files(spark, sf_dir):
     return docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).cast("long").cast("string").alias("project"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), "content")
 
@@ -146,6 +129,18 @@ def _pruned(spark, sf_dir):
     return moved
 
 
+def _pruned_notes(spark, sf_dir):
+    """A note per document, whose text is a snapshot seen in May, pruned in each of the three ways."""
+    mark = F.when(F.col("doc_id") % 5 == 0, " <!-- stale=true -->").otherwise("")
+    text = F.concat(
+        F.lit("## Facts\n- "), _flat(), F.lit(" <!--om: kind=snapshot last_seen="), _day(), F.when(F.col("doc_id") % 2 == 0, "T10:00:00+02:00").otherwise(""), F.lit(" -->"), mark,
+        F.lit("\n- task <!--om: kind=task last_seen=2020-01-01-->\n- odd <!--om: kind=snapshot last_seen=soon-->\n\n## Stale Snapshots\n- z <!--om: kind=snapshot last_seen=2020-01-01-->\n\n"),
+    )
+    notes = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), text.alias("text"))
+    each = [pruning.pruned_notes(notes, F.lit("2026-06-01 09:00:00+00:00").cast("timestamp"), 14, a).withColumn("action", F.lit(a)) for a in pruning.ACTIONS]
+    return each[0].unionByName(each[1]).unionByName(each[2]).withColumn("text", F.md5("text"))
+
+
 def _stamps(spark, sf_dir):
     """Notes without a title, with both lines, with one of them and with none."""
     n = F.col("doc_id") % 4
@@ -258,7 +253,6 @@ QUERIES = {
     "date_spans": lambda spark, sf_dir: context.date_span(_seen(spark, sf_dir), "2026-04-15"),
     "latest_stamps": lambda spark, sf_dir: context.latest_stamp(_observed(spark, sf_dir)).select("doc", F.date_format("seen", "yyyy-MM-dd").alias("seen")),
     "restamped_sections": _restamped,
-    "targeted_context": _targeted,
     "fold_budgets": lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", context.fold_budgets(F.coalesce("content", F.lit("")), F.lit("memory")).alias("b")).select("doc_id", "b.context", "b.chunk"),
     "memory_context": lambda spark, sf_dir: context.memory_context(_memory_files(spark, sf_dir)).select("project", F.md5("text").alias("text_md5")),
     "file_status": lambda spark, sf_dir: context.file_status(_memory_files(spark, sf_dir).filter("content IS NOT NULL")),
@@ -266,6 +260,7 @@ QUERIES = {
     "growth_checks": lambda spark, sf_dir: context.growth_checks(_growth(spark, sf_dir), 30_000, 20),
     "note_coldest": lambda spark, sf_dir: sections.coldest(_growth(spark, sf_dir), 10, "doc").select("doc", "age_days"),
     "pruned_entries": _pruned,
+    "pruned_notes": _pruned_notes,
     "stamped_notes": _stamps,
     "freshness_notes": _freshness,
     "more_scalars": _scalars,
@@ -345,11 +340,6 @@ SELECT doc, 'Recent Themes' AS heading, doc % 2 = 1 AS changed,
        substr(CASE WHEN doc % 2 = 1 THEN '<!--om-section: last_reflected=2026-06-01 ' || w || '2026-05-01..2026-05-31-->' || nl || '- other'
                    ELSE '<!--om-section: last_reflected=2026-01-01 ' || w || 'a..b-->' || nl || '- theme' END, 1, 90) AS start FROM parts, mark
 UNION ALL SELECT doc, 'Active Projects', false, substr('<!--om-section: last_reflected=2026-01-01 ' || w || 'a..b-->' || nl || '### ' || project || nl || '- ' || flat || ' <!--om', 1, 90) FROM parts, mark""",
-    "targeted_context": f"""WITH {PARTS_SQL}, one AS (SELECT * FROM made ORDER BY doc LIMIT 1)
-SELECT doc_id AS chunk_id, md5(core || CASE WHEN regexp_matches(lower(coalesce(text, '')), 'today|working|wip|in progress|current|now|pr |release|commit|deploy|branch') THEN nl || nl || '## Recent Themes' || nl || '- theme' ELSE '' END
-  || nl || nl || '## Active Projects' || nl || nl || CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN '### ' || project || nl || '- ' || flat || ' <!--om: kind=task-->'
-     WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '### ' || project || nl || '- ' || flat || ' <!--om: kind=task-->' ELSE '### Q' || nl || '- q' END ELSE '### Q' || nl || '- q' END) AS text_md5
-FROM documents, one""",
     "fold_budgets": "SELECT doc_id, least(48000, greatest(157500 - 94500 - 2000 - length(coalesce(text, '')) - 6, 0)) AS context, CAST(94500 AS BIGINT) AS chunk FROM documents",
     "memory_context": """WITH f AS (SELECT CAST(doc_id // 10 AS VARCHAR) AS project, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS c FROM documents)
 SELECT project, md5('## ' || project || chr(10) || chr(10) || string_agg('### ' || path || chr(10) || CASE WHEN length(c) > 500 THEN regexp_replace(substr(c, 1, 500), '\\s+$', '') || ' …' ELSE c END,
@@ -364,7 +354,14 @@ concat_ws(',', CASE WHEN bytes > 30000 THEN 'size' END, CASE WHEN age_days > 20
     "pruned_entries": """WITH e AS (SELECT doc_id // 10 AS doc, doc_id % 10 AS line_no, doc_id AS n, doc_id % 3 = 0 AND doc_id % 4 > 0 AND doc_id % 30 >= 14 AS stale FROM documents)
 SELECT 'stale-section' AS action, doc, '- ' || n AS line, CAST(row_number() OVER (PARTITION BY doc ORDER BY stale, line_no) AS INTEGER) AS position FROM e
 UNION ALL SELECT 'drop', doc, '- ' || n, row_number() OVER (PARTITION BY doc ORDER BY line_no) FROM e WHERE NOT stale
-UNION ALL SELECT 'annotate', doc, '- ' || n || CASE WHEN stale THEN ' (stale)' ELSE '' END, row_number() OVER (PARTITION BY doc ORDER BY line_no) FROM e""",
+UNION ALL SELECT 'annotate', doc, '- ' || n || CASE WHEN stale THEN ' <!-- stale=true -->' ELSE '' END, row_number() OVER (PARTITION BY doc ORDER BY line_no) FROM e""",
+    "pruned_notes": f"""WITH p AS (SELECT doc_id AS doc, chr(10) AS nl, '- ' || {FLAT} || ' <!--om: kind=snapshot last_seen=' || {DAY} || CASE WHEN doc_id % 2 = 0 THEN 'T10:00:00+02:00' ELSE '' END || ' -->' || CASE WHEN doc_id % 5 = 0 THEN ' <!-- stale=true -->' ELSE '' END AS line,
+  doc_id % 28 + 1 <= 18 AS stale FROM documents),
+q AS (SELECT *, '- task <!--om: kind=task last_seen=2020-01-01-->' || nl || '- odd <!--om: kind=snapshot last_seen=soon-->' || nl || nl || '## Stale Snapshots' || nl || '- z <!--om: kind=snapshot last_seen=2020-01-01-->' AS rest, '## Facts' || nl AS head FROM p),
+a AS (SELECT doc, 'stale-section' AS action, CASE WHEN stale THEN head || rest || nl || nl || '## Stale snapshots' || nl || nl || line ELSE head || line || nl || rest END AS t, stale FROM q
+  UNION ALL SELECT doc, 'drop', CASE WHEN stale THEN head || rest ELSE head || line || nl || rest END, stale FROM q
+  UNION ALL SELECT doc, 'annotate', head || line || CASE WHEN stale AND doc % 5 <> 0 THEN ' <!-- stale=true -->' ELSE '' END || nl || rest, stale FROM q)
+SELECT doc, action, md5(t || chr(10)) AS text, CAST(stale AND action = 'drop' AS BIGINT) AS pruned, CAST(stale AND action = 'annotate' AS BIGINT) AS annotated, CAST(stale AND action = 'stale-section' AS BIGINT) AS stale_sectioned FROM a""",
     "stamped_notes": """WITH s AS (SELECT doc_id AS doc, '*Last updated: u' || doc_id || '*' AS u, '*Last reflected: r' || doc_id || '*' AS r, chr(10) AS nl FROM documents)
 SELECT doc, CASE doc % 4 WHEN 0 THEN 'plain' || nl || 'text' WHEN 1 THEN '# T' || nl || u || nl || nl || r || nl || 'x'
   WHEN 2 THEN '# T' || nl || nl || u || nl || r || nl || 'x' ELSE '# T' || nl || nl || u || nl || r || nl || 'x' END AS text FROM s""",
