@@ -97,12 +97,15 @@ class StoredIndex:
         words = search_tokens(F.col("content"))
         rows = dealt.select("doc_id", F.sha2("content", 256).alias("sha"), "version", "segment")
         rows.write.mode("append").partitionBy("version", "segment").parquet(f"{self.path}/docs")
-        # One shuffle, of texts (their words as arrays take twice the room), that gives a segment to a task and so one file: both groupings below keep its partitions.
+        # One shuffle, of texts (their words as arrays take twice the room), that gives a segment to a task and so one file: the grouping below keeps its partitions.
         block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(self.blocks)).cast("int")
-        spread = dealt.select("segment", block.alias("block"), "doc_id", "content").repartition(len(numbers) or 1, "segment").withColumn("_t", words)
-        each = spread.select("segment", "block", "doc_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
-        counted = each.groupBy("segment", "block", "doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        made = counted.groupBy("segment", "block", "term").agg(
+        spread = dealt.select("segment", block.alias("block"), "doc_id", "content").repartition(len(numbers) or 1, "segment").withColumn("_t", F.array_sort(words))
+        # Words are counted in their document, by the places where a new one starts in order; so only distinct words become rows.
+        spread = spread.withColumn("_s", F.filter(F.transform("_t", lambda _, i: i), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))))
+        until = lambda j: F.coalesce(F.get("_s", j + 1), F.size("_t"))
+        terms = F.transform("_s", lambda s, j: F.struct(F.get("_t", s).alias("term"), (until(j) - s).cast("long").alias("tf")))
+        made = spread.select("segment", "block", "doc_id", F.size("_t").alias("doc_len"), F.inline(terms))
+        made = made.groupBy("segment", "block", "term").agg(
             F.count(F.lit(1)).alias("n"), F.sum("tf").alias("words"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "doc_len")).alias("entries")
         )
         made.withColumn("version", F.lit(version)).sortWithinPartitions("version", "segment", "term").write.mode("append").partitionBy("version", "segment").parquet(f"{self.path}/blocks")

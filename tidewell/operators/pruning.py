@@ -11,7 +11,7 @@ from tidewell.functions.text import BLANKS, is_stale, iso_moment, metadata
 STALE_SECTION = "Stale snapshots"
 STALE_MARK = "<!-- stale=true -->"
 ACTIONS = ("stale-section", "drop", "annotate")
-_BREAK = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_BREAK = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def marked(line: Column) -> Column:
