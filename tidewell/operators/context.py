@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import head_within, is_stale, last_reflected, last_updated, slug, strip, without_metadata
+from tidewell.functions.text import BLANKS, head_within, is_stale, last_reflected, last_updated, slug, strip, without_metadata
 from tidewell.operators import pruning
 from tidewell.operators.sections import sections
 
@@ -24,16 +24,24 @@ def _whole() -> Column:
     return strip(F.concat(F.lit("## "), F.col("heading"), F.lit("\n"), F.col("body")))
 
 
-def picked(found: DataFrame, headings: tuple[str, ...]) -> DataFrame:
-    """(doc, parts): the first section of each of the headings, in their order, as an array of texts."""
-    place = F.array_position(F.array(*[F.lit(h) for h in headings]), F.col("heading"))
-    rows = found.filter(F.col("heading").isin(*headings)).groupBy("doc", "heading").agg(F.min_by(F.struct(place.alias("at"), _whole().alias("text")), "ord").alias("x"))
-    return rows.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("parts"))
+def _first(value: str, heading: str) -> Column:
+    """Aggregate: the value in the first section of a heading."""
+    hit = F.col("heading") == heading
+    return F.min_by(F.when(hit, F.col(value)), F.when(hit, F.col("ord")))
 
 
-def key_bullets(found: DataFrame, heading: str = "Key Facts & Context", mark: str = "- \U0001f534") -> DataFrame:
-    """(doc, facts): the marked bullets of a section with what is indented below them, under their heading; no row without any."""
-    lines = F.split("body", "\n")
+def _bodies(found: DataFrame, headings: tuple[str, ...]) -> DataFrame:
+    """(doc, b0, b1, ...): per document the body of the first section of each heading, by one aggregation; other bodies stay where they are."""
+    rows = found.select("doc", "ord", "heading", F.when(F.col("heading").isin(*headings), F.col("body")).alias("body"))
+    return rows.groupBy("doc").agg(*[_first("body", h).alias(f"b{i}") for i, h in enumerate(headings)])
+
+
+def _wholes(headings: tuple[str, ...]) -> list[Column]:
+    return [strip(F.concat(F.lit(f"## {h}\n"), F.col(f"b{i}"))) for i, h in enumerate(headings)]
+
+
+def _marked_bullets(body: Column, heading: str, mark: str) -> Column:
+    """The marked bullets of a body with what is indented below them, under their heading; null without any."""
     # A fold over the section's lines: whether the last bullet at the margin is a marked one.
     inner = lambda x: x.rlike("^(  |\t)")
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
@@ -43,41 +51,36 @@ def key_bullets(found: DataFrame, heading: str = "Key Facts & Context", mark: st
         on = F.when(inner(x), s["on"]).otherwise(hit)
         return F.struct(on.alias("on"), F.when(hit | (inner(x) & s["on"]), F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
 
-    first = found.filter(F.col("heading") == heading).groupBy("doc").agg(F.min_by("body", "ord").alias("body"))
-    kept = first.select("doc", F.aggregate(lines, start, step, lambda s: s["out"]).alias("kept")).filter(F.size("kept") > 0)
-    return kept.select("doc", F.concat(F.lit(f"## {heading}\n"), F.array_join("kept", "\n")).alias("facts"))
+    shown = F.aggregate(F.split(body, "\n"), start, step, lambda s: F.when(F.size(s["out"]) > 0, F.array_join(s["out"], "\n")))
+    return F.concat(F.lit(f"## {heading}\n"), shown)
 
 
 def profiles(found: DataFrame) -> DataFrame:
     """(doc, text): the start-up profile of each note from its second-level sections."""
-    docs = found.select("doc").distinct()
-    met = docs.join(picked(found, PROFILE_HEADINGS), "doc", "left").join(key_bullets(found), "doc", "left")
-    parts = F.concat(F.array(F.lit(PROFILE_HEAD)), F.coalesce("parts", F.array().cast("array<string>")), F.array("facts"))
-    return met.select("doc", F.array_join(parts, "\n\n").alias("text"))
+    facts = "Key Facts & Context"
+    bodies = _bodies(found, (*PROFILE_HEADINGS, facts))
+    shown = _marked_bullets(F.col(f"b{len(PROFILE_HEADINGS)}"), facts, "- \U0001f534")
+    return bodies.select("doc", F.concat_ws("\n\n", F.lit(PROFILE_HEAD), *_wholes(PROFILE_HEADINGS), shown).alias("text"))
 
 
 def current_context(found: DataFrame) -> DataFrame:
-    """(doc, snapshot): the current-context part of the latest dated section, under a heading of its own; the first of equal dates."""
-    part = F.regexp_extract("body", r"(?s)(?:^|\n)### Current Context[ \t]*\n(.*?)(?=\n### |\z)", 1)
-    row = F.struct("heading", part.alias("part"))
-    last = found.filter("date IS NOT NULL").groupBy("doc").agg(F.max_by(row, F.struct("date", -F.col("ord"))).alias("x"))
-    text = F.concat(F.lit("## Current Session Snapshot\n\n### "), "x.heading", F.lit("\n\n"), strip(F.col("x.part")))
-    return last.filter(strip(F.col("x.part")) != "").select("doc", text.alias("snapshot"))
+    """(doc, snapshot): the current-context part of the latest dated section, under a heading of its own; the first of equal dates, null without any."""
+    dated = F.col("date").isNotNull()
+    rows = found.select("doc", "ord", "date", F.when(dated, F.struct("heading", "body")).alias("_row"))
+    last = rows.groupBy("doc").agg(F.max_by("_row", F.when(dated, F.struct("date", -F.col("ord")))).alias("x"))
+    part = F.regexp_extract("x.body", r"(?s)(?:^|\n)### Current Context[ \t]*\n(.*?)(?=\n### |\z)", 1)
+    text = F.nullif(strip(part), F.lit(""))
+    return last.select("doc", F.concat(F.lit("## Current Session Snapshot\n\n### "), "x.heading", F.lit("\n\n"), text).alias("snapshot"))
 
 
 def actives(reflections: DataFrame, observations: DataFrame) -> DataFrame:
     """(doc, text): the active context of each note from its sections and those of its observations."""
-    docs = reflections.select("doc").union(observations.select("doc")).distinct()
-    met = docs.join(picked(reflections, ACTIVE_HEADINGS), "doc", "left").join(current_context(observations), "doc", "left")
-    parts = F.concat(F.array(F.lit(ACTIVE_HEAD)), F.coalesce("parts", F.array().cast("array<string>")), F.array("snapshot"))
-    return met.select("doc", F.array_join(parts, "\n\n").alias("text"))
+    met = _bodies(reflections, ACTIVE_HEADINGS).join(current_context(observations), "doc", "full_outer")
+    return met.select("doc", F.concat_ws("\n\n", F.lit(ACTIVE_HEAD), *_wholes(ACTIVE_HEADINGS), "snapshot").alias("text"))
 
 
-def subsections(found: DataFrame) -> DataFrame:
-    """(doc, ord, sub, name, text): the third-level parts of each section; sections without any give no row."""
-    parts = F.filter(F.split("body", r"(?m)(?=^### )"), lambda x: F.startswith(x, F.lit("### ")))
-    each = found.select("doc", "ord", "heading", F.posexplode(parts).alias("sub", "text"))
-    return each.select("doc", "ord", "heading", "sub", strip(F.regexp_extract("text", r"\A### ([^\n]*)", 1)).alias("name"), "text")
+def _third_level() -> Column:
+    return F.filter(F.split("body", r"(?m)(?=^### )"), lambda x: F.startswith(x, F.lit("### ")))
 
 
 def startup_chunks(profile: DataFrame, active: DataFrame) -> DataFrame:
@@ -88,16 +91,26 @@ def startup_chunks(profile: DataFrame, active: DataFrame) -> DataFrame:
     sides = []
     for source, docs in (("profile", profile), ("active", active)):
         found = sections(docs).filter("heading IS NOT NULL")
-        whole = found.select("doc", "ord", "heading", _whole().alias("body"), F.concat(F.lit(f"startup:{source}:"), "slug").alias("handle"))
+        items = F.array(_whole())
         if source == "active":
-            subs = subsections(found)
-            title = F.concat_ws(" / ", "heading", "name")
-            body = strip(F.concat(F.lit("## "), title, F.regexp_replace("text", r"\A### [^\n]*", "")))
-            parts = subs.select("doc", "ord", title.alias("heading"), body.alias("body"), F.concat_ws(":", F.lit("startup:active"), slug(F.col("heading")), slug(F.col("name"))).alias("handle"))
-            whole = whole.join(subs.select("doc", "ord").distinct(), ["doc", "ord"], "left_anti").unionByName(parts)
-        sides.append(whole.select("doc", F.lit(source).alias("source"), "heading", strip(without_metadata(F.col("body"))).alias("body"), "handle"))
-    below = F.exists(F.slice(F.split("body", "\n"), F.lit(2), F.size(F.split("body", "\n"))), lambda x: strip(x).rlike("^(?!<!--)") & ~strip(x).isin("", "-"))
-    return sides[0].unionByName(sides[1]).filter(below)
+            parts = _third_level()
+            items = F.when(F.size(parts) > 0, parts).otherwise(items)
+        # A third-level part starts with ``###``, a whole section with ``##``; the section's text goes no further than its own row.
+        each = found.select("doc", "heading", "slug", F.explode(items).alias("text"))
+        part = F.startswith(F.col("text"), F.lit("### "))
+        name = strip(F.regexp_extract("text", r"\A### ([^\n]*)", 1))
+        title = F.when(part, F.concat_ws(" / ", "heading", name)).otherwise(F.col("heading"))
+        body = F.when(part, F.concat(F.lit("## "), title, F.regexp_replace("text", r"\A### [^\n]*", ""))).otherwise(F.col("text"))
+        handle = F.when(part, F.concat_ws(":", F.lit("startup:active"), "slug", slug(name))).otherwise(F.concat(F.lit(f"startup:{source}:"), "slug"))
+        # Kept by a generator of none or one: the body is worked out once, not once more by a filter pushed below it.
+        kept = F.explode(F.filter(F.array(strip(without_metadata(strip(body)))), _shows_below))
+        sides.append(each.select("doc", F.lit(source).alias("source"), title.alias("heading"), kept.alias("body"), handle.alias("handle")))
+    return sides[0].unionByName(sides[1])
+
+
+def _shows_below(body: Column) -> Column:
+    """Whether a line below the first is neither blank, nor a lone dash, nor a comment."""
+    return F.size(F.filter(F.split(body, "\n"), lambda x, i: (i > 0) & x.rlike(f"(?U)\\A{BLANKS}*+(?!<!--|-?{BLANKS}*\\z)"))) > 0
 
 
 def expanded(chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -106,10 +119,9 @@ def expanded(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(first, ["doc", "handle"], "left").withColumn("known", F.col("body").isNotNull())
 
 
-def quality_report(chunks: DataFrame, taken: DataFrame, repeats: DataFrame, budget: int) -> DataFrame:
-    """Per doc: characters used, share of the budget, chunks that fit or not, and repeated bullets (doc, n)."""
-    met = chunks.join(taken, ["doc", "handle"])
-    sums = met.groupBy("doc").agg(
+def quality_report(packed: DataFrame, repeats: DataFrame, budget: int) -> DataFrame:
+    """Per doc of packed chunks: characters used, share of the budget, chunks that fit or not, and repeated bullets (doc, n)."""
+    sums = packed.groupBy("doc").agg(
         F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))), F.lit(0)).cast("long").alias("used"), F.count_if("taken").alias("included"), F.count_if(~F.col("taken")).alias("overflow")
     )
     again = repeats.groupBy("doc").agg(F.sum("n").cast("long").alias("duplicates"))

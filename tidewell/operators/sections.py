@@ -17,20 +17,23 @@ def lines(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
 def sections(docs: DataFrame, level: int = 2, doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, ord, heading, date, slug, handle, first_line, body): one row per heading of ``level``; ord 0 is what stands before the first.
 
-    The nth section of one slug in a document has the handle ``slug-n`` from the second on.
+    The nth section of one slug in a document has the handle ``slug-n`` from the second on. A text is cut within its row; only ``handle`` and
+    ``first_line`` need windows, which are not planned where nobody reads them.
     """
-    mark = f"^#{{{level}}}\\s+(\\S.*?)\\s*$"
-    rows = lines(docs, doc, text).withColumn("h", F.when(F.col("line").rlike(mark), F.regexp_extract("line", mark, 1)))
-    so_far = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("ord", F.count("h").over(so_far))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    grouped = rows.groupBy("doc", "ord").agg(
-        F.max("h").alias("heading"), F.min("line_no").alias("first_line"), ordered.alias("_lines"), (F.max("h").isNotNull()).alias("_first")
-    )
-    kept = F.when(F.col("_first"), F.slice("_lines", F.lit(2), F.size("_lines"))).otherwise(F.col("_lines"))
-    out = grouped.withColumn("body", F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    blank = r"[ \t\x0B\f]"
+    head = rf"#{{{level}}}{blank}+(\S.*?){blank}*[\x85\u2028\u2029]?(?=\n)"
+    # A line end before and after the text: every piece ends with one, and the first piece is never a section.
+    framed = F.concat(F.lit("\n"), F.regexp_replace(F.col(text), "\r\n?", "\n"), F.lit("\n"))
+    each = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(framed, rf"(?<=\n)(?={head})")).alias("_at", "_piece"))
+    ends = F.length("_piece") - F.length(F.replace("_piece", F.lit("\n"), F.lit("")))
+    before = F.sum(ends).over(Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    rows = each.withColumn("ord", F.col("_at").cast("long"))
+    rows = rows.withColumn("heading", F.when(F.col("ord") > 0, F.regexp_extract("_piece", rf"\A{head}", 1)))
+    rows = rows.withColumn("first_line", F.coalesce(before, F.lit(1)).cast("int")).filter("ord > 0 OR _piece <> '\n'")
+    rest = F.substr(F.col("_piece"), F.locate("\n", F.col("_piece")) + 1)
+    rows = rows.withColumn("body", F.left(rest, F.greatest(F.length(rest) - 1, F.lit(0))))
     date = F.when(F.col("heading").rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.col("heading").try_cast("date"))
-    out = out.withColumn("date", date).withColumn("slug", F.when(F.col("heading").isNotNull(), slug(F.col("heading"))))
+    out = rows.withColumn("date", date).withColumn("slug", F.when(F.col("heading").isNotNull(), slug(F.col("heading"))))
     nth = F.row_number().over(Window.partitionBy("doc", "slug").orderBy("ord"))
     handle = F.when(F.col("slug").isNull(), None).when(nth == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", nth.cast("string")))
     return out.withColumn("handle", handle).select("doc", "ord", "heading", "date", "slug", "handle", "first_line", "body")

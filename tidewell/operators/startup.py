@@ -70,14 +70,14 @@ def first_sightings(bullets: DataFrame) -> DataFrame:
     return rows.filter("_key IS NULL").unionByName(kept).drop("_leaf", "_key")
 
 
-def pack(chunks: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
-    """(payload, handle, taken): in order (-priority, source, heading, handle), each chunk that still fits the budget of its payload.
+def packed(chunks: DataFrame, budget: int, by: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(payload, source, heading, handle, size, kept columns, taken): the chunks, each once and with whether it is taken.
 
-    A chunk that does not fit uses nothing, so this is a fold over each payload's chunks. A payload
-    is one text for one reader, so its list of chunks is short.
+    In order (-priority, source, heading, handle), each chunk that still fits the budget of its payload is taken. A chunk that does not fit uses
+    nothing, so this is a fold over each payload's chunks. A payload is one text for one reader, so its list of chunks is short.
     """
     by = by or []
-    item = F.struct((-F.col("priority")).alias("p"), "source", "heading", "handle", "size")
+    item = F.struct((-F.col("priority")).alias("p"), "source", "heading", "handle", "size", *keep)
     listed = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
 
@@ -88,7 +88,13 @@ def pack(chunks: DataFrame, budget: int, by: list[str] | None = None) -> DataFra
 
     flags = listed.select(*by, "items", F.aggregate("items", start, step, lambda s: s["out"]).alias("fits"))
     each = flags.select(*by, F.explode(F.arrays_zip("items", "fits")).alias("r"))
-    return each.select(*by, F.col("r.items.handle").alias("handle"), F.col("r.fits").alias("taken"))
+    columns = [F.col(f"r.items.{c}").alias(c) for c in ("source", "heading", "handle", "size", *keep)]
+    return each.select(*by, *columns, F.col("r.fits").alias("taken"))
+
+
+def pack(chunks: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
+    """(payload, handle, taken) of ``packed``."""
+    return packed(chunks, budget, by).select(*(by or []), "handle", "taken")
 
 
 def display_order(source: Column, heading: Column, handle: Column) -> Column:
@@ -110,19 +116,22 @@ def display_order(source: Column, heading: Column, handle: Column) -> Column:
     )
 
 
-def payload_text(chunks: DataFrame, taken: DataFrame, by: list[str]) -> DataFrame:
-    """Per payload: the text of the taken chunks in display order, and the handles that did not fit, sorted."""
-    met = chunks.join(taken, [*by, "handle"])
+def payload_text(packed: DataFrame, by: list[str]) -> DataFrame:
+    """Per payload of packed chunks with bodies: the text of the taken ones in display order, and the handles that did not fit, sorted."""
     shown = F.struct(display_order(F.col("source"), F.col("heading"), F.col("handle")).alias("at"), F.col("body").alias("body"))
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("taken"), shown))), lambda x: x["body"])
     left = F.array_sort(F.collect_list(F.when(~F.col("taken"), F.col("handle"))))
-    return met.groupBy(*by).agg(F.array_join(parts, "\n\n").alias("text"), F.array_join(left, ",").alias("overflow"))
+    return packed.groupBy(*by).agg(F.array_join(parts, "\n\n").alias("text"), F.array_join(left, ",").alias("overflow"))
+
+
+def keyed_bullets(bullets: DataFrame) -> DataFrame:
+    """Adds ``key`` to bullets and drops those with an empty one; a generator works each key out once, where a filter pushed below it would again."""
+    return bullets.select("*", F.explode(F.filter(F.array(bullet_key(F.col("line"))), lambda k: k != "")).alias("key"))
 
 
 def repeated_bullets(bullets: DataFrame) -> DataFrame:
     """(key, n): bullets shown more than once, and how often they would be dropped."""
-    keyed = bullets.withColumn("key", F.nullif(bullet_key(F.col("line")), F.lit(""))).filter("key IS NOT NULL")
-    return keyed.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
+    return keyed_bullets(bullets).groupBy("key").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
 
 
 def route_terms(text: Column) -> Column:

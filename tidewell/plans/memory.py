@@ -72,8 +72,8 @@ def _handles(spark, sf_dir):
 
 
 def _payload(spark, sf_dir):
-    c = _sized(spark, sf_dir)
-    return startup.payload_text(c, startup.pack(c, SHORT, ["doc"]), ["doc"]).select("doc", F.md5("text").alias("text_md5"), "overflow")
+    packed = startup.packed(_sized(spark, sf_dir), SHORT, ["doc"], ("body",))
+    return startup.payload_text(packed, ["doc"]).select("doc", F.md5("text").alias("text_md5"), "overflow")
 
 
 def _bullet_rows(spark, sf_dir):
@@ -84,13 +84,12 @@ def _bullet_rows(spark, sf_dir):
 
 
 def _repeats(spark, sf_dir):
-    keyed = _bullet_rows(spark, sf_dir).withColumn("key", fx.bullet_key(F.col("line")))
+    keyed = startup.keyed_bullets(_bullet_rows(spark, sf_dir)).select("doc", "key")
     return keyed.groupBy("doc", "key").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0").select("doc", "n")
 
 
 def _quality(spark, sf_dir):
-    c = _sized(spark, sf_dir)
-    return context.quality_report(c, startup.pack(c, SHORT, ["doc"]), _repeats(spark, sf_dir), SHORT)
+    return context.quality_report(startup.packed(_sized(spark, sf_dir), SHORT, ["doc"]), _repeats(spark, sf_dir), SHORT)
 
 
 def _latest(spark, sf_dir):
