@@ -66,3 +66,10 @@ def test_context_of_a_route(spark):
     assert contexts.first().text == (
         "## Core Identity\n### hermes inside the core\n- x\n\n## Preferences & Opinions\n- y\n\n## Archive\n### widget.factory\n- old\n\n## Archive\n\n### widget.factory\n- old"
     )
+
+
+def test_a_text_is_read_once_and_not_once_a_name(spark):
+    chunks = spark.createDataFrame([("n", 0, 0, "a working text")], "doc string, chunk_id int, fold int, text string")
+    plan = routing.routed(chunks, spark.createDataFrame([("n", NOTE)], "doc string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode(_tokens")]
+    assert "in progress" in plan and "in progress" not in above  # the look for current work stands below the rows of names

@@ -52,7 +52,9 @@ def routed(chunks: DataFrame, notes: DataFrame) -> DataFrame:
     )
     names = parts.select("doc", F.explode("names").alias("_token"), place.alias("_hit"))
     current = reduce(or_, [F.contains(F.lower("text"), F.lit(w)) for w in CURRENT_WORK])
-    words = chunks.select("doc", "chunk_id", "fold", F.coalesce(current, F.lit(False)).alias("_current"), F.explode_outer(name_tokens(F.col("text"))).alias("_token"))
+    # Names and the look at the text are worked out before the names become rows, once a chunk.
+    read = chunks.select("doc", "chunk_id", "fold", F.coalesce(current, F.lit(False)).alias("_current"), F.explode_outer(F.array(name_tokens(F.col("text")))).alias("_tokens"))
+    words = read.select("doc", "chunk_id", "fold", "_current", F.explode_outer("_tokens").alias("_token"))
     met = words.join(names, ["doc", "_token"], "left").groupBy("doc", "chunk_id", "fold", "_current")
     met = met.agg(F.collect_set("_hit").alias("_hits"), F.array_sort(F.collect_set(F.when(F.col("_hit").isNull(), F.col("_token")))).alias("unmatched"))
     empty = F.array().cast(met.schema["_hits"].dataType)
