@@ -63,3 +63,12 @@ def test_lines_after_the_first_compete(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["profile_all_lines"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("the undoing", 1, 2, 12), ("the red 🔴", 2, 3, 5), ("plain", 1, 1, 0), ("", 2, 2, 0)]
+
+
+def test_answers_of_jobs_with_long_ids_are_their_own(spark, tmp_path):
+    """An id with the digits of a status code in it stood for another job's once ids passed four million."""
+    rows = [(2_000_001, "2024-01-01 00:00:00"), (4_040_001, "2024-01-01 00:00:00")]
+    spark.createDataFrame(rows, "event_id long, ts string").selectExpr("event_id", "timestamp(ts) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert plain(registry.QUERIES["job_outcomes"](spark, str(tmp_path)).toPandas()) == plain(con.execute(registry.ORACLE_SQL["job_outcomes"]).df())

@@ -148,11 +148,12 @@ def _jobs(spark, sf_dir):
 
 
 def _outputs(spark, sf_dir):
-    """Lines of an output file: two answers for most jobs, none for some, one line broken."""
+    """Lines of an output file: two answers for most jobs, the later below all first ones, none for some, one line broken."""
     n = F.col("event_id")
-    line = F.to_json(F.struct(F.concat(F.lit("x"), n.cast("string")).alias("custom_id"), F.struct(F.when(n % 10 == 3, 500).otherwise(200).alias("status_code")).alias("response")))
-    e = table(spark, sf_dir, "events").filter(n % 8 > 0).select(n.alias("line_no"), line.alias("line"))
-    return e.unionByName(e.select((F.col("line_no") + 1_000_000).alias("line_no"), F.replace("line", F.lit("200"), F.lit("404")).alias("line"))).unionByName(spark.createDataFrame([(0, "{oops")], "line_no long, line string"))
+    line = lambda code: F.to_json(F.struct(F.concat(F.lit("x"), n.cast("string")).alias("custom_id"), F.struct(F.when(n % 10 == 3, 500).otherwise(code).alias("status_code")).alias("response")))
+    e = table(spark, sf_dir, "events").filter(n % 8 > 0)
+    first, later = e.select(n.alias("line_no"), line(200).alias("line")), e.select((n + 1_000_000_000_000).alias("line_no"), line(404).alias("line"))
+    return first.unionByName(later).unionByName(spark.createDataFrame([(0, "{oops")], "line_no long, line string"))
 
 
 def _outcomes(spark, sf_dir):
