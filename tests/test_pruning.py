@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import iso_moment
 from tidewell.operators import pruning
+from tidewell.plans import registry
 
 OLD, NEW = "<!--om: kind=snapshot last_seen=2026-01-01T00:00:00Z -->", "<!--om: kind=snapshot last_seen=2026-05-30 -->"
 NOTE = f"# N\n- top {OLD}\n\n## A {OLD}\n- old {OLD}  \n- new {NEW}\n- task <!--om: kind=task last_seen=2020-01-01-->\n- none <!--om: kind=snapshot-->\n\n## STALE snapshots\n- kept {OLD}\n\n\n"
@@ -38,3 +39,8 @@ def test_moments(spark):
     texts = ["2026-01-02", "2026-01-02T03:04", "2026-01-02 03:04:05.5", "2026-01-02T03:04:05+02:00", "2026-01-02T03:04:05-0130", "2026-01-02T03:04:05Z", "soon", "2026-13-01", "", None, "2026-01-02x"]
     got = [None if r.t is None else datetime.fromtimestamp(r.t, timezone.utc).strftime("%d %H:%M:%S.%f")[:13] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(iso_moment(F.col("x")).cast("double").alias("t")).collect()]
     assert got == ["02 00:00:00.0", "02 03:04:00.0", "02 03:04:05.5", "02 01:04:05.0", "02 04:34:05.0", "02 03:04:05.0", None, None, None, None, None]
+
+
+def test_all_ways_read_a_note_once(spark):
+    plan = registry.QUERIES["pruned_notes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1

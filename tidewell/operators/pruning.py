@@ -24,18 +24,19 @@ def _lines(text: Column, now: Column, ttl_days: int) -> Column:
     heading = r"#{2,6}[^\S\n]+[^\n]"
     pieces = F.split(F.regexp_replace(text, _BREAK, "\n"), rf"(?md)(?=^{heading})")
 
-    def of(piece: Column) -> Column:
-        name = F.lower(F.btrim(F.regexp_extract(piece, r"\A#{2,6}[^\S\n]+([^\n]+)", 1), F.lit(" \t")))
+    # Each step binds what the next ones name several times: a section's kind once a section, a comment once a line that has one.
+    name = lambda p: F.lower(F.btrim(F.regexp_extract(p, r"\A#{2,6}[^\S\n]+([^\n]+)", 1), F.lit(" \t")))
+    read = lambda line: F.struct(line.alias("line"), F.when(F.contains(line, F.lit("<!--om:")), metadata(line)).alias("fields"))
+    field = lambda x, k: F.try_element_at(x["fields"], F.lit(k))
+    seen = lambda x: F.struct(x["line"].alias("line"), F.when(field(x, "kind") == "snapshot", field(x, "last_seen")).alias("seen"))
 
-        def one(line: Column) -> Column:
-            fields = metadata(line)
-            old = is_stale(iso_moment(F.try_element_at(fields, F.lit("last_seen"))), now, ttl_days)
-            snapshot = F.coalesce(F.try_element_at(fields, F.lit("kind")) == "snapshot", F.lit(False))
-            return F.struct(line.alias("line"), (snapshot & old & (name != STALE_SECTION.lower()) & ~line.rlike(rf"\A{heading}")).alias("stale"))
+    def lines(piece: Column, spared: Column) -> Column:
+        old = lambda x: x["seen"].isNotNull() & ~spared & is_stale(iso_moment(x["seen"]), now, ttl_days) & ~x["line"].rlike(rf"\A{heading}")
+        each = F.transform(F.transform(F.split(F.regexp_replace(piece, r"\n\z", ""), "\n"), read), seen)
+        return F.transform(each, lambda x: F.struct(x["line"].alias("line"), old(x).alias("stale")))
 
-        return F.transform(F.split(F.regexp_replace(piece, r"\n\z", ""), "\n"), one)
-
-    return F.flatten(F.transform(pieces, of))
+    sections = F.transform(pieces, lambda p: F.struct(p.alias("piece"), (name(p) == STALE_SECTION.lower()).alias("spared")))
+    return F.flatten(F.transform(sections, lambda x: lines(x["piece"], x["spared"])))
 
 
 def pruned_notes(notes: DataFrame, now: Column, ttl_days: int = 14, action: str = "stale-section", doc: str = "doc", text: str = "text") -> DataFrame:
@@ -46,17 +47,19 @@ def pruned_notes(notes: DataFrame, now: Column, ttl_days: int = 14, action: str
     """
     if action not in ACTIONS:
         raise ValueError(action)
+    return pruned_each_way(notes, now, ttl_days, (action,), doc, text).drop("action")
+
+
+def pruned_each_way(notes: DataFrame, now: Column, ttl_days: int = 14, actions: tuple[str, ...] = ACTIONS, doc: str = "doc", text: str = "text") -> DataFrame:
+    """``pruned_notes`` for each of the actions, with the ``action``; a note is read once for all of them."""
     rows = notes.select(F.col(doc).alias("doc"), _lines(F.coalesce(F.col(text), F.lit("")), now, ttl_days).alias("_lines"))
-    rows = rows.withColumn("_stale", F.filter("_lines", lambda x: x["stale"]))
     joined = lambda lines: F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    kept = joined(F.filter("_lines", lambda x: ~x["stale"]))
-    if action == "annotate":
-        kept = F.array_join(F.transform("_lines", lambda x: F.when(x["stale"], marked(x["line"])).otherwise(x["line"])), "\n")
-    if action == "stale-section":
-        above = F.regexp_replace(kept, r"\n+\z", "")
-        moved = F.concat(above, F.when(above == "", "\n").otherwise("\n\n"), F.lit(f"## {STALE_SECTION}\n\n"), joined(F.col("_stale")))
-        kept = F.when(F.size("_stale") > 0, moved).otherwise(kept)
-    whole = F.concat(F.regexp_replace(kept, rf"(?U){BLANKS}+\z", ""), F.lit("\n"))
+    rows = rows.select("doc", "_lines", F.filter("_lines", lambda x: x["stale"]).alias("_stale"), joined(F.filter("_lines", lambda x: ~x["stale"])).alias("_kept"))
+    rows = rows.withColumn("_above", F.regexp_replace("_kept", r"\n+\z", ""))
+    noted = F.array_join(F.transform("_lines", lambda x: F.when(x["stale"], marked(x["line"])).otherwise(x["line"])), "\n")
+    moved = F.concat("_above", F.when(F.col("_above") == "", "\n").otherwise("\n\n"), F.lit(f"## {STALE_SECTION}\n\n"), joined(F.col("_stale")))
+    shown = {"drop": F.col("_kept"), "annotate": noted, "stale-section": F.when(F.size("_stale") > 0, moved).otherwise(F.col("_kept"))}
+    whole = lambda a: F.concat(F.regexp_replace(shown[a], rf"(?U){BLANKS}+\z", ""), F.lit("\n")).alias("text")
     n = F.size("_stale").cast("long")
-    counts = [F.when(F.lit(action == a), n).otherwise(F.lit(0)).cast("long").alias(c) for a, c in (("drop", "pruned"), ("annotate", "annotated"), ("stale-section", "stale_sectioned"))]
-    return rows.select("doc", whole.alias("text"), *counts)
+    counts = lambda action: [(n if action == a else F.lit(0).cast("long")).alias(c) for a, c in (("drop", "pruned"), ("annotate", "annotated"), ("stale-section", "stale_sectioned"))]
+    return rows.select("doc", F.inline(F.array(*[F.struct(whole(a), *counts(a), F.lit(a).alias("action")) for a in actions])))

@@ -136,8 +136,8 @@ def _pruned_notes(spark, sf_dir):
         F.lit("\n- task <!--om: kind=task last_seen=2020-01-01-->\n- odd <!--om: kind=snapshot last_seen=soon-->\n\n## Stale Snapshots\n- z <!--om: kind=snapshot last_seen=2020-01-01-->\n\n"),
     )
     notes = docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), text.alias("text"))
-    each = [pruning.pruned_notes(notes, F.lit("2026-06-01 09:00:00+00:00").cast("timestamp"), 14, a).withColumn("action", F.lit(a)) for a in pruning.ACTIONS]
-    return each[0].unionByName(each[1]).unionByName(each[2]).withColumn("text", F.md5("text"))
+    found = pruning.pruned_each_way(notes, F.lit("2026-06-01 09:00:00+00:00").cast("timestamp"), 14)
+    return found.withColumn("text", F.md5("text"))
 
 
 def _stamps(spark, sf_dir):
