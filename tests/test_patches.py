@@ -105,3 +105,9 @@ def test_an_empty_note_takes_an_addition(spark):
     replies = spark.createDataFrame([(1, block("ref:new", "## New\n- n", "NEW_AFTER:")), (2, CORE)], "doc long, reply string")
     got = {r.doc: (r.text, r.error) for r in patches.applied(docs, replies).collect()}
     assert got == {1: ("## New\n- n\n\n", None), 2: ("", "unknown handle")}
+
+
+def test_parts_of_a_note_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, NOTE)], "doc long, text string")
+    plan = patches.note_parts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -25,9 +25,8 @@ def _heading(raw: Column, level: int) -> Column:
     return F.btrim(F.regexp_extract(raw, rf"\A#{{{level}}} ([^\n]*)", 1), F.lit(" \t\r\x0b\x0c"))
 
 
-def _numbered(base: Column, rows: Window) -> Column:
-    """``base``, with -2, -3, ... from its second row in the window on."""
-    nth = F.row_number().over(rows)
+def _numbered(base: Column, nth: Column) -> Column:
+    """``base``, with -2, -3, ... from its second one on."""
     return F.when(nth == 1, base).otherwise(F.concat_ws("-", base, nth.cast("string")))
 
 
@@ -37,18 +36,23 @@ def note_parts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFra
     Ord 0 is what stands before the first section; sub 0 is a section up to its first subsection. ``section`` is the section's handle
     (null for ord 0), ``handle`` the part's own, ``last`` whether the part ends its section. A null text is an empty one.
     """
-    cut = F.split(F.coalesce(F.col(text), F.lit("")), r"(?md)(?=^## [^#\n])")
-    first = F.when(F.get(cut, 0).rlike(r"\A## [^#\n]"), 1).otherwise(0)
-    each = docs.select(F.col(doc).alias("doc"), first.alias("_first"), F.posexplode(cut).alias("_at", "_raw"))
-    each = each.select("doc", (F.col("_at") + F.col("_first")).alias("ord"), "_raw")
-    named = each.withColumn("_base", F.when(F.col("ord") > 0, slug(_heading(F.col("_raw"), 2))))
-    named = named.withColumn("slug", F.when(F.col("ord") > 0, _numbered(F.col("_base"), Window.partitionBy("doc", "_base").orderBy("ord"))))
+    note, opening = F.coalesce(F.col(text), F.lit("")), r"\A## [^#\n]"
+    # A null in front of the pieces of a note that starts with a section: they then number themselves, and no row repeats the note.
+    none = F.array().cast("array<string>")
+    front = F.when(note.rlike(opening), F.array(F.lit(None).cast("string"))).otherwise(none)
+    each = docs.select(F.col(doc).alias("doc"), F.posexplode(F.concat(front, F.split(note, r"(?md)(?=^## [^#\n])"))).alias("ord", "_raw")).filter("_raw IS NOT NULL")
     inner = F.when(F.col("ord") > 0, F.split("_raw", r"(?md)(?=^### [^#\n])")).otherwise(F.array("_raw"))
-    parts = named.select("doc", "ord", "slug", F.size(inner).alias("_n"), F.posexplode(inner).alias("sub", "raw"))
-    parts = parts.withColumn("_base", F.when(F.col("sub") > 0, slug(_heading(F.col("raw"), 3))))
-    sub_slug = F.when(F.col("sub") > 0, _numbered(F.col("_base"), Window.partitionBy("doc", "ord", "_base").orderBy("sub")))
+    base = F.when(F.col("ord") > 0, slug(_heading(F.col("_raw"), 2)))
+    cut = each.select("doc", "ord", base.alias("_base"), inner.alias("_inner"))
+    cut = cut.select("doc", "ord", "_base", F.size("_inner").alias("_n"), F.posexplode("_inner").alias("sub", "raw"))
+    cut = cut.withColumn("_sub_base", F.when(F.col("sub") > 0, slug(_heading(F.col("raw"), 3))))
+    # One shuffle of the parts: by note, which serves every window here and whatever goes on by note.
+    parts = cut.repartition("doc")
+    nth = F.dense_rank().over(Window.partitionBy("doc", "_base").orderBy("ord"))
+    parts = parts.withColumn("slug", F.when(F.col("ord") > 0, _numbered(F.col("_base"), nth)))
+    nth_sub = F.row_number().over(Window.partitionBy("doc", "ord", "_sub_base").orderBy("sub"))
     section = F.concat(F.lit("ref:"), "slug")
-    parts = parts.withColumn("_sub_slug", sub_slug)
+    parts = parts.withColumn("_sub_slug", F.when(F.col("sub") > 0, _numbered(F.col("_sub_base"), nth_sub)))
     return parts.select(
         "doc", "ord", "sub", "raw", "slug", section.alias("section"), F.when(F.col("sub") == 0, section).otherwise(F.concat(section, F.lit(":"), "_sub_slug")).alias("handle"),
         (F.col("sub") == F.col("_n") - 1).alias("last"),
@@ -155,8 +159,10 @@ def applied(docs: DataFrame, replies: DataFrame, offered: DataFrame | None = Non
     good = patches.join(faults.filter("error IS NULL"), "doc", "left_semi").withColumn("_body", F.rtrim(F.col("markdown"), F.lit("\n")))
     adds = good.filter("new_after IS NOT NULL")
     changes = good.filter("new_after IS NULL").select("doc", "handle", F.col("_body").alias("_new"))
-    whole = changes.select("doc", F.col("handle").alias("section"), F.col("_new").alias("_whole"))
-    now = parts.join(changes, ["doc", "handle"], "left").join(whole, ["doc", "section"], "left")
+    # A reply's changes as one map by handle, each once in a good reply: parts meet them by note, where they are.
+    by_handle = changes.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("handle", "_new"))).alias("_changes"))
+    change = lambda c: F.try_element_at("_changes", F.col(c))
+    now = parts.join(by_handle, "doc", "left").withColumns({"_new": change("handle"), "_whole": change("section")})
     text = (
         F.when(F.col("_whole").isNotNull(), F.when(F.col("sub") == 0, F.concat("_whole", F.lit("\n\n"))))
         .when(F.col("_new").isNotNull(), F.concat("_new", F.when(F.col("last"), "\n").otherwise("\n\n")))
@@ -166,7 +172,7 @@ def applied(docs: DataFrame, replies: DataFrame, offered: DataFrame | None = Non
     place = parts.filter("sub = 0 AND ord > 0").select("doc", F.col("section").alias("new_after"), "ord")
     added = adds.select("doc", "at", "new_after", F.concat("_body", F.lit("\n\n")).alias("text")).join(place, ["doc", "new_after"], "left")
     added = added.select("doc", F.coalesce("ord", F.lit((1 << 31) - 1)).alias("ord"), F.lit(1).alias("kind"), "at", "text")
-    every = now.select("doc", "ord", "kind", "at", "text").unionByName(added)
+    every = now.select("doc", "ord", "kind", "at", "text").unionByName(added.repartition("doc"))
     # An added section wants a blank line before it: the part that it follows ends in one.
     follows = F.lead("kind").over(Window.partitionBy("doc").orderBy("ord", "kind", "at")) == 1
     spaced = F.when(follows & (F.col("text") != ""), F.concat(F.rtrim(F.col("text"), F.lit("\n")), F.lit("\n\n"))).otherwise(F.col("text"))
