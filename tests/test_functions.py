@@ -119,3 +119,15 @@ def test_checkpoints_due(spark):
     df = spark.createDataFrame(rows, "path string, message_count int, seen_count int, forced boolean, last_observed string").withColumn("last_observed", F.col("last_observed").cast("timestamp"))
     due = messages.checkpoint_due(df, F.lit("2026-01-01 00:05:00").cast("timestamp"), 600)
     assert {r.path: r.due for r in due.collect()} == {"a": False, "b": False, "c": True, "d": True}
+
+
+def test_a_search_shuffles_asked_words_and_reads_the_texts_of_hits_only(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "the beta gamma"), (3, "delta"), (4, None)], "doc_id long, content string")
+    words = spark.createDataFrame([("beta",), ("beta",), ("none",)], "term string")
+    assert sorted(tuple(r) for r in search.postings(docs, only=words).collect()) == [(1, 3, "beta", 2), (2, 2, "beta", 1)]
+    hits = spark.createDataFrame([(1, 1, 3), (1, 2, 9)], "query_id int, rank int, doc_id long")
+    content = F.when(F.col("doc_id") == 3, F.col("content")).otherwise(F.raise_error(F.lit("read")).cast("string"))
+    got = search.hit_payload(hits, docs.withColumn("content", content)).orderBy("rank").collect()
+    assert [(r.doc_id, r.content) for r in got] == [(3, "delta"), (9, None)]
+    scored = spark.createDataFrame([(1, 5, 0.5, 1.0), (1, 6, -1.0, 9.0), (2, 7, 0.0, 2.0), (2, 8, -3.0, 2.0), (2, 9, 0.0, 3.0)], "query_id int, doc_id long, score double, overlap double")
+    assert sorted(tuple(r) for r in search.ranked(scored, 2).collect()) == [(1, 1, 5, 0.5), (2, 1, 9, 3.0), (2, 2, 7, 2.0)]

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import search_tokens, snippet, strip
+from tidewell.sources.sinks import written
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "content") -> DataFrame:
-    """(doc_id, term, tf, doc_len): counted before any shuffle by term."""
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "content", only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, doc_len): counted before any shuffle by term. Of the terms ``only`` (term), if given: others are left out where they are read."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     each = tokens.select("doc_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+    if only is not None:
+        each = each.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")  # the words of the queries
     return each.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -43,14 +46,14 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = 1.5,
 
     Terms of a query count as often as they occur in it. Only positive scores rank; a query without
     any ranks documents by the number of their words that it has. Ties go to the smaller doc_id.
-    Texts are read twice: once for the vocabulary, and once for the postings of the asked terms, which meet the queries by
-    an equi join. Every partition keeps its best ``limit`` of a query before the last shuffle.
+    Texts are read twice: once for the vocabulary, which is stored as its figures are asked for several times, and once for the
+    postings of the asked terms; other words are not shuffled. Every partition keeps its best ``limit`` of a query before the last shuffle.
     """
-    terms = vocabulary(docs)
+    terms = written(vocabulary(docs), "terms")
     asked = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    worth = asked.join(inverse_frequency(terms, epsilon), "term").join(F.broadcast(corpus_stats(terms)))
-    hits = postings(docs).join(worth, "term")
+    worth = inverse_frequency(terms, epsilon).join(F.broadcast(asked), "term").join(F.broadcast(corpus_stats(terms)))
+    hits = postings(docs, only=asked).join(F.broadcast(worth), "term")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.sum("tf").cast("double").alias("overlap"))
@@ -59,12 +62,13 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = 1.5,
 
 def ranked(scored: DataFrame, limit: int) -> DataFrame:
     """(query_id, rank, doc_id, score): the best of scored documents (query_id, doc_id, score, overlap), by overlap where no score is positive."""
-    found = scored.groupBy("query_id").agg(F.max((F.col("score") > 1e-12).cast("int")).alias("found"))
-    scored = scored.join(found, "query_id")
-    scored = scored.withColumn("score", F.when(F.col("found") == 1, F.col("score")).otherwise(F.col("overlap"))).filter("score > 1e-12")
-    scored = scored.withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
+    good = F.col("score") > 1e-12
+    rows = scored.select("query_id", "doc_id", good.alias("good"), F.when(good, F.col("score")).otherwise(F.col("overlap")).alias("score")).filter("score > 1e-12")
+    # Positive scores come first, so the best rows tell whether there are any: no look at all of a query's documents is needed.
+    order = Window.partitionBy("query_id").orderBy(F.desc("good"), F.desc("score"), "doc_id")
+    best = rows.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    found = F.max("good").over(Window.partitionBy("query_id"))
+    return best.withColumn("found", found).filter("good OR NOT found").select("query_id", "rank", "doc_id", "score")
 
 
 def overlap(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "content") -> DataFrame:
@@ -83,7 +87,9 @@ def first_hits(hits: DataFrame) -> DataFrame:
 
 
 def hit_payload(hits: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
-    """Hits with the start of their stripped content and a snippet."""
+    """Hits with the start of their stripped content and a snippet. Texts of other documents are neither cut nor shuffled."""
+    hits = written(hits, "hits")
+    docs = docs.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")  # a query's hits are few
     text = docs.select("doc_id", F.substring(strip(F.col("content")), 1, most).alias("content"), snippet(F.col("content")).alias("snippet"))
     return hits.join(text, "doc_id", "left")
 

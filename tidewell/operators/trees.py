@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import default_fields, entry_id, entry_kind, has_visible_content, is_stale, metadata, metadata_comment, strip
 from tidewell.operators.sections import entries, sections
+from tidewell.sources.sinks import written
 
 _COMMENT = re.compile(r"\s*<!--om:\s*(.*?)\s*-->\s*$")
 _BULLET = re.compile(r"^(\s*)(?:[-*]|\d+[.)])\s+")
@@ -214,6 +215,9 @@ def with_metadata(lines: DataFrame, now: Column, node: str) -> DataFrame:
 
 def shareable_hits(hits: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
     """Hits (query_id, rank, doc_id) with the start of what their documents (doc_id, content) may share; those with nothing left but headings go."""
-    shared = for_sharing(docs.select("doc_id", "content"), "content")
+    hits = written(hits, "hits")
+    # Only the texts of hits go through the sharing filter; a query's hits are few.
+    docs = docs.select("doc_id", "content").join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    shared = for_sharing(docs, "content")
     kept = shared.filter(has_visible_content(F.coalesce("content", F.lit(""))))
     return hits.join(kept.select("doc_id", F.substring(strip(F.col("content")), 1, most).alias("content")), "doc_id")
