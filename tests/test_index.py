@@ -89,3 +89,14 @@ def test_first_search_builds_and_later_ones_read_no_text(spark, tmp_path):
     assert hits(Stored(docs, path, segments=4, blocks=2).search(asked(spark))) == hits(search.bm25(docs, asked(spark)))
     unread = docs.withColumn("content", F.raise_error(F.lit("read")).cast("string"))
     assert hits(Stored(unread, path, segments=4, blocks=2).search(asked(spark))) == hits(search.bm25(docs, asked(spark)))
+
+
+def test_segments_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewell.operators.index.SEGMENT_CHARS", 500)
+    docs, path = corpus(spark), str(tmp_path / "i")
+    chars = docs.agg(F.sum(F.length("content"))).first()[0]
+    index = StoredIndex(spark, path, blocks=2)
+    assert len(index.update(docs)) == index.segments == -(-chars // 500) > 16
+    again = StoredIndex(spark, path, blocks=2)
+    assert hits(again.search(asked(spark))) == hits(search.bm25(docs, asked(spark))) and again.segments == index.segments
+    assert again.update(docs) == []

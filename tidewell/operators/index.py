@@ -25,17 +25,19 @@ SCHEMAS = {
     "blocks": "block int, term string, n long, words long, max_tf long, min_len int, entries array<struct<doc_id: {id}, tf: long, doc_len: int>>, version int, segment int",
     "manifest": "segment int, live int, n_docs long, words long, mean_raw double, n_segments int, n_blocks int, version int",
 }
+SEGMENT_CHARS = 1 << 23
 MOST_TERMS = 200  # asked terms up to which the scan gets them as a filter; beyond it the join alone finds them
 
 
 class StoredIndex:
     """An index at ``path`` over documents (doc_id, content); ids are unique and not null, a null text is empty.
 
-    A segment is a task's work and a file, so ``segments`` should leave some hundred megabytes of text to each, and ``blocks`` some
-    thousands of documents to a block, which is a row per term. Both are fixed by the first build.
+    A segment is a task's work and a file, and a block of documents is a row per term. Both numbers are fixed by the first build:
+    without ``segments`` it takes one for each ``SEGMENT_CHARS`` characters of text, 16 at least, so that a task's work does not grow with
+    the corpus; a stored index is then opened as it was built.
     """
 
-    def __init__(self, spark: SparkSession, path: str, segments: int = 16, blocks: int = 16, id_type: str = "long"):
+    def __init__(self, spark: SparkSession, path: str, segments: int | None = None, blocks: int = 16, id_type: str = "long"):
         self.spark, self.path, self.segments, self.blocks, self.id_type = spark, path.rstrip("/"), segments, blocks, id_type
 
     def _stored(self, kind: str) -> DataFrame:
@@ -52,6 +54,8 @@ class StoredIndex:
         rows = self._stored("manifest")
         newest = rows.agg(F.max("version")).first()[0]
         found = [] if newest is None else rows.filter(F.col("version") == newest).collect()  # a row per segment
+        if found and self.segments is None:
+            self.segments = found[0].n_segments
         if found and (found[0].n_segments, found[0].n_blocks) != (self.segments, self.blocks):
             raise ValueError(f"the index has {found[0].n_segments} segments of {found[0].n_blocks} blocks")
         return found
@@ -82,6 +86,9 @@ class StoredIndex:
         Repeated or null ids raise a ValueError before anything is written.
         """
         manifest = self._manifest()
+        if self.segments is None:
+            chars = docs.agg(F.sum(F.length("content"))).first()[0] or 0
+            self.segments = max(16, -(-chars // SEGMENT_CHARS))
         by_segment = self.changes(docs).groupBy(self._segment(F.col("doc_id")).alias("segment"))
         bad = F.max((F.col("doc_id").isNull() | (F.coalesce("repeats", F.lit(1)) > 1)).cast("int"))
         touched = by_segment.agg(bad.alias("bad")).collect()  # a row per segment
