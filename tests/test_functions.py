@@ -131,3 +131,19 @@ def test_a_search_shuffles_asked_words_and_reads_the_texts_of_hits_only(spark):
     assert [(r.doc_id, r.content) for r in got] == [(3, "delta"), (9, None)]
     scored = spark.createDataFrame([(1, 5, 0.5, 1.0), (1, 6, -1.0, 9.0), (2, 7, 0.0, 2.0), (2, 8, -3.0, 2.0), (2, 9, 0.0, 3.0)], "query_id int, doc_id long, score double, overlap double")
     assert sorted(tuple(r) for r in search.ranked(scored, 2).collect()) == [(1, 1, 5, 0.5), (2, 1, 9, 3.0), (2, 2, 7, 2.0)]
+
+
+def test_divergences_read_each_entry_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    shape = "section string, kind string, text string, entry_id string, id_explicit boolean, reviewable boolean"
+    prior = spark.createDataFrame([("A", "policy", "never x", "e1", True, True), ("B", "mode", "fast", "h1", False, True), ("C", "mode", "one", "h3", False, True)], shape)
+    new = spark.createDataFrame([("A", "policy", "always x", "e1", True, True), ("A", "policy", "Never x.", "e1", True, True), ("B", "mode", "slow", "h2", False, True), ("C", "task", "two", "h4", False, False)], shape)
+    found = changes.divergences(prior.withColumn("text", seen("text")), new.withColumn("text", seen("text")))
+    assert sorted((r.signal, r.section, r.after) for r in found.collect()) == [("id", "A", "always x"), ("section", "C", "two"), ("slot", "B", "slow")]
+    assert read.value == 7

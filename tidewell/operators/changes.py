@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import comparable
+from tidewell.sources.sinks import written
 
 
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -50,28 +51,31 @@ def divergences(prior: DataFrame, new: DataFrame) -> DataFrame:
     no earlier signal names the slot or section.
     """
 
+    columns = ["section", "kind", "entry_id", "text", "reviewable", "id_explicit"]
+    # Both versions are read several times; each text is made comparable once, not once a pair.
+    prior, new = (written(side.select(*columns, comparable(F.col("text")).alias("said")), "version") for side in (prior, new))
+
     def met(left: DataFrame, right: DataFrame, on: list[str], signal: str) -> DataFrame:
-        pairs = left.alias("p").join(right.alias("n"), on)
-        pairs = pairs.filter(comparable(F.col("p.text")) != comparable(F.col("n.text")))
+        pairs = left.alias("p").join(right.alias("n"), on).filter("p.said <> n.said")
         return pairs.select(
             F.lit(signal).alias("signal"), F.col("p.section").alias("section"), F.col("p.kind").alias("kind"), F.col("p.text").alias("before"), F.col("n.text").alias("after")
         )
 
-    columns = ["entry_id", "section", "kind", "text"]
-    explicit = "reviewable AND id_explicit"
-    by_id = met(prior.filter(explicit).select(columns), new.filter("id_explicit").select(columns), ["entry_id"], "id")
-
-    def slots(side: DataFrame) -> DataFrame:
-        return single_slots(side).join(side.select("section", "kind", "entry_id", "text").distinct(), ["section", "kind", "entry_id"])
-
-    by_slot = met(slots(prior), slots(new), ["section", "kind"], "slot").join(by_id.select("section", "kind").distinct(), ["section", "kind"], "left_anti")
-
-    def solos(side: DataFrame, only: bool) -> DataFrame:
-        rows = side.select("section", "entry_id", "kind", "text").distinct()
-        return solo_sections(side, only).join(rows, ["section", "entry_id"])
-
-    told = by_id.select("section").union(by_slot.select("section")).distinct()
-    by_section = met(solos(prior, True), solos(new, False), ["section"], "section").join(told, "section", "left_anti")
+    explicit, others = prior.filter("reviewable AND id_explicit"), new.filter("id_explicit")
+    by_id = met(explicit, others, ["entry_id"], "id")
+    # An entry differs from one of its id at least if it differs from the least or the greatest text, so no pairs are needed to know the slots.
+    ends = others.groupBy("entry_id").agg(F.min("said").alias("low"), F.max("said").alias("high"))
+    by_id_slots = written(explicit.join(ends, "entry_id").filter("said <> low OR said <> high").select("section", "kind").distinct(), "slots")
+
+    def only_one(side: DataFrame, on: list[str]) -> DataFrame:
+        """The row of each slot or section that holds one."""
+        row = F.struct("section", "kind", "text", "said", "reviewable")
+        return side.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.any_value(row).alias("row")).filter("n = 1").select("row.*")
+
+    slots = [only_one(side.filter("reviewable"), ["section", "kind"]) for side in (prior, new)]
+    by_slot = met(*slots, ["section", "kind"], "slot").join(by_id_slots, ["section", "kind"], "left_anti")
+    told = by_id_slots.select("section").union(by_slot.select("section")).distinct()
+    by_section = met(only_one(prior, ["section"]).filter("reviewable"), only_one(new, ["section"]), ["section"], "section").join(told, "section", "left_anti")
     return by_id.unionByName(by_slot.select(by_id.columns)).unionByName(by_section.select(by_id.columns))
 
 
