@@ -327,6 +327,36 @@ def test_all_telling_pairs_are_found(spark):
     assert want and {(r.one, r.two): pytest.approx(r.z) for r in found} == want
 
 
+def test_toxicity_learns_rare_pairs_of_long_documents(spark):
+    """Every document with one of the two words has 2,000 others, as have some with neither: 4e8 pairs of terms in all. Neither word tells alone."""
+    rows, labels = ([x for x in side if x[0] % 200 not in (2, 3)] for side in rare_corpus(9000, ["scum", "folk"], 5))
+    more = " ".join(f"v{k}" for k in range(2000))
+    rows = [(i, f"{t} {more}" if "scum" in t or "folk" in t or i % 100 == 50 else t, lang) for i, t, lang in rows]
+    docs, known = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs, known.filter("doc_id < 7000"))
+    assert set(toxicity.terms("scum folk").tolist()) <= set(machine.chosen.tolist())
+    got = toxicity.score(docs.filter("doc_id >= 7000"), machine).toPandas().set_index("doc_id").score
+    told = [(i, y) for (i, y), (_, t, _) in zip(labels, rows, strict=True) if i >= 7000 and ("scum" in t or "folk" in t)]
+    assert len(told) > 30 and np.mean([(got[i] >= 0.5) == bool(y) for i, y in told]) > 0.97
+
+
+def test_blocks_of_terms_lose_no_pair(spark):
+    """Groups of a few terms find what one group finds, and a machine that foretells the labels leaves nothing to find."""
+    rng = np.random.default_rng(4)
+    has, coin = rng.random((2000, 30)) < 0.2, rng.random(2000) < 0.3
+    toxic = coin | (has[:, 3] ^ has[:, 17]) | has[:, 20] & has[:, 21]
+    rows = [(str(i), int(y), (5 * np.nonzero(h)[0]).tolist()) for i, (h, y) in enumerate(zip(has, toxic, strict=True))]
+    t = spark.createDataFrame(rows, "id string, y int, terms array<int>")
+    machine = toxicity.Machine(np.empty(0, np.int32), float(np.log(toxic.mean() / (1 - toxic.mean()))))
+    find = lambda m, **more: sorted(tuple(r) for r in toxicity.telling_pairs(t, toxicity.term_counts(t), m, len(rows), int(toxic.sum()), **more).collect())
+    whole = find(machine)
+    assert {(15, 85), (100, 105)} <= {r[:2] for r in whole} and find(machine, group=1000) == find(machine, group=1) == whole
+    apart = toxicity.Machine(np.array([15, 85], np.int32), 0.0)  # 3 and 17 cancel out where both stand
+    apart.w[:], apart.v[:] = 6, 0
+    apart.v[0, 0], apart.v[1, 0], apart.bias = 3.5, -3.5, -0.85
+    assert (15, 85) not in {r[:2] for r in find(apart)}
+
+
 def test_the_machine_fits_as_a_plain_one(spark):
     """Adagrad on the logistic loss, batch by batch in the same order, with each pair's product written out."""
     rng = np.random.default_rng(2)
