@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewell.llm import credentials, phrases, prefixes, queries
@@ -116,6 +118,25 @@ def test_phrases_of_odd_texts(spark, longest, parts, bits):
     assert sorted(tuple(r[n] for n in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got) == want and len(want) > 20
 
 
+def test_pairs_are_counted_from_packed_ranges(spark):
+    known = phrases.Filter(spark.range(64).selectExpr("id AS key"), 64)  # lets every word through
+    words = np.random.default_rng(2).integers(0, 300, 60_000).tolist()
+    docs = spark.createDataFrame([(" ".join(f"w{k}" for k in part), "en") for part in (words[:20_000], words[20_000:])], "text string, lang string").repartition(2)
+    pairs = Counter(zip(words[:20_000], words[1:20_000], strict=False)) + Counter(zip(words[20_000:], words[20_001:], strict=False))
+    got = phrases._pair_counts(docs, "text", known, 2).collect()
+    assert sorted(r.a for r in got) == sorted(n for n in pairs.values() if n > 1) and len({r.key for r in got}) == len(got)
+
+
+def test_packed_counts_come_back_and_are_small():
+    keys = np.unique(np.random.default_rng(1).integers(0, phrases.LOW, 5000)) + (3 << phrases.LOW_BITS)
+    keys[-1], n = (4 << phrases.LOW_BITS) - 1, np.ones(len(keys), np.int64)
+    n[7] = 10**9
+    packed = phrases._packed(keys, n)
+    low, back = phrases._unpacked(packed)
+    assert (low + (3 << phrases.LOW_BITS)).tolist() == keys.tolist() and back.tolist() == n.tolist()
+    assert len(pa.compress(packed, codec="lz4_raw", asbytes=True)) < 3.5 * len(keys)
+
+
 def test_phrases_of_nothing(spark):
     docs = spark.createDataFrame([(1, None, "en", "s", 0, "p", 1)], DOCS)
     assert phrases.collocations(docs).collect() == [] and phrases.collocations(docs.limit(0)).collect() == []

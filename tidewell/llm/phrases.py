@@ -34,6 +34,8 @@ BITS = 1 << 26
 TOGETHER = 1 << 23
 ROWS = 50_000
 SPACE, BREAK = 1, 2
+LOW_BITS = 28
+LOW = (1 << LOW_BITS) - 1
 #: Bytes with A-Z lower-cased, and what each is: 0 in a word, a space, or the end of a piece.
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _KIND = np.zeros(256, np.uint8)
@@ -153,19 +155,54 @@ def _joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return pc.binary_join_element_wise(*each, " ") if len(each) > 1 else each[0]
 
 
-def _pair_counts(docs: DataFrame, text: str, known: Filter) -> DataFrame:
-    """(key, a): occurrences of all pairs of words that may be frequent, by the pairs' keys."""
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys of one range, as steps, and their counts: all lowest bytes first, so that the higher ones, nearly all zero, lie together."""
+    both = np.concatenate((np.diff(keys & LOW, prepend=0), n)).astype("<u4")
+    return both.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def _pair_counts(docs: DataFrame, text: str, known: Filter, support: int) -> DataFrame:
+    """(key, a): occurrences of all pairs of words that may be frequent, by the pairs' keys; those of ``support`` or more.
+
+    Keys are cut into 4,096 ranges; a range's keys travel packed, some three bytes each, and a group gets one range.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)  # BITS bits
 
     def counted(batches):
+        held, size = [], 0
         for _, codes, _, hashes in _coded(batches, shared.value):
             at = np.nonzero((codes[:-1] >= 0) & (codes[1:] >= 0))[0]
-            keys, n = np.unique(_pair_keys(hashes[codes[at]], hashes[codes[at + 1]]), return_counts=True)
-            yield from _batches([pa.array(keys), pa.array(n)], ["key", "a"])
-
-    # Counted per slice of texts already: before the shuffle, one more table of nearly all pairs would cost memory and merge little.
-    rows = _rows(docs, text, F.col("lang")).mapInArrow(counted, "key long, a long")
-    return rows.repartition("key").groupBy("key").agg(F.sum("a").alias("a"))
+            held.append(_pair_keys(hashes[codes[at]], hashes[codes[at + 1]]))
+            size += len(at)
+            if size >= TOGETHER // 4:
+                yield from _ranges(held)
+                held, size = [], 0
+        if size:
+            yield from _ranges(held)
+
+    def _ranges(held):
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        first = np.flatnonzero(np.diff(keys >> LOW_BITS, prepend=-1))
+        ends = np.append(first[1:], len(keys))
+        packed = [_packed(keys[i:j], n[i:j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+        yield from _batches([pa.array(keys[first] >> LOW_BITS), pa.array(packed, pa.binary())], ["range", "packed"])
+
+    def added(key, found):
+        keys, n = (np.concatenate(x) for x in zip(*map(_unpacked, found.column("packed").to_pylist()), strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = np.add.reduceat(n, first)
+        often = n >= support
+        return pa.table({"key": pa.array(keys[first][often] + (key[0].as_py() << LOW_BITS), pa.int64()), "a": pa.array(n[often], pa.int64())})
+
+    rows = _rows(docs, text, F.col("lang")).mapInArrow(counted, "range long, packed binary")
+    return rows.groupBy("range").applyInArrow(added, "key long, a long")
 
 
 def _projections(docs: DataFrame, text: str, known: Filter, paired: Filter, heavy: dict[int, int], longest: int) -> DataFrame:
@@ -265,7 +302,7 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int, text: str = "t
     if longest < 2:
         return words, totals
     known = Filter(_word_keys(words), bits)
-    pairs = checkpointed(_pair_counts(docs, text, known).filter(often))
+    pairs = checkpointed(_pair_counts(docs, text, known, support))
     every = totals.agg(F.sum("n")).collect()[0][0] or 0
     hot = pairs.filter(F.col("a") * parts > every).collect()  # fewer than ``parts``
     heavy = {r["key"]: max(2, r["a"] * parts // every) for r in hot}
