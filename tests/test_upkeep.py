@@ -1,7 +1,10 @@
 """Files, folders and streams that the table queries cannot show."""
 
+import hashlib
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,21 @@ def test_memory_files(spark, tmp_path):
     assert {(r.project, r.stem, r.is_index) for r in artifacts.memory_files(files).collect()} == {("proj", "MEMORY", True), ("proj", "note", False)}
 
 
+def test_parts_of_many_texts_are_not_held_at_once():
+    """A batch of 24 million characters, which take four bytes each in Python as one is wide."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240)), pa.array(["# \U0001f534\n" + "line of text\n" * 7692] * 239 + [None])], names=["doc", "text"])
+    tracemalloc.start()
+    rows, text = [0] * 240, hashlib.sha256()
+    for out in artifacts._cut(iter([batch]), 1500):
+        for i in out.column("doc").to_pylist():
+            rows[i] += 1
+        text.update("".join(x.split("(continued)\n\n")[-1] for x in out.column("text").to_pylist()).encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and min(rows[:239]) == max(rows[:239]) > 60 and rows[239] == 1
+    assert text.hexdigest() == hashlib.sha256("".join(x or "" for x in batch.column(1).to_pylist()).encode()).hexdigest()
+
+
 def test_byte_chunks(spark):
     texts = ["", "short", "# Title\n" + "line é\n" * 400, "日本" * 500, "# H\nx" + "y" * 900]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import strip
 from tidewell.operators.sections import sections
 
+#: Characters of the parts that a task of ``byte_chunks`` holds as Python strings.
+TOGETHER = 1 << 20
+
 #: What the searchable document of a memory file may take from its front matter.
 FRONT_KEYS = ("name", "type", "description")
 
@@ -124,17 +127,22 @@ def byte_chunks(docs: DataFrame, most: int, doc: str = "doc", text: str = "text"
     """(doc, part, text): texts in parts of ``most`` bytes of UTF-8 at most, cut at line ends, else between characters. From the second part on, the heading of the text comes first."""
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            ids, n, parts = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _parts(t or "", most)
-                ids += [i] * len(found)
-                n += range(len(found))
-                parts += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(n, pa.int64()), pa.array(parts, pa.string())], names=["doc", "part", "text"])
+    return source.mapInArrow(lambda batches: _cut(batches, most), f"doc {source.schema['doc'].dataType.simpleString()}, part long, text string")
+
 
-    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, part long, text string")
+def _cut(batches, most: int):
+    """Record batches of the parts of (doc, text), of about ``TOGETHER`` characters or one longer text: no more of a batch becomes Python strings at once."""
+    for batch in batches:
+        ids, n, parts, size = [], [], [], 0
+        for k in range(batch.num_rows):
+            found = _parts(batch.column(1)[k].as_py() or "", most)
+            ids += [batch.column(0)[k].as_py()] * len(found)
+            n += range(len(found))
+            parts += found
+            size += sum(map(len, found))
+            if size >= TOGETHER or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(n, pa.int64()), pa.array(parts, pa.string())], names=["doc", "part", "text"])
+                ids, n, parts, size = [], [], [], 0
 
 
 def _parts(text: str, most: int) -> list[str]:
@@ -150,14 +158,16 @@ def _parts(text: str, most: int) -> list[str]:
             if len(raw) <= free:
                 now, raw = now + raw, b""
             elif now and len(raw) <= room:
-                out, now = [*out, now], b""
+                out.append(now)
+                now = b""
             else:
                 cut = free
                 while cut > 0 and raw[cut] & 0xC0 == 0x80:  # not inside a character
                     cut -= 1
                 if cut == 0 and not now:
                     raise ValueError("a part cannot hold one character")
-                out, now, raw = [*out, now + raw[:cut]], b"", raw[cut:]
+                out.append(now + raw[:cut])
+                now, raw = b"", raw[cut:]
     texts = [x.decode() for x in [*out, now] if x]
     return [texts[0], *(head + t for t in texts[1:])]
 
