@@ -110,7 +110,7 @@ def stored_states(spark: SparkSession, out: str) -> DataFrame:
     """The newest state of each job that ``write_states`` kept; none before its first batch."""
     like = states(spark.createDataFrame([], "job_id string, at timestamp, kind string, to string, error string, text string, digests struct<reflections: string, observations: string, auto_memory: string>"))
     try:
-        rows = spark.read.schema(StructType(like.schema.fields).add("batch", "int")).parquet(out)
+        rows = spark.read.schema(StructType(like.schema.fields).add("batch", "integer")).parquet(out)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
